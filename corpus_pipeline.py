@@ -1,12 +1,56 @@
-"""From raw documents to a weighted training mix, one operator a stage."""
+"""From raw documents to a weighted training mix, one operator a stage.
+
+Every stage takes the rows that the stage before kept and, but for the last,
+returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeweave.llm import decontaminate, langid, mixing, simhash, substring
+from treeweave.runtime import materialize, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn the languages from a bounded sample of the labelled rows; drop texts that the classifier rejects."""
+    model = langid.train(langid.labelled_sample(docs, "doc_id", "text", "lang"))
+    found = langid.identify_languages(docs, model)
+    return found.where("accepted").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash group."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out windows of 50 words that an earlier document holds; n_chars follows the text."""
+    cut = substring.substring_dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a test item."""
+    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where("not contaminated").select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that each remaining document gives to the mix."""
+    return mixing.mix_sources(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_overlap", benchmark_overlap),
+    ("source_mix", source_mix),
+]
 
 #: SQL can't express a trained classifier; tests hold the stages against brute force instead.
 ORACLE_SQL = None
@@ -14,4 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -163,7 +163,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     an id are kept only where no member of their group has one.
     """
     groups = simhash_groups(docs, id_col, text_col)
-    keep, flag = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_flag")
+    keep = fresh_name(docs, "kept_id")
     kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(keep)).distinct()
-    joined = docs.join(kept.withColumn(flag, F.lit(True)), col_of(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
-    return joined
+    return docs.join(kept, col_of(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
