@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeweave.llm import chat, decontaminate, langid, mixing, simhash, substring, tokens
+from treeweave.llm import chat, decontaminate, langid, licenses, mixing, simhash, substring, tokens
 from treeweave.runtime import table
 
 
@@ -39,6 +39,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
@@ -115,5 +120,6 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op4_source_mix": mixing.OP4_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op8_license_scan": licenses.op8_sql(),
     "op9_chat_format": OP9_SQL,
 }
