@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeweave.llm.wordhash import Words, in_parts, mix
-from treeweave.runtime import col_of, fresh_name, shuffle_partitions
+from treeweave.runtime import col_of, fresh_name, materialize, shuffle_partitions
 
 WINDOW = 50
 #: Bytes of text whose words are hashed at once.
@@ -73,7 +73,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = hashlib.blake2b(b" ".join((t or b"").split()), digest_size=16).digest()
             one.append(int.from_bytes(d[:8], "little", signed=True))
             two.append(int.from_bytes(d[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__print"), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["__id", "__print", "d1", "d2"])
+        columns = [b.column("__id"), b.column("__print"), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["__id", "__print", "d1", "d2"])
 
 
 def _settle(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +89,21 @@ def _settle(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return least, twice, order
 
 
+def _fold(keys: tuple[np.ndarray, ...], places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """One row for each distinct key: its index, and a list of its further places (null if none). A text that repeats itself then sends one row, not one for each repeat."""
+    order = np.lexsort((places, *keys))
+    change = np.zeros(max(0, len(order) - 1), bool)
+    for k in keys:
+        change |= k[order][1:] != k[order][:-1]
+    starts = np.flatnonzero(np.concatenate([[True], change])) if len(order) else np.empty(0, np.int64)
+    counts = np.diff(np.concatenate([starts, [len(order)]]))
+    further = np.ones(len(order), bool)
+    further[starts] = False
+    offsets = np.concatenate([[0], np.cumsum(counts - 1)]).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[order][further].astype(np.int32)), mask=pa.array(counts == 1))
+    return order[starts], more
+
+
 def _anchors(window: int):
     """Anchor rows of each text.
 
@@ -102,7 +118,7 @@ def _anchors(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("__id")))
+            b = b.filter(pa.compute.and_(pa.compute.invert(b.column("__none")), pa.compute.is_null(b.column("__first"))))
             for part, texts in _parts(b, "__text"):
                 w = Words(texts)
                 at, h = w.windows(w.hashes(1), length, 1)
@@ -114,10 +130,10 @@ def _anchors(window: int):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)[w.doc[at]]
                 prints = part.column("__print").to_numpy(zero_copy_only=False)[w.doc[at]]
                 least, twice, _ = _settle(h, ids)
-                key = np.where(least, h, mix(h ^ mix(prints.view(np.uint64) + place.astype(np.uint64))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key.view(np.int64), ids, prints, place.astype(np.int32), twice)], ["key", "id", "print", "place", "known"]
-                )
+                key = np.where(least, h, mix(prints.view(np.uint64)))
+                head, more = _fold((key, prints), place)
+                cols = (key[head].view(np.int64), ids[head], prints[head], place[head].astype(np.int32), twice[head])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), more], ["key", "id", "print", "place", "known", "more"])
 
     return run
 
@@ -151,14 +167,22 @@ def _windows(window: int):
                 prints = part.column("__print").to_numpy(zero_copy_only=False)[doc]
                 least, _, _ = _settle(k1 ^ mix(k2), ids)
                 place = (at - w.first[doc]).astype(np.int32)
-                # spans: runs of windows that are known to repeat, and single windows that ask elsewhere
-                follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & ~least[1:] & ~least[:-1]])
-                head = np.flatnonzero(~follows)
-                tail = np.concatenate([head[1:], [len(at)]]) - 1
-                own = mix(k1[head] ^ mix(prints[head].view(np.uint64)))
-                ask = least[head]
-                cols = (np.where(ask, k1[head], own).view(np.int64), np.where(ask, k2[head], ~own).view(np.int64), ids[head], prints[head], place[head], place[tail] + np.int32(window), ~ask)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k1", "k2", "id", "print", "lo", "hi", "known"])
+                # runs of windows that are known to repeat, and the windows that ask elsewhere
+                known = np.flatnonzero(~least)
+                follows = (at[known][1:] == at[known][:-1] + 1) & (doc[known][1:] == doc[known][:-1])
+                head = known[np.concatenate([[True], ~follows])] if len(known) else known
+                tail = known[np.concatenate([~follows, [True]])] if len(known) else known
+                mine = mix(prints[head].view(np.uint64) ^ mix(place[head].astype(np.uint64)))
+                asks = np.flatnonzero(least)
+                first, more = _fold((k1[asks], k2[asks], prints[asks]), place[asks])
+                asks = asks[first]
+                rows = np.concatenate([asks, head])
+                cols = (
+                    np.concatenate([k1[asks], mine]).view(np.int64), np.concatenate([k2[asks], ~mine]).view(np.int64), ids[rows], prints[rows], place[rows],
+                    np.concatenate([place[asks], place[tail]]) + np.int32(window), np.arange(len(rows)) >= len(asks),
+                )
+                more = pa.concat_arrays([more, pa.nulls(len(head), more.type)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), more], ["k1", "k2", "id", "print", "lo", "hi", "known", "more"])
 
     return run
 
@@ -166,14 +190,14 @@ def _windows(window: int):
 def _kept(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rest = [i for i, n in enumerate(b.schema.names) if n not in ("__text", "__spans", "__first")]
+            rest = [i for i, n in enumerate(b.schema.names) if n.startswith("c")]
             n_words, n_removed, sha, kept_text = [], [], [], []
             columns = (b.column(n) for n in ("__text", "__spans", "__first", "__id"))
             texts, spans, first, ids = (c.cast(pa.binary()).to_pylist() if c.type == pa.string() else c.to_pylist() for c in columns)
             for t, s, f, i in zip(texts, spans, first, ids):
                 words = (t or b"").split()
                 kept = words
-                if f is not None and i is not None and f < i and len(words) >= window:
+                if f is not None and f < i and len(words) >= window:
                     kept = []
                 elif s:
                     drop = np.zeros(len(words), bool)
@@ -216,28 +240,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = {x: fresh_name(docs, x) for x in ("n_words", "n_removed", "kept_sha256")}
     rest = [c for c in docs.columns if c != text_col]
     text = col_of(text_col).cast("string")
-    # every later step reads the texts dealt by id; Spark runs this exchange once and reuses it
-    dealt = docs.select(
-        *[col_of(c).alias(f"c{i}") for i, c in enumerate(rest)], col_of(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__print"), text.alias("__text")
-    ).repartition(n, "__id", "__print")
-    slim = dealt.select("__id", "__print", "__text")
-    narrow = docs.select(col_of(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__print"), text.alias("__text"))
-    prints = narrow.mapInArrow(_digests, "__id long, __print long, d1 long, d2 long")
+    id_ = col_of(id_col).cast("long")
+    # Every later step reads the texts dealt by id. Its key columns are never null, each reader takes all its columns,
+    # and copies are told apart after a left join: so no filter, pruning or anti join slips below the exchange, the
+    # readers' plans are equal there, and Spark runs it once.
+    keys = [F.coalesce(id_, F.lit(0)).alias("__id"), F.xxhash64(text, id_.isNull()).alias("__print"), id_.isNull().alias("__none"), text.alias("__text")]
+    dealt = docs.select(*[col_of(c).alias(f"c{i}") for i, c in enumerate(rest)], *keys).repartition(n, "__id", "__print")
+    prints = docs.select(*keys).where(~F.col("__none")).mapInArrow(_digests, "__id long, __print long, d1 long, d2 long")
+    prints = materialize(prints, "prints")
     firsts = prints.groupBy("d1", "d2").agg(F.min("__id").alias("__first"), F.max("__id").alias("last")).where("__first < last").select("d1", "d2", "__first")
     copies = prints.join(firsts, ["d1", "d2"]).where("__id > __first").groupBy("__id", "__print").agg(F.min("__first").alias("__first"))
+    copies = materialize(copies, "copies")
 
-    alone = slim.join(copies, ["__id", "__print"], "left_anti")
-    anchors = alone.mapInArrow(_anchors(window), "key long, id long, print long, place int, known boolean")
+    anchors = dealt.join(copies, ["__id", "__print"], "left").mapInArrow(_anchors(window), "key long, id long, print long, place int, known boolean, more array<int>")
     same = W.partitionBy("key")
     shared = anchors.select("*", F.min("id").over(same).alias("least"), F.max("id").over(same).alias("most")).where("known or least < most")
+    shared = shared.select("id", "print", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))).alias("place"))
     places = shared.groupBy(F.col("id").alias("__id"), F.col("print").alias("__print")).agg(F.collect_list("place").alias("__places"))
-    around = slim.join(places, ["__id", "__print"]).mapInArrow(_windows(window), "k1 long, k2 long, id long, print long, lo int, hi int, known boolean")
+    around = dealt.join(places, ["__id", "__print"]).mapInArrow(_windows(window), "k1 long, k2 long, id long, print long, lo int, hi int, known boolean, more array<int>")
     found = around.select("*", F.min("id").over(W.partitionBy("k1", "k2")).alias("least")).where("known or least < id")
+    found = found.select("id", "print", F.col("hi") - F.col("lo"), F.explode(F.concat(F.array("lo"), F.coalesce("more", F.array().cast("array<int>")))).alias("lo")).toDF("id", "print", "n", "lo")
+    found = found.select("id", "print", "lo", (F.col("lo") + F.col("n")).alias("hi"))
     spans = found.groupBy(F.col("id").alias("__id"), F.col("print").alias("__print")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
 
     full = dealt.join(spans, ["__id", "__print"], "left").join(copies, ["__id", "__print"], "left")
     kinds = {f.name: f.dataType for f in full.schema}
-    fields = [T.StructField(c, kinds[c]) for c in full.columns if c not in ("__text", "__spans", "__first")]
+    fields = [T.StructField(c, kinds[c]) for c in full.columns if c.startswith("c")]
     fields += [T.StructField("__n", T.LongType()), T.StructField("__r", T.LongType()), T.StructField("__sha", T.StringType())]
     if keep_text:
         fields.append(T.StructField("__kept", T.StringType()))
