@@ -1,12 +1,362 @@
-"""Named queries over the driver's tables, each with an independent SQL twin."""
+"""Named queries over the driver's tables, each with an independent SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "degree_part_supp"
+from treeweave.functions import partitions as P
+from treeweave.functions.geometry import joint_min_max
+from treeweave.operators import candidates as C
+from treeweave.operators import graph as G
+from treeweave.operators import paths, ranking, solve, tree
+from treeweave.operators.beam import Beam, prune
+from treeweave.operators.greedy import cheapest, greedy
+from treeweave.operators.voxels import voxelise as voxel_cells
+from treeweave.plans.catalogue_sql import SQL
+from treeweave.plans.merge_order import merge_sequence
+from treeweave.runtime import materialize, table
+from treeweave.sources import costs, ply, testgraphs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "dp_min_cost"
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _above(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges with at least one in ``parts`` of the sum of all w; the sum is one row."""
+    total = edges.agg(F.sum("w").alias("total"))
+    return edges.crossJoin(F.broadcast(total)).where(F.col("w") * parts >= F.col("total")).drop("total")
+
+
+def _code() -> Column:
+    return P.code(F.col("blocks"), F.col("incoming")).alias("code")
+
+
+def _mini(spark: SparkSession, sf_dir: str, five: bool = False) -> tuple[DataFrame, DataFrame]:
+    edges = materialize(testgraphs.mini(spark, sf_dir, five), "mini")
+    return edges, C.all_candidates(edges, testgraphs.mini_roots(spark, five))
+
+
+@query
+def degree_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(testgraphs.trade_edges(spark, sf_dir)).select("vertex_id", "degree")
+
+
+@query
+def degree_part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(testgraphs.part_supp(spark, sf_dir)).select("vertex_id", "degree")
+
+
+@query
+def pair_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    raw = both.where("c_nationkey <> s_nationkey").select(F.lit("trade").alias("graph_id"), F.col("c_nationkey").cast("long").alias("u"), F.col("s_nationkey").cast("long").alias("v"))
+    return G.pair_multiplicity(raw).select("u", "v", "m")
+
+
+@query
+def node_filter_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vertex_id"), (F.col("p_size") <= 25).alias("ok"))
+    suppliers = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("vertex_id"), (F.col("s_acctbal") > 0).alias("ok"))
+    vertices = parts.unionByName(suppliers).withColumn("graph_id", F.lit("part_supp"))
+    return G.induced_by_vertices(testgraphs.part_supp(spark, sf_dir), vertices, F.col("ok")).select("u", "v")
+
+
+def _with_total(edges: DataFrame) -> DataFrame:
+    return edges.crossJoin(F.broadcast(edges.agg(F.sum("w").alias("total"))))
+
+
+@query
+def edge_filter_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.filter_out_edges(_with_total(testgraphs.trade_edges(spark, sf_dir)), F.expr("w * 300 > total")).select("u", "v", "w")
+
+
+@query
+def edge_filter_out_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.filter_out_edges(_with_total(testgraphs.trade_edges(spark, sf_dir)), F.expr("w * 200 < total"), True).select("u", "v", "w")
+
+
+@query
+def graph_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("bad", n, u, v) for n, u, v in ((1, 1, 2), (2, 2, 3), (3, 3, 3), (4, 3, 4), (4, 4, 5), (5, 5, 5))]
+    return G.defects(spark.createDataFrame(rows, "graph_id string, edge_name int, u long, v long")).select("kind", "edge_name")
+
+
+@query
+def joint_min_max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return joint_min_max(parts, ["p_size", "p_retailprice"])
+
+
+@query
+def contract_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = testgraphs.trade_edges(spark, sf_dir)
+    mapping = edges.groupBy("graph_id").agg(F.min("u").alias("new_id"), F.min("v").alias("vertex_id"))
+    return G.pair_multiplicity(G.contract(edges, mapping)).select("u", "v", "m")
+
+
+@query
+def cluster_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.lit("trade").alias("graph_id"), F.col("n_nationkey").cast("long").alias("vertex_id"), F.col("n_regionkey").alias("cluster"))
+    return G.boundaries(testgraphs.trade_edges(spark, sf_dir), nations).select("cluster", "outdegree")
+
+
+@query
+def chain_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.compact_chains(testgraphs.customer_graphs(spark, sf_dir)[0])
+
+
+@query
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_components(_above(testgraphs.trade_edges(spark, sf_dir), 250)).select("vertex_id", "component")
+
+
+def _trade_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = materialize(testgraphs.trade_edges(spark, sf_dir), "trade")
+    edges = t.crossJoin(F.broadcast(t.agg(F.max("w").alias("top")))).withColumn("len", F.col("top") + 1 - F.col("w")).drop("top")
+    roots = t.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))
+    return edges, paths.shortest_paths(edges, roots)
+
+
+@query
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade_paths(spark, sf_dir)[1].select("vertex_id", "dist")
+
+
+@query
+def orient_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.orient(*_trade_paths(spark, sf_dir)).select("edge_name", "parent", "child")
+
+
+@query
+def hop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = materialize(_above(testgraphs.trade_edges(spark, sf_dir), 300), "trade")
+    return paths.hop_levels(edges, edges.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))).select("vertex_id", "level")
+
+
+@query
+def set_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = spark.range(1, 7).select(F.col("id").alias("n"), F.sequence(F.lit(1), F.col("id").cast("int")).alias("edges"))
+    text = F.array_join(F.transform("blocks", lambda b: F.array_join(b.cast("array<string>"), ",")), "|")
+    return C.set_partitions(sizes).select("n", text.alias("code"))
+
+
+@query
+def directed_partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 10).select(F.col("id").alias("n"), P.directed_partition_count(F.col("id").cast("int")).alias("cnt"))
+
+
+@query
+def default_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.default_candidates(*testgraphs.customer_graphs(spark, sf_dir)).select("graph_id", "vertex_id", _code(), "cost")
+
+
+@query
+def directed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mini(spark, sf_dir, True)[1].select("vertex_id", _code(), "cost")
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select("graph_id", "edge_name", F.col("u").alias("parent"), F.col("v").alias("child"))
+
+
+@query
+def fixed_direction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, cands = _mini(spark, sf_dir, True)
+    return C.with_fixed_directions(cands, _downward(edges)).select("vertex_id", _code())
+
+
+@query
+def triangle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("gadget", n, u, v) for n, u, v in ((1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 1, 4), (5, 4, 5))]
+    edges = spark.createDataFrame(rows, "graph_id string, edge_name int, u long, v long")
+    roots = spark.createDataFrame([("gadget", 5)], "graph_id string, vertex_id long")
+    return C.without_triangles(C.all_candidates(edges, roots), edges).select("vertex_id", _code())
+
+
+@query
+def block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fitting pairs of candidates of vertices 2 and 3, which share edge 4."""
+    states = solve.initial_states(_mini(spark, sf_dir)[1])
+    shared = F.array(F.lit(4))
+    side = lambda v, p: states.where(F.col("cluster") == v).select("graph_id", *[F.col(c).alias(p + c) for c in ("blocks", "incoming", "key")])
+    left, right = side(2, "l"), side(3, "r")
+    way = F.array_contains("lincoming", 4) != F.array_contains("rincoming", 4)
+    both = left.join(right, "graph_id").where(way)
+    joined = both.select("lkey", "rkey", P.joined_blocks(F.col("lblocks"), F.col("rblocks"), shared, F.lit(False)).alias("blocks"), F.sort_array(F.array_except(F.array_union("lincoming", "rincoming"), shared)).alias("incoming"))
+    return joined.where("blocks is not null").select(F.col("lkey").alias("left_code"), F.col("rkey").alias("right_code"), _code().alias("joined"))
+
+
+@query
+def final_pair_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.createDataFrame([("two", 1, 1, 2), ("two", 2, 1, 2)], "graph_id string, edge_name int, u long, v long")
+    cands = C.all_candidates(edges, spark.createDataFrame([("two", 1)], "graph_id string, vertex_id long"))
+    return solve.brute_force(edges, cands).select("best_cost", "n_feasible")
+
+
+@query
+def brute_force_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solve.brute_force(*_mini(spark, sf_dir)).select("best_cost", "n_feasible")
+
+
+@query
+def dp_min_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solve.solve(*_mini(spark, sf_dir, True)).status.select("status", "cost")
+
+
+@query
+def tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, cands = _mini(spark, sf_dir)
+    chosen = materialize(solve.solve(edges, cands).choices, "choices")
+    return tree.invariants(tree.tree_edges(edges, chosen)).select("n_vertices", "n_edges", "n_components")
+
+
+@query
+def backtrack_total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, cands = _mini(spark, sf_dir)
+    return solve.total_cost(solve.solve(edges, cands).choices, edges, every_vertex=True).select("cost")
+
+
+@query
+def solve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's graph solved at once: the size of each tree."""
+    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
+    edges = materialize(edges, "edges")
+    chosen = materialize(solve.solve(edges, C.all_candidates(edges, roots)).choices, "choices")
+    return tree.invariants(tree.tree_edges(edges, chosen))
+
+
+@query
+def solve_many_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a beam of 20 states around the greedy choice: status and cost of each graph."""
+    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
+    edges = materialize(edges.withColumn("len", F.lit(1).cast("long")), "edges")
+    cands = materialize(C.all_candidates(edges, roots), "candidates")
+    chosen = materialize(greedy(edges, cands, roots), "greedy")
+    return solve.solve(edges, cands, beam=Beam("fixed", 20), protected=chosen.where("status = 'chosen'")).status
+
+
+@query
+def greedy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
+    edges = materialize(edges.withColumn("len", F.lit(1).cast("long")), "edges")
+    return greedy(edges, C.all_candidates(edges, roots), roots).select("graph_id", "vertex_id", _code(), "cost", "status")
+
+
+@query
+def merge_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.merge_priorities(_above(testgraphs.trade_edges(spark, sf_dir), 300)).select("u", "v", "outdegree", "product", "indegree")
+
+
+@query
+def merge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.range(36).select((F.floor(F.col("id") / 6) + 1).cast("int").alias("a"), (F.col("id") % 6 + 1).cast("int").alias("b"))
+    return pairs.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("w"), P.merge_cost(F.col("a"), F.col("b")).alias("cost"))
+
+
+@query
+def merge_sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = materialize(testgraphs.customer_graphs(spark, sf_dir)[0], "edges")
+    return merge_sequence(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_steps"))
+
+
+@query
+def greedy_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, cands = _mini(spark, sf_dir, True)
+    return cheapest(C.with_fixed_directions(cands, _downward(edges))).select("vertex_id", "cost")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+
+
+@query
+def beam_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(_events(spark, sf_dir), Beam("fixed", 5), ["user_id"], "value", ["event_id"]).select("user_id", "event_id")
+
+
+@query
+def beam_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(_events(spark, sf_dir), Beam("percent", 0.1, 3), ["user_id"], "value", ["event_id"]).select("user_id", "event_id")
+
+
+@query
+def beam_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _events(spark, sf_dir).withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    return prune(whole, Beam("probability", 0.9999, 2), ["user_id"], "value", ["event_id"]).select("user_id", "event_id")
+
+
+@query
+def beam_delta_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(_events(spark, sf_dir), Beam("delta", 0.05, norm="minmax"), ["user_id"], "value").select("user_id", "event_id")
+
+
+@query
+def beam_delta_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(_events(spark, sf_dir), Beam("delta", 0.05, norm="division"), ["user_id"], "value").select("user_id", "event_id")
+
+
+@query
+def beam_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four cheapest events of a user, the user's first event among them."""
+    events = _events(spark, sf_dir)
+    first = events.groupBy("user_id").agg(F.min("event_id").alias("first"))
+    marked = events.join(first, "user_id").withColumn("own", F.col("event_id") == F.col("first"))
+    return prune(marked, Beam("fixed", 4), ["user_id"], "value", ["event_id"], F.col("own")).select("user_id", "event_id")
+
+
+@query
+def voxelise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lambda e: F.expr(e).cast("double")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.lit("lines").alias("graph_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("segment_id"), d("l_quantity").alias("x1"), d("l_linenumber").alias("y1"), (F.col("l_discount") * 100).alias("z1"),
+        (F.col("l_quantity") / 2).alias("x2"), (F.col("l_linenumber") * 3.0).alias("y2"), (F.col("l_tax") * 100).alias("z2"), F.col("l_discount").alias("value"),
+    )
+    return voxel_cells(lines).select("x", "y", "z", "value")
+
+
+@query
+def id_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.relabel(testgraphs.trade_edges(spark, sf_dir))[1].select("vertex_id", "new_id")
+
+
+@query
+def ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = testgraphs.trade_edges(spark, sf_dir).withColumn("len", F.col("w").cast("double")).drop("w")
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).distinct().withColumn("root", (F.col("vertex_id") == 0).cast("int"))
+    return ply.parse(ply.to_ply(vertices, edges))[1].select("edge_name", "u", "v", "len")
+
+
+@query
+def cost_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.parse_candidates(costs.to_text(_mini(spark, sf_dir, True)[1])).select("vertex_id", _code(), "cost")
+
+
+@query
+def candidate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _mini(spark, sf_dir, True)[1].groupBy("graph_id", "vertex_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
+@query
+def root_cost_zeroing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, cands = _mini(spark, sf_dir, True)
+    return C.free_at_roots(cands, edges, testgraphs.mini_roots(spark, True)).select("vertex_id", _code(), "cost")
+
+
+@query
+def candidate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
+    return C.problems(C.default_candidates(edges, roots), edges)
+
+
+ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

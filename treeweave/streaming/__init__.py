@@ -1 +1 @@
-
+"""Streams: none. The engine's task is batch only; see the README."""
