@@ -13,8 +13,8 @@ from treeweave.runtime import col_of
 #: Turn marks of the template. A turn is BEGIN role newline text END.
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common chat templates without their first character, and that character.
-CONTROL = r"([<\[])(\\*)(\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|/?<SYS>>)"
-ESCAPED = r"([<\[])\\(\\*)(\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|/?<SYS>>)"
+CONTROL = r"([<\[])(\\*)(\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|</?SYS>>)"
+ESCAPED = r"([<\[])\\(\\*)(\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|</?SYS>>)"
 TARGET_ROLE = "assistant"
 
 
