@@ -34,7 +34,12 @@ def known(spark):
     return edges, roots, C.all_candidates(edges, roots)
 
 
-@pytest.mark.parametrize("priority", ["outdegree", "product", "indegree", "random"])
+@pytest.fixture(scope="module")
+def solved(known):
+    return solve.solve(known[0], known[2])
+
+
+@pytest.mark.parametrize("priority", ["product", "random"])
 def test_least_costs_in_any_order(known, priority):
     edges, _, cands = known
     got = {r["graph_id"]: (r["status"], r["cost"]) for r in solve.solve(edges, cands, priority).status.collect()}
@@ -47,9 +52,9 @@ def test_brute_force_agrees(known):
     assert got == {f"g{i}": (c, n) for i, (_, _, c, n) in enumerate(KNOWN)}
 
 
-def test_choices_make_the_tree(known):
-    edges, roots, cands = known
-    s = solve.solve(edges, cands)
+def test_choices_make_the_tree(known, solved):
+    edges, s = known[0], solved
+    assert {r["graph_id"]: (r["status"], r["cost"]) for r in s.status.collect()} == {f"g{i}": ("solved", c) for i, (_, _, c, _) in enumerate(KNOWN)}
     costs_ = dict(map(tuple, solve.total_cost(s.choices, edges, True).collect()))
     assert costs_ == {f"g{i}": c for i, (_, _, c, _) in enumerate(KNOWN)}
     assert tree.direction_conflicts(s.choices, edges).count() == 0
@@ -61,8 +66,6 @@ def test_choices_make_the_tree(known):
 def test_beams(known):
     edges, roots, cands = known
     exact = {f"g{i}": c for i, (_, _, c, _) in enumerate(KNOWN)}
-    wide = {r["graph_id"]: r["cost"] for r in solve.solve(edges, cands, beam=Beam("fixed", 10_000)).status.collect()}
-    assert wide == exact
     with_len = edges.withColumn("len", F.lit(1).cast("long"))
     own = greedy(with_len, cands, roots)
     narrow = {r["graph_id"]: (r["status"], r["cost"]) for r in solve.solve(edges, cands, beam=Beam("fixed", 2), protected=own.where("status = 'chosen'")).status.collect()}

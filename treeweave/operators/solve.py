@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from treeweave.functions.partitions import code, joined_blocks, outgoing
 from treeweave.operators.beam import Beam, prune
 from treeweave.operators.candidates import canonicalised
+from treeweave.operators.graph import degrees
 from treeweave.plans.merge_order import merge_rounds
 from treeweave.runtime import materialize
 
@@ -36,13 +37,6 @@ def initial_states(candidates: DataFrame) -> DataFrame:
     return c.select("graph_id", F.col("vertex_id").alias("cluster"), "blocks", "incoming", "cost", code(F.col("blocks"), F.col("incoming")).alias("key"))
 
 
-def shared_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``shared``: the sorted names of the edges between their clusters; edges has clusters as u and v."""
-    between = edges.select("graph_id", F.least("u", "v").alias("left_id"), F.greatest("u", "v").alias("right_id"), "edge_name")
-    named = between.join(pairs, ["graph_id", "left_id", "right_id"]).groupBy("graph_id", "left_id", "right_id")
-    return named.agg(F.sort_array(F.collect_set("edge_name")).alias("shared"))
-
-
 def min_plus_join(states: DataFrame, pairs: DataFrame) -> DataFrame:
     """States of the merged clusters, with where they came from.
 
@@ -79,53 +73,49 @@ def solve(edges: DataFrame, candidates: DataFrame, priority: str = "outdegree",
     states the beam keeps. Graphs of several components are disconnected; graphs
     without a fitting choice are infeasible. Self loops fit no tree: infeasible.
     """
-    now = materialize(edges.select("graph_id", "edge_name", "u", "v"), "edges")
-    loops = now.where("u = v").select("graph_id").distinct()
+    loops = edges.where("u = v").select("graph_id").distinct().withColumn("loop", F.lit(True))
     states = materialize(initial_states(candidates).withColumn("own", F.lit(False)) if protected is None else _marked(candidates, protected), "states")
-    first = states
-    history: list[DataFrame] = []
-    for pairs in merge_rounds(now, priority):
-        named = materialize(shared_edges(now, pairs), "shared")
-        merged = min_plus_join(states.drop("own"), named)
-        if protected is not None:
-            merged = _carry(merged, states, named)
-        else:
-            merged = merged.withColumn("own", F.lit(False))
+    first, history = states, []
+    rounds = merge_rounds(edges, priority)
+    for pairs in rounds:
+        merged = min_plus_join(states.drop("own"), pairs)
+        merged = merged.withColumn("own", F.lit(False)) if protected is None else _carry(merged, states, pairs)
         if beam:
             merged = prune(merged, beam, ["graph_id", "cluster"], "cost", ["key"], F.col("own") if protected is not None else None)
         merged = materialize(merged, "merged")
         history.append(merged)
-        ids = F.explode(F.array("left_id", "right_id")).alias("cluster")
-        untouched = states.join(named.select("graph_id", ids), ["graph_id", "cluster"], "left_anti")
-        states = materialize(untouched.unionByName(merged.select(states.columns)), "states")
-        mapping = named.select("graph_id", F.col("right_id").alias("u"), F.col("left_id").alias("to"))
-        for end in ("u", "v"):
-            now = now.join(mapping.withColumnRenamed("u", end), ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        now = materialize(now.where("u <> v").select("graph_id", "edge_name", "u", "v"), "edges")
+        if len(history) < len(rounds):
+            spent = pairs.select("graph_id", F.explode(F.array("left_id", "right_id")).alias("cluster"))
+            untouched = states.join(spent, ["graph_id", "cluster"], "left_anti")
+            states = materialize(untouched.unionByName(merged.select(states.columns)), "states")
     vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).unionByName(candidates.select("graph_id", "vertex_id")).distinct()
-    gone = [h.select("graph_id", F.col("right_id").alias("vertex_id")) for h in history]
-    return _finish(vertices, loops, first, states, history, gone, edges)
+    return _walk_back(vertices, loops, first, history, rounds)
 
 
-def _finish(vertices: DataFrame, loops: DataFrame, first: DataFrame, states: DataFrame, history: list[DataFrame], gone: list[DataFrame], edges: DataFrame) -> Solution:
-    from treeweave.operators.graph import graph_components
+def _walk_back(vertices: DataFrame, loops: DataFrame, first: DataFrame, history: list[DataFrame], rounds: list[DataFrame]) -> Solution:
+    """Status of each graph from the last states, and the choices by one join a round, last round first.
 
-    n_parts = graph_components(edges).groupBy("graph_id").agg(F.count_distinct("component").alias("parts"))
-    # the last cluster's state has no edge left; a graph of one vertex never merges
-    done = states.where(F.size("incoming") + F.size(F.flatten("blocks")) == 0)
+    A merge makes one cluster of two, so a graph has as many components as
+    vertices less merges. The states of a whole component have no edge left.
+    """
+    n_vertices = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    merges, done = first.select("graph_id").where("false"), first.where(F.size(F.flatten("blocks")) == 0).select("graph_id", "cluster", "key", "cost")
+    for pairs, merged in zip(rounds, history):
+        merges = merges.unionByName(pairs.select("graph_id"))
+        done = done.unionByName(merged.where(F.size(F.flatten("blocks")) == 0).select("graph_id", "cluster", "key", "cost"))
+    n_merges = merges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
     top = done.groupBy("graph_id").agg(F.min(F.struct("cost", "key", "cluster")).alias("b"))
-    graphs = vertices.select("graph_id").distinct().join(n_parts, "graph_id", "left").join(top, "graph_id", "left").join(loops.withColumn("loop", F.lit(True)), "graph_id", "left")
-    solved = F.col("b").isNotNull() & (F.coalesce("parts", F.lit(1)) == 1) & F.col("loop").isNull()
-    state = F.when(F.coalesce("parts", F.lit(1)) > 1, "disconnected").when(solved, "solved").otherwise("infeasible")
-    status = materialize(graphs.select(F.col("graph_id"), state.alias("status"), F.when(solved, F.col("b.cost")).alias("cost"), F.when(solved, F.col("b.key")).alias("key"), F.when(solved, F.col("b.cluster")).alias("cluster")), "status")
+    graphs = n_vertices.join(n_merges, "graph_id", "left").join(top, "graph_id", "left").join(loops, "graph_id", "left")
+    whole = F.col("n") - F.coalesce("m", F.lit(0)) == 1
+    solved = F.col("b").isNotNull() & whole & F.col("loop").isNull()
+    state = F.when(~whole, "disconnected").when(solved, "solved").otherwise("infeasible")
+    status = materialize(graphs.select("graph_id", state.alias("status"), *[F.when(solved, F.col(f"b.{c}")).alias(c) for c in ("cost", "key", "cluster")]), "status")
     wanted = status.where("status = 'solved'").select("graph_id", "cluster", "key")
     for merged in reversed(history):
         hit = wanted.join(merged.select("graph_id", "cluster", "key", "left_key", "right_id", "right_key"), ["graph_id", "cluster", "key"], "left")
-        parts = F.when(
-            F.col("left_key").isNotNull(),
-            F.array(F.struct(F.col("cluster").alias("c"), F.col("left_key").alias("k")), F.struct(F.col("right_id").alias("c"), F.col("right_key").alias("k"))),
-        ).otherwise(F.array(F.struct(F.col("cluster").alias("c"), F.col("key").alias("k"))))
-        wanted = materialize(hit.select("graph_id", F.explode(parts).alias("p")).select("graph_id", F.col("p.c").alias("cluster"), F.col("p.k").alias("key")), "wanted")
+        half = lambda c, k: F.struct(F.col(c).alias("cluster"), F.col(k).alias("key"))
+        parts = F.when(F.col("left_key").isNotNull(), F.array(half("cluster", "left_key"), half("right_id", "right_key"))).otherwise(F.array(half("cluster", "key")))
+        wanted = materialize(hit.select("graph_id", F.inline(parts)), "wanted")
     chosen = wanted.join(first, ["graph_id", "cluster", "key"]).select("graph_id", F.col("cluster").alias("vertex_id"), "blocks", "incoming", "cost")
     return Solution(status.select("graph_id", "status", "cost"), chosen)
 
@@ -144,8 +134,6 @@ def _carry(merged: DataFrame, states: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def total_cost(choices: DataFrame, edges: DataFrame, every_vertex: bool = False) -> DataFrame:
     """``graph_id, cost``: the chosen costs' sum; without ``every_vertex`` only of vertices of degree above 2 that aren't roots."""
-    from treeweave.operators.graph import degrees
-
     counted = choices
     if not every_vertex:
         wide = degrees(edges).where("degree > 2").select("graph_id", "vertex_id")

@@ -19,7 +19,7 @@ PRIORITIES = ("outdegree", "product", "indegree", "random")
 
 
 def merge_round(edges: DataFrame, priority: str = "outdegree", salt: int = 0) -> DataFrame:
-    """``graph_id, left_id, right_id``: pairs that are each other's cheapest merge, left < right.
+    """``graph_id, left_id, right_id, shared``: pairs that are each other's cheapest merge, left < right, and the sorted names of the edges between them.
 
     Ties fall by a hash of the pair, so that a path of equal priorities pairs up
     all along and not from one end. Each graph with an edge between two vertices
@@ -32,7 +32,10 @@ def merge_round(edges: DataFrame, priority: str = "outdegree", salt: int = 0) ->
     side = F.explode(F.array("u", "v")).alias("vertex_id")
     best = pairs.select("graph_id", "rank", side).groupBy("graph_id", "vertex_id").agg(F.min("rank").alias("rank"))
     mutual = best.groupBy("graph_id", "rank.u", "rank.v").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    return mutual.select("graph_id", F.col("u").alias("left_id"), F.col("v").alias("right_id"))
+    pair = mutual.select("graph_id", F.col("u").alias("left_id"), F.col("v").alias("right_id"))
+    between = edges.select("graph_id", F.least("u", "v").alias("left_id"), F.greatest("u", "v").alias("right_id"), "edge_name")
+    named = between.join(pair, ["graph_id", "left_id", "right_id"]).groupBy("graph_id", "left_id", "right_id")
+    return named.agg(F.sort_array(F.collect_set("edge_name")).alias("shared"))
 
 
 def merge_rounds(edges: DataFrame, priority: str = "outdegree", max_rounds: int = 1000) -> list[DataFrame]:
@@ -62,9 +65,9 @@ def merge_sequence(edges: DataFrame, priority: str = "outdegree") -> DataFrame:
     rounds = merge_rounds(edges, priority)
     if not rounds:
         return edges.sparkSession.createDataFrame([], "graph_id string, step int, left_id long, right_id long, new_id long")
-    flat = rounds[0].withColumn("round", F.lit(0))
+    flat = rounds[0].drop("shared").withColumn("round", F.lit(0))
     for i, r in enumerate(rounds[1:], 1):
-        flat = flat.unionByName(r.withColumn("round", F.lit(i)))
+        flat = flat.unionByName(r.drop("shared").withColumn("round", F.lit(i)))
     top = edges.groupBy("graph_id").agg(F.max(F.greatest("u", "v")).alias("top"))
     step = F.row_number().over(W.partitionBy("graph_id").orderBy("round", "left_id"))
     numbered = flat.withColumn("step", step).join(top, "graph_id").withColumn("new_id", F.col("top") + F.col("step"))
