@@ -249,6 +249,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = docs.select(*keys).where(~F.col("__none")).mapInArrow(_digests, "__id long, __print long, d1 long, d2 long")
     prints = materialize(prints, "prints")
     firsts = prints.groupBy("d1", "d2").agg(F.min("__id").alias("__first"), F.max("__id").alias("last")).where("__first < last").select("d1", "d2", "__first")
+    firsts = materialize(firsts, "firsts")  # a table of its own: the join below then splits a hot group of copies
     copies = prints.join(firsts, ["d1", "d2"]).where("__id > __first").groupBy("__id", "__print").agg(F.min("__first").alias("__first"))
     copies = materialize(copies, "copies")
 
