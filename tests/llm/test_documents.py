@@ -58,7 +58,13 @@ def test_rejection_follows_the_threshold():
     model = langid.train(texts)
     p, score, ok = model.predict("the house and the river")
     assert p == "en" and ok and score >= model.threshold
-    assert not langid.LanguageModel(model.languages, model.table, model.bias, model.temperature, 1.1).predict("the house")[2]
+    assert not langid.LanguageModel(model.languages, model.table, model.temperature, 1.1).predict("the house")[2]
+
+
+def test_unknown_scripts_are_rejected(spark, sf):
+    model = langid.train(langid.labelled_sample(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id", "text", "lang"))
+    for text in ("Привет, как дела? Сегодня хорошая погода, и мы идём гулять", "今天天气很好我们去公园散步", "Καλημέρα σας πώς είστε σήμερα", "こんにちは世界"):
+        assert not model.predict(text)[2], text
 
 
 # 2: decontamination
