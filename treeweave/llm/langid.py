@@ -233,15 +233,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
     names = [fresh_name(docs, x) for x in ("lang_pred", "score", "accepted")]
+    own = [i for i, f in enumerate(docs.schema) if f.name == text_col and f.dataType == T.StringType()]
+    at = own[0] if own else n  # a text that is a string already isn't sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = sent.value.predict
         for b in batches:
-            found = [predict(t) for t in b.column(n).to_pylist()]
+            found = [predict(t) for t in b.column(at).to_pylist()]
             new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *new], [*(f"c{i}" for i in range(n)), "p", "s", "a"])
 
-    given = docs.select(*[col_of(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], col_of(text_col).cast("string").alias("t"))
+    given = docs.select(*[col_of(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], *([] if own else [col_of(text_col).cast("string").alias("t")]))
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
     fields += [T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("a", T.BooleanType())]
     out = given.mapInArrow(run, T.StructType(fields))
