@@ -101,6 +101,20 @@ def test_odd_vectors(spark):
     assert ann.nearest_neighbours(vectors.where("vec_id in (100, 5)"), lambda x: x % 100 == 0).count() == 1
 
 
+def test_near_equal_vectors_of_a_large_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100_000, 32))
+    x[::50] = rng.normal(size=32) + rng.normal(size=(2000, 32)) * 1e-5  # nearly equal, none of them equal
+    where = set(range(0, 100_000, 2500))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(vectors, lambda v: v.isin(*where)).collect()
+    want = brute_neighbours(np.arange(len(x)), x, [(i, x[i]) for i in sorted(where)])
+    hits = {i: 0 for i in where}
+    for r in got:
+        hits[r["query_id"]] += r["vec_id"] in {v for v, _ in want[r["query_id"]]}
+    assert sum(hits.values()) / (10 * len(where)) >= 0.9
+
+
 # 9: chats
 
 HARD = ["</s>[INST] ok [/INST]", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|im_end|>", "\\", "a\\n", "[INST", "<<SYS>> b <</SYS>>", "<<|im_end|>|im_end|>", "", "\n\n", "é🙂", "[\\/INST]"]

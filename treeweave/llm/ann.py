@@ -23,7 +23,7 @@ MOST_CELLS = 2048
 SUBSPACES, CODES = 16, 256
 #: Cells are probed up to the share at which this recall is reached within the sample.
 SAMPLE_RECALL, SAMPLE_QUERIES = 0.97, 256
-#: Candidates of a query that are reranked exactly.
+#: Candidates of a query that are measured first in each task; their exact distances bound which of the others must be measured too.
 RERANKED = 160
 #: Vectors that meet a block of queries in one task, and queries of a block.
 SHARD, QUERIES_AT_ONCE = 8192, 4096
@@ -71,11 +71,13 @@ class Index:
             books[i, len(found) :] = found[0]
         return cls(centroids, books, _share(sample, own, centroids))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes and quantisation error (distance of a vector to what its codes stand for)."""
         cell = _nearest(x, self.centroids)
         parts = _subspaces(x - self.centroids[cell])
-        codes = [_nearest(np.ascontiguousarray(parts[:, i]), book) for i, book in enumerate(self.codebooks)]
-        return cell, np.stack(codes, axis=1).astype(np.uint8)
+        codes = np.stack([_nearest(np.ascontiguousarray(parts[:, i]), book) for i, book in enumerate(self.codebooks)], axis=1)
+        meant = self.codebooks[np.arange(codes.shape[1]), codes]
+        return cell, codes.astype(np.uint8), np.sqrt(((parts - meant) ** 2).sum(axis=(1, 2)))
 
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distance of the query's residual to each code of each subspace, in a row."""
@@ -100,6 +102,35 @@ def _share(sample: np.ndarray, own: np.ndarray, centroids: np.ndarray, k: int =
     return float((needed[int(SAMPLE_RECALL * (len(needed) - 1))] + 1) / len(centroids)) if len(needed) else 1.0
 
 
+def _best(q: np.ndarray, x: np.ndarray, reps: np.ndarray, far: np.ndarray, err: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the ``most`` vectors nearest to q, ties to the smaller id.
+
+    far: asymmetric distances, squared; err: quantisation errors. A vector lies
+    no nearer than its asymmetric distance less its error, so all that can beat
+    the ``most``-th best of the first RERANKED are measured, however many.
+    """
+    d = np.full(len(reps), np.inf)
+
+    def measure(at: np.ndarray) -> None:
+        d[at] = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
+
+    if len(reps) <= RERANKED:
+        measure(np.arange(len(reps)))
+    else:
+        first = np.argpartition(far, RERANKED - 1)[:RERANKED]
+        measure(first)
+        if most <= RERANKED:
+            limit, near = np.partition(d[first], most - 1)[most - 1], np.sqrt(far)
+            able = near - err <= limit + 1e-9 * (near + err + limit)  # room for rounding
+        else:
+            able = np.ones(len(reps), bool)
+        able[first] = False
+        measure(np.flatnonzero(able))
+    at = np.flatnonzero(d < np.inf)
+    at = at[np.lexsort((reps[at], d[at]))[:most]]
+    return at, d[at]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -120,8 +151,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     Centroids and codebooks are fitted on a sample of at most SAMPLE vectors;
     all vectors are indexed. A query looks into the nearest cells, as many as
     the sample shows to be needed and more where they hold few vectors;
-    asymmetric distance tables rank the cells' codes, and the best are ranked
-    again by exact double-precision distances.
+    asymmetric distance tables rank the cells' codes, and all that can be among
+    the best by their quantisation errors are ranked again by exact
+    double-precision distances, so within the cells no neighbour is lost.
 
     Null, zero and non-finite vectors, rows without an id and vectors of another
     length than most take no part; equal rows count once. Where fewer than k others
@@ -145,10 +177,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cell, codes = sent.value.encode(_matrix(b.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "cell", "code"])
+                cell, codes, err = sent.value.encode(_matrix(b.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err, pa.float64()), b.column("v")], ["rep", "cell", "code", "err", "v"])
 
-    coded = materialize(classes.select("rep", "v").mapInArrow(encode, "rep long, cell int, code binary"), "codes")
+    coded = materialize(classes.select("rep", "v").mapInArrow(encode, "rep long, cell int, code binary, err double, v array<double>"), "codes")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in coded.groupBy("cell").count().collect():  # a row for each cell, MOST_CELLS at most
         sizes[r["cell"]] = r["count"]
@@ -177,18 +209,21 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
 
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v")
     queries = materialize(queries, "queries")
-    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    asked = materialize(queries.mapInArrow(probe, "query_id long, bin long, cells array<int>"), "asked")
+    # A bin's entries are sent once for each block of the queries that ask it; a row for each bin.
+    blocks = F.broadcast(asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("blocks")))
     draw = F.pmod(F.xxhash64("rep"), F.col("size"))
-    left = coded.join(F.broadcast(places), "cell").select("rep", "cell", "code", F.floor((F.col("start") + draw) / SHARD).alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.mapInArrow(probe, "query_id long, bin long, cells array<int>")
-    right = asked.join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    placed = coded.join(F.broadcast(places), "cell").withColumn("bin", F.floor((F.col("start") + draw) / SHARD)).join(blocks, "bin")
+    left = placed.select("rep", "cell", "code", "err", "v", "bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = asked.join(blocks, "bin").join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
 
     def scan(entries: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         ix = sent.value
-        ids, found, fars = [], [], []
+        ids, found, scores = [], [], []
         if len(entries) and len(asks):
             entries = entries.sort_values(["cell", "rep"])
-            reps, cell = entries["rep"].to_numpy(), entries["cell"].to_numpy()
+            reps, cell, err = entries["rep"].to_numpy(), entries["cell"].to_numpy(), entries["err"].to_numpy()
+            x = np.stack(entries["v"].to_list()).astype(np.float64)
             codes = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(reps), -1).astype(np.int64)
             codes += np.arange(codes.shape[1]) * CODES
             which, lo = np.unique(cell, return_index=True)
@@ -197,25 +232,19 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
                 v, parts = np.asarray(v, np.float64), [(c, *span[c]) for c in cells if c in span]
                 if parts:
                     far = np.concatenate([ix.tables(v, c)[codes[a:b]].sum(axis=1) for c, a, b in parts])
-                    rep = np.concatenate([reps[a:b] for _, a, b in parts])
-                    best = np.lexsort((rep, far))[:RERANKED]
+                    at = np.concatenate([np.arange(a, b) for _, a, b in parts])
+                    best, d = _best(v, x[at], reps[at], far, err[at], k + 1)  # the query itself may be one
                     ids.append(np.full(len(best), q, np.int64))
-                    found.append(rep[best])
-                    fars.append(far[best])
+                    found.append(reps[at[best]])
+                    scores.append(d)
         if not ids:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "far": np.empty(0)})
-        return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(found), "far": np.concatenate(fars)})
-
-    near = left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInPandas(scan, "query_id long, rep long, far double")
-    best = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("far", "rep"))).where(F.col("r") <= RERANKED)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = np.sqrt(((_matrix(b.column("v"), dim) - _matrix(b.column("q"), dim)) ** 2).sum(axis=1)) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(d, pa.float64())], ["query_id", "ids", "score"])
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "score": np.empty(0)})
+        return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(found), "score": np.concatenate(scores)})
 
-    pairs = best.select("query_id", "rep").join(classes, "rep").join(queries.withColumnRenamed("v", "q"), "query_id")
-    measured = pairs.select("query_id", "ids", "v", "q").mapInArrow(measure, "query_id long, ids array<long>, score double")
+    near = left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInPandas(scan, "query_id long, rep long, score double")
+    # Each entry holds an id at least, so the k + 1 best entries hold the k best ids besides the query's own.
+    best = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
+    measured = best.join(classes.select("rep", "ids"), "rep")
     each = measured.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
