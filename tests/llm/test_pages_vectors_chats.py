@@ -42,6 +42,25 @@ def test_plain_text_stays():
     assert html_text.main_text("<p>one, two, three.<p>four, five, six.") == "one, two, three.\n\nfour, five, six."
 
 
+LINES = ["One long line of the text, with words, and marks; it goes on and on, for a while.", "Another line of it, which says more, and more, and yet more, of the same.", "The third line, last of them, ends what was said before, in so many words."] * 3
+HEAD, LEAD = "A short title", "A lead, of a few words."
+BODY = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h1>{HEAD}</h1><p class=lead>{LEAD}</p><div class=body>{BODY}</div></article>", [HEAD, LEAD, *LINES]),
+    (f"<div id=page><h1>{HEAD}</h1><div class=body>{BODY}</div></div>", [HEAD, *LINES]),
+    (f"<main><h1>{HEAD}</h1><p>{LEAD}</p><blockquote>{BODY}</blockquote></main>", [HEAD, LEAD, *LINES]),
+    (f"<article><h1>{HEAD}</h1>{BODY}<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul></article>", [HEAD, *LINES, "Source one", "Source two"]),
+    (f"<div>{BODY}<p><a href=a>A linked paragraph, as long as others are.</a></p></div>", [*LINES, "A linked paragraph, as long as others are."]),
+    (f"<body class='has-sidebar'><nav>menu</nav><h1>{HEAD}</h1>{BODY}<div class=sidebar><p>Read this, and that.</p></div></body>", [HEAD, *LINES]),
+    (f"<h1>{HEAD}</h1><div class='post share-open'>{BODY}</div>", [HEAD, *LINES]),
+    (f"<main><article class='post'><h1>{HEAD}</h1>{BODY}</article><section class=comments>{BODY * 4}</section></main>", [HEAD, *LINES]),
+])
+def test_no_part_of_an_article_is_dropped(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "k"), (2, None, None, "k"), (None, "u", "", "k"), (3, "u", "<p>" + "long text, and more. " * 50_000 + "</p>", "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")

@@ -53,24 +53,29 @@ class Block:
     linked: int
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+#: Marks of an element: none, a cue in its class or id, furniture for sure.
+PLAIN, CUED, FIXED = 0, 1, 2
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return FIXED
+    mark = PLAIN
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower() if name.lower() == "style" else value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return FIXED
         if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
-            return True
+            return FIXED
         if name in ("class", "id") and any(w.lower() in CUES for w in _WORD.findall(value)):
-            return True
-    return False
+            mark = CUED
+    return mark
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, bool]]]:
-    """Text blocks in page order, and the paths as (parent, tag and class, furniture)."""
-    paths: list[tuple[int, str, bool]] = [(-1, "", False)]
-    known: dict[tuple[int, str, bool], int] = {}
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
+    """Text blocks in page order, and the paths as (parent, tag and class, the element's own mark)."""
+    paths: list[tuple[int, str, int]] = [(-1, "", PLAIN)]
+    known: dict[tuple[int, str, int], int] = {}
     stack: list[tuple[str, int]] = [("", 0)]
     blocks: list[Block] = []
     parts: list[str] = []
@@ -143,9 +148,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, bool]]]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "body", "article"):
                     break
         parent = stack[-1][1]
-        bad = paths[parent][2] or _is_furniture(tag, m[3], articles > 0)
+        mark = _furniture(tag, m[3], articles > 0)
         called = tag + "".join("." + w for k, v in _ATTRIBUTE.findall(m[3]) if k.lower() == "class" for w in v.strip("\"'").split()[:2]) if m[3] else tag
-        key = (parent, called, bad)
+        key = (parent, called, mark)
         if key not in known:
             known[key] = len(paths)
             paths.append(key)
@@ -162,7 +167,10 @@ def main_text(page: str | None) -> str:
     less its linked share. The two ratios, smoothed along the page, multiply to
     the path's score; paths in page furniture score nothing. Paths whose mean
     score reaches the threshold are content, and with them the other blocks of
-    the element that holds most of their text, but for furniture and link lists.
+    the article, or else of the lowest element around all content paths, and
+    headings of the first rank, but for furniture. Link lists go where they lie
+    outside articles and content paths. A cue in a class or id marks no element
+    that holds most of the page's score, unless an article elsewhere has text.
     """
     if not page:
         return ""
@@ -170,26 +178,36 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     own = np.array([b.path for b in blocks])
-    free = np.array([not paths[b.path][2] for b in blocks])
     size = np.array([len(b.text) for b in blocks], float)
     link = np.array([b.linked for b in blocks], float) / size
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
     ids, index = np.unique(own, return_inverse=True)
+    chains = [_chain(p, paths) for p in ids.tolist()]
     nodes = np.bincount(index)
     text_ratio = np.bincount(index, size * (1 - link)) / nodes
     mark_ratio = np.bincount(index, marks * (1 - link)) / nodes
-    score = _smooth(np.where(free, text_ratio[index], 0.0)) * (1.0 + _smooth(np.where(free, mark_ratio[index], 0.0)))
-    score = np.where(free, score, 0.0)
+
+    def scores(free: np.ndarray) -> np.ndarray:
+        found = _smooth(np.where(free, text_ratio[index], 0.0)) * (1.0 + _smooth(np.where(free, mark_ratio[index], 0.0)))
+        return np.where(free, found, 0.0)
+
+    fixed = np.array([any(paths[q][2] == FIXED for q in c) for c in chains])
+    cued = {q for c in chains for q in c if paths[q][2] == CUED}
+    if cued:
+        cued -= _wrappers(cued, chains, np.bincount(index, scores(~fixed[index])), fixed, paths)
+    free = ~(fixed | np.array([any(q in cued for q in c) for c in chains]))[index]
+    score = scores(free)
     if not score.any():
         return ""
     by_path = np.bincount(index, score) / nodes
     weight = np.bincount(index, score * size) / np.maximum(np.bincount(index, size), 1)
     threshold = min(score[free].std(), 0.5 * weight.max())
     picked = (by_path >= threshold) & (by_path > 0)
-    chosen = picked[index] & free
-    root = _container(own[chosen], size[chosen], paths)
-    inside = np.array([_below(p, root, paths) for p in own])
-    keep = free & inside & (link < 0.5)
+    root = _container([c for c, k in zip(chains, picked) if k], paths)
+    inside = np.array([root in c for c in chains])
+    article = np.array([any(_tag(q, paths) == "article" for q in c) for c in chains])
+    heading = np.array([_tag(c[-1], paths) == "h1" for c in chains])
+    keep = free & (picked | (inside & article))[index] | free & (inside | heading)[index] & (link < 0.5)
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
@@ -201,7 +219,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel, "full")[r : r + len(values)]
 
 
-def _chain(path: int, paths: list[tuple[int, str, bool]]) -> list[int]:
+def _chain(path: int, paths: list[tuple[int, str, int]]) -> list[int]:
     out = []
     while path >= 0:
         out.append(path)
@@ -209,25 +227,36 @@ def _chain(path: int, paths: list[tuple[int, str, bool]]) -> list[int]:
     return out[::-1]
 
 
-def _container(chosen: np.ndarray, size: np.ndarray, paths: list[tuple[int, str, bool]]) -> int:
-    """The deepest path, above the text's own element, that holds nine tenths of the chosen text."""
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for p in np.unique(chosen).tolist():
-        chain = _chain(p, paths)
-        for d, q in enumerate(chain[:-1] if len(chain) > 1 and paths[p][1].split(".")[0] not in ("article", "main", "body", "section", "div", "td") else chain):
-            held[q] = held.get(q, 0.0) + float(size[chosen == p].sum())
-            depth[q] = d
-    total = float(size.sum())
-    return max((q for q in held if held[q] >= 0.9 * total), key=lambda q: depth[q], default=0)
+def _tag(path: int, paths: list[tuple[int, str, int]]) -> str:
+    return paths[path][1].split(".")[0]
 
 
-def _below(path: int, root: int, paths: list[tuple[int, str, bool]]) -> bool:
-    while path >= 0:
-        if path == root:
-            return True
-        path = paths[path][0]
-    return False
+def _wrappers(cued: set[int], chains: list[list[int]], score: np.ndarray, fixed: np.ndarray, paths: list[tuple[int, str, int]]) -> set[int]:
+    """Elements with a cue that hold most of the score, so the cue speaks of the page and not of them.
+
+    A long list of comments may hold as much: where an article that isn't
+    around the element has text of its own, the cue stands.
+    """
+    out = set()
+    for q in cued:
+        under = np.array([q in c for c in chains])
+        if score[under].sum() > 0.5 * score.sum():
+            around = _chain(q, paths)
+            rest = (c for c, u, f in zip(chains, under, fixed) if not u and not f)
+            if not any(_tag(p, paths) == "article" and p not in around for c in rest if not any(x in cued for x in c if x not in around) for p in c):
+                out.add(q)
+    return out
+
+
+def _container(chains: list[list[int]], paths: list[tuple[int, str, int]]) -> int:
+    """The innermost article or main element around all content paths, or else the lowest element around them, above the text's own element."""
+    shared = chains[0]
+    if len(shared) > 1 and _tag(shared[-1], paths) not in ("article", "main", "body", "section", "div", "td"):
+        shared = shared[:-1]
+    for c in chains[1:]:
+        n = next((i for i, (a, b) in enumerate(zip(shared, c)) if a != b), min(len(shared), len(c)))
+        shared = shared[:n]
+    return next((q for q in reversed(shared) if _tag(q, paths) in ("article", "main")), shared[-1])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
