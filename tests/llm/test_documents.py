@@ -277,6 +277,22 @@ def test_license_rules(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "", 5: "", 6: "", 7: "ISC,MIT", 8: ""}
 
 
+def test_license_versions(spark):
+    grant = "Frob is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    fsf, later = " as published by the Free Software Foundation", "of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, "
+    only2, later3 = f"{grant}{fsf}; version 2 of the License.", f"{grant}{fsf}, either version 3 {later}"
+    texts = {
+        only2: "GPL-2.0-only", later3: "GPL-3.0-or-later", grant + fsf + ".": "GPL", grant + " version 2" + fsf + ".": "GPL-2.0-only",
+        **{f"{grant}{fsf}{m} either version {v} {later}": f"GPL-{v}.0-or-later" for m in ";," for v in (1, 2, 3)},
+        **{f"{grant}{fsf}{m} version {v} of the License.": f"GPL-{v}.0-only" for m in ";," for v in (1, 2, 3)},
+        f"{only2} {licenses.SENTENCES['hope_gpl']}.\n\nNext. {later3}": "GPL-2.0-only,GPL-3.0-or-later",
+        mpl + "v. 2.0.": "MPL-2.0", mpl + "v. 1.1.": "", mpl + "version 2.0.": "MPL-2.0", "2.0": "",
+    }
+    got = dict(rows(licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")), "text", "licenses"))
+    assert got == texts
+
+
 def test_license_odd_rows(clashing):
     got = licenses.scan_licenses(clashing)
     assert got.count() == len(ODD) and {r["licenses"] for r in got.collect()} == {"kept"} and "licenses_" in got.columns

@@ -39,6 +39,19 @@ SENTENCES: dict[str, str] = {
     "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+_FSF = " as published by the Free Software Foundation"
+# The grant's version clauses, each after a semicolon or a comma; both forms of or-later above are among them.
+for _v in (1, 2, 3):
+    for _mark in ";,":
+        SENTENCES[f"later_gpl{_v}{_mark}"] = f"{_GPL}{_FSF}{_mark} either version {_v} of the License, or (at your option) any later version"
+        SENTENCES[f"only_gpl{_v}{_mark}"] = f"{_GPL}{_FSF}{_mark} version {_v} of the License"
+    SENTENCES[f"only_gpl{_v}"] = f"{_GPL} version {_v}{_FSF}"
+SENTENCES["grant_gpl"] = _GPL + _FSF
+SENTENCES["mpl2_word"] = "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"
+#: Normalised openings that name the program; texts put another name there, so no rule asks for them.
+OPENINGS = frozenset({"this program is free software"})
+
 # Names under which texts declare a licence in one line.
 NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("the MIT License", "MIT License", "the MIT license (MIT)", "MIT"),
@@ -64,7 +77,7 @@ NAMES: dict[str, tuple[str, ...]] = {
 SUBJECTS = ("", "This work is ", "This file is ", "This project is ", "This software is ", "This program is ", "This code is ", "This document is ", "It is ", "The code is ", "All content is ")
 VERBS = ("licensed under ", "released under ", "distributed under ", "published under ", "available under ", "made available under ")
 
-#: Ordered rules: a licence and the identifiers that must follow in this order, others may lie between.
+#: Ordered rules: a licence and the wordings that must follow in this order, others may lie between; the parts of a wording follow each other at once.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("grant_mit", "notice_mit", "as_is_mit")),
     ("MIT", ("grant_mit", "notice_mit")),
@@ -72,14 +85,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("grant_bsd", "source_bsd", "binary_bsd")),
     ("Apache-2.0", ("grant_apache", "only_apache", "obtain_apache", "as_is_apache")),
     ("Apache-2.0", ("grant_apache",)),
-    ("GPL-2.0-or-later", ("grant_gpl2", "hope_gpl")),
-    ("GPL-2.0-or-later", ("grant_gpl2",)),
-    ("GPL-3.0-or-later", ("grant_gpl3", "hope_gpl")),
-    ("GPL-3.0-or-later", ("grant_gpl3",)),
+    *((f"GPL-{v}.0-or-later", (f"later_gpl{v}{mark}", *hope)) for v in (3, 2, 1) for mark in ";," for hope in (("hope_gpl",), ())),
+    *((f"GPL-{v}.0-only", (f"only_gpl{v}{mark}", *hope)) for v in (3, 2, 1) for mark in (";", ",", "") for hope in (("hope_gpl",), ())),
+    ("GPL", ("grant_gpl",)),  # no version, or a clause that isn't known
     ("Zlib", ("zlib", "zlib_grant")),
     ("ISC", ("grant_isc",)),
     ("ISC", ("grant_isc_and",)),
     ("MPL-2.0", ("mpl2",)),
+    ("MPL-2.0", ("mpl2_word",)),
     ("Unlicense", ("unlicense",)),
     *((name, (f"declared {name}",)) for name in NAMES),
 )
@@ -92,16 +105,22 @@ WRAPPED_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|\r?\n[ \t]*\r?\n"
 
 
 def normalise(sentence: str) -> str:
-    """ASCII letters in lower case, digits and full stops stay; all else parts words. A licence wording is cut at its inner sentence ends as texts are."""
+    """ASCII letters in lower case, digits and full stops stay; all else parts words."""
     return re.sub(r"[^a-z0-9.]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip(" ")
 
 
+def parts_of(wording: str) -> list[str]:
+    """The normalised sentences of a licence wording, cut at its inner sentence ends as texts are."""
+    return [p for p in (normalise(x) for x in re.split(LINE_END.replace(r"\z", r"\Z"), wording)) if p]
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier: the licence wordings, and declarations built by rule."""
+    """Normalised sentence to identifier: every part of the licence wordings, and declarations built by rule."""
     known = {}
     for ident, wording in SENTENCES.items():
-        parts = [p for p in (normalise(x) for x in re.split(LINE_END.replace(r"\z", r"\Z"), wording)) if p]
-        known[max(parts, key=len)] = ident  # its longest sentence stands for it
+        parts = parts_of(wording)
+        for p in parts:
+            known.setdefault(p, ident if len(parts) == 1 else f"part {p}")
     for name, called in NAMES.items():
         for c in called:
             for s in SUBJECTS:
@@ -113,16 +132,17 @@ def known_sentences() -> dict[str, str]:
 
 
 def identifiers() -> dict[str, int]:
-    return {ident: i + 1 for i, ident in enumerate([*SENTENCES, *(f"declared {n}" for n in NAMES)])}
+    return {ident: i + 1 for i, ident in enumerate(dict.fromkeys(known_sentences().values()))}
 
 
 def rule_patterns() -> list[tuple[int, str, str]]:
     """(licence number, pattern, replacement) of each rule over a sequence such as ``12,7,31,``."""
-    number, codes = {n: i + 1 for i, n in enumerate(licence_names())}, identifiers()
+    number, codes, known = {n: i + 1 for i, n in enumerate(licence_names())}, identifiers(), known_sentences()
     gap = r"((?:L?\d+,)*?)"
     out = []
     for name, idents in RULES:
-        pattern = r"\b" + gap.join(f"{codes[i]}," for i in idents)
+        parts = [[known[p] for p in parts_of(SENTENCES[i]) if p not in OPENINGS] if i in SENTENCES else [i] for i in idents]
+        pattern = r"\b" + gap.join("".join(f"{codes[p]}," for p in some) for some in parts)
         out.append((number[name], pattern, f"L{number[name]}," + "".join(f"${k + 1}" for k in range(len(idents) - 1))))
     return out
 
