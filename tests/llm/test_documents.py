@@ -48,6 +48,20 @@ def test_languages_of_odd_rows(clashing):
     assert langid.identify_languages(empty_of(clashing), model).count() == 0
 
 
+def test_frequent_languages_stay_among_many_labels(spark):
+    docs = spark.range(2400).selectExpr("id as doc_id", "if(id < 1200, concat('en-', id), if(id % 2 = 0, 'en', 'de')) as lang", "'some text' as text")
+    got = langid.labelled_sample(docs, "doc_id", "text", "lang")
+    assert len({lang for _, lang, _ in got}) == 1202
+    assert all(400 < sum(x == lang for _, x, _ in got) < 600 for lang in ("en", "de"))
+
+
+def test_more_languages_than_dimensions():
+    texts = [(i, f"l{k:02}", " ".join(f"{chr(97 + k)}{chr(97 + (k * j + i) % 20)}" for j in range(1, 12))) for i in range(30) for k in range(20)]
+    model = langid.train(texts)
+    assert model.table.shape == (langid.BUCKETS, langid.DIM) and len(model.languages) == 20
+    assert sum(model.predict(t)[0] == lang for _, lang, t in texts) / len(texts) > 0.9
+
+
 def test_no_labels_predict_nothing(odd):
     model = langid.train(langid.labelled_sample(odd.where("lang = 'none'"), "doc_id", "text", "lang"))
     assert {r["lang_pred"] for r in langid.identify_languages(odd, model).collect()} == {"und"}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweave.runtime import col_of, fresh_name
+from treeweave.runtime import col_of, fresh_name, materialize
 
 UNDETERMINED = "und"
 #: Rows in the embedding table; subwords are hashed onto them.
@@ -84,18 +84,22 @@ def _pieces(text: str) -> Iterator[str]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """table: each bucket's embedding times the linear layer, one column a language (the mean of products is the product of the mean); threshold: scores below it are rejected."""
+    """table: each bucket's embedding times the linear layer, one column a language (the mean of products is the product of the mean); threshold: scores below it are rejected.
+
+    Where languages outnumber DIM, ``layer`` is the linear layer and ``table`` the embeddings alone, so the table never grows with them.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     temperature: float
     threshold: float
+    layer: np.ndarray | None = None
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
         """Calibrated probabilities of the whole text, or None if it has no letter."""
         if not text or not self.languages:
             return None
-        total, n, any_letter = np.zeros(len(self.languages)), 0, False
+        total, n, any_letter = np.zeros(self.table.shape[1]), 0, False
         for piece in _pieces(text):
             ids, letters = subwords(piece)
             any_letter |= letters
@@ -104,7 +108,7 @@ class LanguageModel:
                 n += len(ids)
         if not any_letter or not n:
             return None
-        z = total / n / self.temperature
+        z = (total if self.layer is None else total @ self.layer) / n / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -177,12 +181,13 @@ def train(texts: list[tuple[int, str, str]], epochs: int = 4, rate: float = 0.5,
             seen[ids] = True
             # each subword is stepped as if it stood alone among sqrt(n): else long texts hardly move their rows
             emb[ids] = rows - (lr * np.sqrt(len(ids), dtype=np.float32)) * np.outer(share, grad)
-    table = np.where(seen[:, None], emb @ out, 0)
-    logits = np.array([share @ table[ids] for _, ids, share in held]) if held else np.zeros((0, k))
+    layer = out if k > DIM else None
+    table = np.where(seen[:, None], emb if k > DIM else emb @ out, 0)
+    logits = np.array([share @ table[ids] if layer is None else share @ table[ids] @ layer for _, ids, share in held]) if held else np.zeros((0, k))
     labels = np.array([y for y, _, _ in held], np.int64)
     temperature = _temperature(logits, labels)
     threshold = _threshold(logits / temperature, labels, kept)
-    return LanguageModel(languages, table.astype(np.float32), temperature, threshold)
+    return LanguageModel(languages, table.astype(np.float32), temperature, threshold, layer)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -218,7 +223,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = rows.where("key is not null and lang is not null and text is not null")
     rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = rows.join(F.broadcast(rate.orderBy(F.desc("rate"), "lang").limit(1000)), "lang").where(draw < F.col("rate"))
+    # All languages, written down: Spark broadcasts them if they are few, and joins them otherwise.
+    picked = rows.join(materialize(rate, "rates"), "lang").where(draw < F.col("rate"))
     got = picked.select("key", "lang", "text").orderBy(F.xxhash64("key"), "key", "lang").limit(in_all)
     return [(r["key"], r["lang"], r["text"]) for r in got.toLocalIterator()]
 
