@@ -23,13 +23,20 @@ BLOCK = frozenset(
     "html body article aside header footer nav main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption form fieldset legend address details summary hgroup center dialog menu head button".split()
 )
+#: Elements that are furniture by the standard; ``header`` is too, outside an article.
 FURNITURE = frozenset("nav footer aside form head menu dialog button fieldset".split())
-# Words in class and id attributes that mark page furniture.
+# Words that name page furniture in class and id attributes, and words that may stand beside them.
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond pagination pager toolbar copyright legal widget skip hidden".split()
 )
+BESIDE = frozenset(
+    "site page main top bottom left right inner outer box block wrapper wrap container area section list item items bar unit slot text body title header "
+    "link links button buttons icon icons post posts article articles user reader form group row col primary secondary global the".split()
+)
+#: Elements that belong to running text: they stand in a box, and are none themselves.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hgroup details summary center header address".split())
 #: Start tags that end an open element of the same kind.
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -39,45 +46,65 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？；،؛؟।]")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_HEADING = re.compile("h[1-6]")
 _ENDS: dict[str, re.Pattern[str]] = {}
 #: Width of the Gaussian that smooths path ratios along the page.
 SIGMA = 1.0
+#: Share of the text-weighted greatest path score that a content path reaches.
+THRESHOLD = 0.5
 
 
 @dataclass
 class Block:
-    """One run of text between block boundaries: its tag path, its text and how much of it lies in links."""
+    """One run of text between block boundaries: its element, its text and how much of it lies in links."""
 
-    path: int
+    node: int
     text: str
     linked: int
 
 
-#: Marks of an element: none, a cue in its class or id, furniture for sure.
+@dataclass
+class Page:
+    """Text blocks in page order, and the block elements: parent, tag, tag path, mark and whether it holds block elements. Element 0 is the page."""
+
+    blocks: list[Block]
+    parent: list[int]
+    tag: list[str]
+    path: list[int]
+    mark: list[int]
+    layout: list[bool]
+
+
+#: Marks of an element: none, a class or id that names furniture, furniture by the standard.
 PLAIN, CUED, FIXED = 0, 1, 2
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+def _is_cue(token: str) -> bool:
+    """Whether a class or id names furniture: one of its words does, and no word says anything else."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    return any(w in CUES for w in words) and all(w in CUES or w in BESIDE for w in words)
+
+
+def _mark(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> int:
     if tag in FURNITURE or (tag == "header" and not in_article):
         return FIXED
     mark = PLAIN
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'").lower() if name.lower() == "style" else value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+    for name, value in attributes:
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value.lower())):
             return FIXED
-        if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
+        if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return FIXED
-        if name in ("class", "id") and any(w.lower() in CUES for w in _WORD.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_is_cue, value.split())):
             mark = CUED
     return mark
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
-    """Text blocks in page order, and the paths as (parent, tag and class, the element's own mark)."""
-    paths: list[tuple[int, str, int]] = [(-1, "", PLAIN)]
-    known: dict[tuple[int, str, int], int] = {}
+def read_page(page: str) -> Page:
+    """The page's text blocks and elements. A tag path tells elements by tag and first two classes, from the root down."""
+    out = Page([], [-1], [""], [0], [PLAIN], [False])
+    known: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int]] = [("", 0)]
-    blocks: list[Block] = []
     parts: list[str] = []
     linked, links, articles = 0, 0, 0
 
@@ -86,7 +113,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(stack[-1][1], text, min(linked, len(text))))
+                out.blocks.append(Block(stack[-1][1], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -121,7 +148,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
                 end = _ENDS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I)).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag in ("a",):
+        if tag == "a":
             links = 0 if closing else 1
             continue
         if tag == "br" or tag == "hr":
@@ -138,7 +165,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
             links = 0 if tag in ("li", "p", "nav", "div", "ul", "article", "td") else links
             continue
         flush()
-        if stack[-1][0] == "p" or re.fullmatch("h[1-6]", stack[-1][0]) and re.fullmatch("h[1-6]", tag):
+        if stack[-1][0] == "p" or _HEADING.fullmatch(stack[-1][0]) and _HEADING.fullmatch(tag):
             close(len(stack) - 1)
         if ends := SIBLING.get(tag):
             for i in range(len(stack) - 1, 0, -1):
@@ -147,68 +174,186 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, int]]]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "body", "article"):
                     break
-        parent = stack[-1][1]
-        mark = _furniture(tag, m[3], articles > 0)
-        called = tag + "".join("." + w for k, v in _ATTRIBUTE.findall(m[3]) if k.lower() == "class" for w in v.strip("\"'").split()[:2]) if m[3] else tag
-        key = (parent, called, mark)
-        if key not in known:
-            known[key] = len(paths)
-            paths.append(key)
-        stack.append((tag, known[key]))
+        above = stack[-1][1]
+        attributes = [(k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])] if m[3] else []
+        called = tag + "".join("." + w for k, v in attributes if k == "class" for w in v.split()[:2])
+        path = known.setdefault((out.path[above], called), len(known) + 1)
+        stack.append((tag, len(out.tag)))
+        out.parent.append(above)
+        out.tag.append(tag)
+        out.path.append(path)
+        out.mark.append(_mark(tag, attributes, articles > 0))
+        # an unnamed section is part of the text around it; a table cell with block elements in it lays out the page
+        out.layout.append(tag not in TEXTUAL and (tag != "section" or bool(attributes)))
+        if tag not in ("table", "tr"):
+            for i in range(len(stack) - 2, 0, -1):
+                if stack[i][0] in ("td", "th"):
+                    out.layout[stack[i][1]] = True
+                if stack[i][0] in ("td", "th", "table"):
+                    break
         articles += tag in ("article", "main")
     flush()
-    return blocks, paths
+    return out
+
+
+def path_scores(group: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The score of each block's tag path.
+
+    group: each block's path; node and parent: its element and that element's
+    parent; size and marks: its characters and punctuation outside links, in
+    page order. A path's text ratio is the geometric mean of its text for each
+    of its elements and for each of their parents, so that paragraphs which
+    share a parent outweigh as many that have one each; its punctuation ratio
+    is its marks for each element. Both are smoothed along the page, and the text
+    ratio is fused with its smoothed form and multiplied by the punctuation's.
+    The mean over a path's blocks is its score.
+    """
+    n = int(group.max()) + 1 if len(group) else 0
+    elements = np.bincount(np.unique(np.stack([group, node]), axis=1)[0], minlength=n)
+    parents = np.bincount(np.unique(np.stack([group, parent]), axis=1)[0], minlength=n)
+    text = np.bincount(group, size, n)
+    ratio = text / np.sqrt(np.maximum(elements * parents, 1))
+    mark_ratio = np.bincount(group, marks, n) / np.maximum(elements, 1)
+    own = ratio[group]
+    fused = np.sqrt(own * _smooth(own)) * (1.0 + _smooth(mark_ratio[group]))
+    return (np.bincount(group, fused, n) / np.maximum(np.bincount(group, minlength=n), 1))[group]
+
+
+def chosen_paths(score: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Blocks whose path reaches THRESHOLD of the text-weighted mean score, so that one odd block sets no bar, and of the best path's at most."""
+    if not score.any():
+        return np.zeros(len(score), bool)
+    bar = THRESHOLD * min(score.max(), (score * size).sum() / max(size.sum(), 1e-9))
+    return (score >= bar) & (score > 0)
 
 
 def main_text(page: str | None) -> str:
     """Content blocks of a page, joined by blank lines.
 
-    For each root-to-leaf path: text per node and punctuation per node, each
-    less its linked share. The two ratios, smoothed along the page, multiply to
-    the path's score; paths in page furniture score nothing. Paths whose mean
-    score reaches the threshold are content, and with them the other blocks of
-    the article, or else of the lowest element around all content paths, and
-    headings of the first rank, but for furniture. Link lists go where they lie
-    outside articles and content paths. A cue in a class or id marks no element
-    that holds most of the page's score, unless an article elsewhere has text.
+    Blocks in furniture take no part: elements that are furniture by the
+    standard, and those whose class or id names it. A mark counts for nothing on
+    an element that holds most of the page's text, unless there is an article
+    outside it. Of the other blocks, the tag paths whose scores reach the
+    threshold are content. With them come the blocks of running text in the same
+    boxes (elements that aren't part of running text) and, in an article that
+    holds content, text elements in other boxes that stand alone and all between
+    the article and the content; and headings of first rank above the content.
+    Lists of links go where they lie outside articles and content paths.
     """
     if not page:
         return ""
-    blocks, paths = blocks_of(page)
-    if not blocks:
-        return ""
-    own = np.array([b.path for b in blocks])
-    size = np.array([len(b.text) for b in blocks], float)
-    link = np.array([b.linked for b in blocks], float) / size
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
-    ids, index = np.unique(own, return_inverse=True)
-    chains = [_chain(p, paths) for p in ids.tolist()]
-    nodes = np.bincount(index)
-    text_ratio = np.bincount(index, size * (1 - link)) / nodes
-    mark_ratio = np.bincount(index, marks * (1 - link)) / nodes
-
-    def scores(free: np.ndarray) -> np.ndarray:
-        found = _smooth(np.where(free, text_ratio[index], 0.0)) * (1.0 + _smooth(np.where(free, mark_ratio[index], 0.0)))
-        return np.where(free, found, 0.0)
-
-    fixed = np.array([any(paths[q][2] == FIXED for q in c) for c in chains])
-    cued = {q for c in chains for q in c if paths[q][2] == CUED}
-    if cued:
-        cued -= _wrappers(cued, chains, np.bincount(index, scores(~fixed[index])), fixed, paths)
-    free = ~(fixed | np.array([any(q in cued for q in c) for c in chains]))[index]
-    score = scores(free)
-    if not score.any():
+    p = read_page(page)
+    if not p.blocks:
         return ""
-    by_path = np.bincount(index, score) / nodes
-    weight = np.bincount(index, score * size) / np.maximum(np.bincount(index, size), 1)
-    threshold = min(score[free].std(), 0.5 * weight.max())
-    picked = (by_path >= threshold) & (by_path > 0)
-    root = _container([c for c, k in zip(chains, picked) if k], paths)
-    inside = np.array([root in c for c in chains])
-    article = np.array([any(_tag(q, paths) == "article" for q in c) for c in chains])
-    heading = np.array([_tag(c[-1], paths) == "h1" for c in chains])
-    keep = free & (picked | (inside & article))[index] | free & (inside | heading)[index] & (link < 0.5)
-    return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
+    own = np.array([b.node for b in p.blocks])
+    length = np.array([len(b.text) for b in p.blocks], float)
+    link = np.array([b.linked for b in p.blocks], float) / length
+    size = length * (1 - link)
+    inside = _marked(p, own, length, size)
+    free = ~inside[own]
+    if not free.any():
+        if "article" in p.tag or "main" in p.tag:
+            return ""
+        free = np.array([p.mark[n] != FIXED for n in own])
+        if not free.any():
+            return ""
+    at = np.flatnonzero(free)
+    own, link, size = own[at], link[at], size[at]
+    path, parent = np.array(p.path)[own], np.array(p.parent)[own]
+    _, group = np.unique(path, return_inverse=True)
+    marks = np.array([len(_PUNCTUATION.findall(p.blocks[i].text)) for i in at.tolist()], float) * (1 - link)
+    chosen = chosen_paths(path_scores(group, own, parent, size, marks), size)
+    keep = _with_context(p, own, group, link, size, chosen)
+    return "\n\n".join(p.blocks[i].text for i, k in zip(at.tolist(), keep) if k)
+
+
+def _marked(p: Page, own: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each element lies in furniture, marks of wrappers set aside."""
+    n = len(p.tag)
+    under = np.bincount(own, size, n)
+    for i in range(n - 1, 0, -1):
+        under[p.parent[i]] += under[i]
+
+    def spread(mark: list[int]) -> np.ndarray:
+        out = np.zeros(n, bool)
+        for i in range(1, n):
+            out[i] = out[p.parent[i]] or mark[i] != PLAIN
+        return out
+
+    mark = p.mark
+    for q in [i for i in range(1, n) if mark[i] != PLAIN and under[i] > 0.5 * under[0]]:
+        inner = np.zeros(n, bool)
+        inner[q] = True
+        for i in range(q + 1, n):
+            inner[i] = inner[p.parent[i]]
+        others = spread([PLAIN if i == q else m for i, m in enumerate(mark)])
+        rest = ~inner[own] & ~others[own]
+        outside = any(p.tag[i] == "article" and not inner[i] and not others[i] for i in range(1, n)) or any(r and _in_article(p, i) for i, r in zip(own.tolist(), rest.tolist()))
+        if not outside and size[rest].sum() < 0.1 * under[q]:
+            mark = [PLAIN if i == q else m for i, m in enumerate(mark)]
+    return spread(mark)
+
+
+def _in_article(p: Page, node: int) -> bool:
+    while node > 0:
+        if p.tag[node] in ("article", "h1"):
+            return True
+        node = p.parent[node]
+    return False
+
+
+def _with_context(p: Page, own: np.ndarray, group: np.ndarray, link: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen blocks, and the blocks that belong to the same text."""
+    n = len(p.tag)
+    box, article = [0] * n, [0] * n
+    for i in range(1, n):
+        box[i] = i if p.layout[i] else box[p.parent[i]]
+        article[i] = i if p.tag[i] == "article" else article[p.parent[i]]
+    nodes = own.tolist()
+    held: dict[int, float] = {}
+    for i, s in zip(nodes, np.where(chosen, size, 0).tolist()):
+        held[article[i]] = held.get(article[i], 0.0) + s
+    articles = {a for a, s in held.items() if a and s > 0}
+    if sum(held[a] for a in articles) >= 0.5 * sum(held.values()):  # where articles hold most of the content, content is in articles
+        chosen = chosen & np.array([article[i] in articles for i in nodes])
+    boxes, above = set(), set()
+    for i, c in zip(nodes, chosen.tolist()):
+        if c and box[i] not in boxes:
+            q = box[i]
+            boxes.add(q)
+            while q and q not in above:
+                q = p.parent[q]
+                above.add(q)
+    above -= boxes
+    of_group: dict[int, set[int]] = {}
+    lists: dict[int, list[float]] = {}  # text of each outermost text element in a box: in links, in all
+    outer = [_outermost(p, i) for i in nodes]
+    for g, i, o, k, s in zip(group.tolist(), nodes, outer, link.tolist(), size.tolist()):
+        of_group.setdefault(g, set()).add(box[i])
+        linked = s * k / (1 - k) if k < 1 else 1.0
+        pair = lists.setdefault(o, [0.0, 0.0])
+        pair[0] += linked
+        pair[1] += s + linked
+    keep = chosen.copy()
+    for j, (i, g, o) in enumerate(zip(nodes, group.tolist(), outer)):
+        if keep[j]:
+            continue
+        few_links = lists[o][0] < 0.5 * lists[o][1]
+        if article[i] in articles:
+            alone = p.tag[i] in TEXTUAL and len(of_group[g]) == 1
+            keep[j] = box[i] in boxes or box[i] in above or alone
+        elif not articles:
+            keep[j] = few_links and (box[i] in boxes or (p.tag[i] == "h1" and box[i] in above))
+        else:
+            keep[j] = few_links and p.tag[i] == "h1" and (box[i] in above or box[i] in boxes)
+    return keep
+
+
+def _outermost(p: Page, node: int) -> int:
+    """The outermost element of running text around an element, within its box."""
+    while not p.layout[node] and p.parent[node] > 0 and not p.layout[p.parent[node]]:
+        node = p.parent[node]
+    return node
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -219,54 +364,16 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel, "full")[r : r + len(values)]
 
 
-def _chain(path: int, paths: list[tuple[int, str, int]]) -> list[int]:
-    out = []
-    while path >= 0:
-        out.append(path)
-        path = paths[path][0]
-    return out[::-1]
-
-
-def _tag(path: int, paths: list[tuple[int, str, int]]) -> str:
-    return paths[path][1].split(".")[0]
-
-
-def _wrappers(cued: set[int], chains: list[list[int]], score: np.ndarray, fixed: np.ndarray, paths: list[tuple[int, str, int]]) -> set[int]:
-    """Elements with a cue that hold most of the score, so the cue speaks of the page and not of them.
-
-    A long list of comments may hold as much: where an article that isn't
-    around the element has text of its own, the cue stands.
-    """
-    out = set()
-    for q in cued:
-        under = np.array([q in c for c in chains])
-        if score[under].sum() > 0.5 * score.sum():
-            around = _chain(q, paths)
-            rest = (c for c, u, f in zip(chains, under, fixed) if not u and not f)
-            if not any(_tag(p, paths) == "article" and p not in around for c in rest if not any(x in cued for x in c if x not in around) for p in c):
-                out.add(q)
-    return out
-
-
-def _container(chains: list[list[int]], paths: list[tuple[int, str, int]]) -> int:
-    """The innermost article or main element around all content paths, or else the lowest element around them, above the text's own element."""
-    shared = chains[0]
-    if len(shared) > 1 and _tag(shared[-1], paths) not in ("article", "main", "body", "section", "div", "td"):
-        shared = shared[:-1]
-    for c in chains[1:]:
-        n = next((i for i, (a, b) in enumerate(zip(shared, c)) if a != b), min(len(shared), len(c)))
-        shared = shared[:n]
-    return next((q for q in reversed(shared) if _tag(q, paths) in ("article", "main")), shared[-1])
-
-
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of ``pages`` but its markup, and ``text`` and ``n_chars`` (code points).
 
-    The whole markup is read. Null and empty pages, and pages without content,
-    give an empty text. Broken markup is read as browsers do where it matters:
-    paragraphs end at the next block, raw elements at their end tag or the end.
-    Names that clash get trailing underscores. Nothing is shuffled, so no host
-    or template is a hot group.
+    The whole markup is read, however long; the work grows with its length.
+    Null and empty pages, and pages without content, give an empty text; an
+    empty table gives no rows. Each row is read by itself: equal rows give equal
+    results. Broken markup is read as browsers do where it matters: paragraphs
+    end at the next block, raw elements at their end tag or the end. Names that
+    clash get trailing underscores. Nothing is shuffled, so no host or template
+    is a hot group.
     """
     rest = [c for c in pages.columns if c != html_col]
     n = len(rest)
