@@ -226,14 +226,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes part further; (b) each text gives hashes of shorter windows at the
     places of a difference cover, modulo a period; equal windows of two texts
     share an aligned anchor, so only windows around anchors of two documents are
-    looked at; (c) those windows meet by 128-bit hash, and the smallest id stays.
+    looked at; (c) so each match is extended from its anchor, window by window,
+    and those windows meet by a 128-bit hash of their words, and the smallest id
+    stays. Words and windows are hashed by scrambles that depend on every byte
+    and its place, not by polynomials, so texts made of few letters don't collide.
 
     Returns every column of ``docs`` with the text replaced by the kept words
     (a text that loses nothing is unchanged; null stays null), and ``n_words``,
     ``n_removed`` and ``kept_sha256``; names that clash get trailing
     underscores. keep_text=False leaves the text column out. A row with a null
     id loses nothing and removes nothing. Rows that repeat an id don't remove
-    each other's words. Texts under ``window`` words are kept whole.
+    each other's words. Null and empty texts, and texts under ``window`` words,
+    are kept whole; an empty table gives no rows. A text is read whole in one
+    task, in parts of some megabytes with the texts beside it; a longer text is
+    a part of its own.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)

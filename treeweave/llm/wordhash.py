@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Bytes whose powers are held at once; a piece ends between words.
-_PIECE = 1 << 20
-
-
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^j and base^-j modulo 2^64, for j below n."""
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _upto(n: int) -> int:
-    return 1 << max(12, (n - 1).bit_length())
+#: Words of more bytes are digested one by one.
+_LONG = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,19 +21,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _byte_table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _segments(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[lo:hi] for each span, by one prefix sum."""
-    up, down = _powers(base, _upto(len(values) + 1))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[hi] - sums[lo]) * down[lo])
-
-
 class Words:
     """The words of some texts, with their place and their hashes.
 
@@ -68,25 +43,45 @@ class Words:
         self.raw = raw
 
     def hashes(self, seed: int) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        table, out, n = _byte_table(seed), np.empty(len(self.lo), np.uint64), len(self.lo)
-        base, at = 0x9E3779B97F4A7C15 + 2 * seed, 0
-        while at < n:
-            start = self.lo[at]
-            to = max(at + 1, int(np.searchsorted(self.hi, start + _PIECE)))
-            piece = table[self.raw[start : self.hi[to - 1]]]
-            out[at:to] = _segments(piece, self.lo[at:to] - start, self.hi[at:to] - start, base)
-            at = to
-        return out
+        """A 64-bit hash of each word: eight bytes after eight are scrambled in, the length last, so no sum of letters can cancel out."""
+        n = self.hi - self.lo
+        out = np.full(len(n), mix(np.array([seed], np.uint64) + _ODD)[0], np.uint64)
+        # every eight bytes that start in the data, as a number
+        view = np.lib.stride_tricks.as_strided(np.frombuffer(self.data + b"\0" * 8, np.uint8), (len(self.data), 8), (1, 1))
+        at = np.flatnonzero(n <= _LONG)
+        for lo in range(0, _LONG, 8):
+            at = at[n[at] > lo]
+            if not len(at):
+                break
+            eight = np.ascontiguousarray(view[self.lo[at] + lo]).view("<u8")[:, 0]
+            over = np.uint64(8) * np.maximum(8 - (n[at] - lo), 0).astype(np.uint64)  # bits beyond the word's end
+            out[at] = mix((out[at] ^ ((eight << over) >> over)) * _ODD + np.uint64(seed))
+        for i in np.flatnonzero(n > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.lo[i] : self.hi[i]], digest_size=8, key=b"%d" % seed).digest(), "little")
+        return mix(out ^ n.astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window of ``width`` words that lies in one text."""
+        """First word and hash of each window of ``width`` words that lies in one text.
+
+        Hashes of 1, 2, 4 ... words are paired up by a scramble that heeds their
+        order; a window is paired from those that its width is the sum of.
+        """
         n = len(hashes) - width + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
+        start = np.uint64(2 * seed + 1)
+        part, size, done, out = hashes, 1, 0, np.full(n, mix(np.array([start]))[0], np.uint64)
+        while True:
+            if width & size:
+                out = mix(out * _ODD + part[done : done + n])
+                done += size
+            if done == width:
+                break
+            part = mix(part[:-size] * _ODD + (part[size:] ^ start))
+            size *= 2
         at = np.arange(n)
-        at = at[self.doc[at] == self.doc[at + width - 1]]
-        return at, _segments(hashes, at, at + width, 0xD1B54A32D192ED03 + 2 * seed)
+        own = self.doc[at] == self.doc[at + width - 1]
+        return at[own], out[own]
 
 
 def in_parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
