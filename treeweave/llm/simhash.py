@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeweave.operators.components import connected_components
@@ -45,15 +46,16 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, fp)`` for each row; fp is the fingerprint as a signed long."""
-    narrow = docs.select(col_of(id_col).cast("long").alias("doc_id"), col_of(text_col).cast("string").alias("text"))
+    """``(doc_id, print, fp)`` for each row; fp is the fingerprint as a signed long, print a hash that tells texts of one id apart."""
+    text = col_of(text_col).cast("string")
+    narrow = docs.select(col_of(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(fps.view(np.int64))], ["doc_id", "print", "fp"])
 
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, print long, fp long")
 
 
 def block_keys(fp: Column) -> Column:
@@ -143,26 +145,48 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Equal fingerprints are one node, so copies cost no links. Null and empty
     texts have fingerprint zero and link as any other. A repeated doc_id gives
     a row each time; a null doc_id gives a row and never names a group, unless
-    no member has an id: then component_id is null. Other columns are ignored.
+    no member has an id: then component_id is null. Texts are read whole, a
+    long one shingle after shingle. An empty table gives no rows. Other columns are ignored.
     """
+    prints, by_print = _grouped(docs, id_col, text_col)
+    return prints.join(by_print, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row, and each fingerprint's group: ``fp, root, component_id``."""
     prints = materialize(with_fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = connected_components(materialize(close_links(nodes.select("fp")), "links"))
     named = nodes.join(labels, nodes.fp == labels.vertex, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints, named.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its SimHash group: one document of each group.
+    """One row of ``docs`` for each SimHash group: that of the smallest id, or any row where no member has an id.
 
-    All columns stay. Rows that repeat the kept id stay together; rows without
-    an id are kept only where no member of their group has one.
+    All columns stay. Where rows repeat the kept id, and for groups without ids,
+    the row with the smallest hash of its text stays, and of rows that repeat
+    that text too the one with the smallest hash of all its columns. An empty
+    table gives no rows.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    keep = fresh_name(docs, "kept_id")
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(kept, col_of(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    prints, groups = _grouped(docs, id_col, text_col)
+    rows = prints.groupBy("fp", "doc_id", "print").agg(F.count(F.lit(1)).alias("n")).join(groups, "fp")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "n")
+    first = rows.groupBy("root").agg(F.min(rank).alias("k"))
+    id_, text = [fresh_name(docs, x) for x in ("kept_id", "kept_print")]
+    first = materialize(first.select(F.col("k.doc_id").alias(id_), F.col("k.print").alias(text), F.col("k.n").alias("n")), "kept")
+    own = col_of(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(col_of(text_col).cast("string")) == F.col(text))
+    once = docs.join(first.where("n = 1").drop("n"), own, "left_semi")
+    # Rows that bear one id and one text: a rank filter, which Spark cuts to a row a task before the shuffle.
+    again = docs.join(first.where("n > 1").drop("n"), own)
+    place = fresh_name(docs, "place")
+    numbered = again.withColumn(place, F.row_number().over(W.partitionBy(id_, text).orderBy(F.xxhash64(*[_hashable(docs, c) for c in docs.columns]))))
+    return once.unionByName(numbered.where(F.col(place) == 1).select(*[col_of(c) for c in docs.columns]))
+
+
+def _hashable(docs: DataFrame, name: str) -> Column:
+    """A column as a hash takes it: maps can't be hashed as they are."""
+    return F.to_json(F.struct(col_of(name))) if "map<" in docs.schema[name].dataType.simpleString() else col_of(name)
