@@ -6,22 +6,24 @@ import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweave.runtime import col_of, fresh_name
+from treeweave.runtime import col_of, free_name, fresh_name, materialize
 
 WINDOW = 10
 #: Words of a block of the shift table.
 BLOCK = 3
 #: Test words in one search table; a larger test set is searched table by table, each over all documents.
 WORDS_AT_ONCE = 500_000
-#: The tables that this Python worker used last, so that its next task finds them.
-_compiled: dict[tuple[str, int], list] = {}
+#: The search tables that this Python worker used last, so that its next task finds them.
+_compiled: dict[str, list] = {}
 
 #: Bytes 0-9, a-z and those of non-ASCII characters stay, A-Z become a-z, the rest part words.
 _KEEP = bytes(
@@ -92,11 +94,11 @@ def search(tables: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int,
     return _union(spans), items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_at_once: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_at_once: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The test set in blocks of bounded size, one block in the driver at a time."""
-    block: list[tuple[int, bytes]] = []
+    block: list[tuple[int | None, bytes]] = []
     size = 0
-    rows = benchmark.select(col_of(item_col).cast("long"), F.encode(col_of(text_col).cast("string"), "UTF-8")).dropna()
+    rows = benchmark.select(col_of(item_col).cast("long").alias("item"), F.encode(col_of(text_col).cast("string"), "UTF-8").alias("text")).where("text is not null")
     for item, text in rows.toLocalIterator(prefetchPartitions=False):
         block.append((item, bytes(text)))
         size += len(words_of(bytes(text)))
@@ -107,6 +109,27 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_at_once: i
         yield block
 
 
+def _searcher(sent: Broadcast | None, window: int):
+    """A function that searches a text's words with one block's tables; a Python worker compiles a block once and keeps the last."""
+    call = uuid.uuid4().hex
+
+    def run(words: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
+        if call not in _compiled:
+            _compiled.clear()
+            _compiled[call] = compile_tables(((i, words_of(t)) for i, t in sent.value), window) if sent else []
+        return search(_compiled[call], words)
+
+    return run
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+_ARROW_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+
+def _spans(some: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for s in some], _ARROW_SPANS)
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -122,66 +145,89 @@ def decontaminate(
     ``docs`` and: ``n_words``, ``n_hit`` (words inside any occurrence),
     ``n_items``, ``items_sha256`` (of the item ids, sorted as strings and joined
     by commas), ``contaminated`` and ``hit_spans`` (word spans, in order); names
-    that clash get trailing underscores. Null and empty texts have no words.
-    Items without an id or text take no part; rows that repeat an item id count
-    as one item. Without items, nothing is hit.
-
-    The test set is read in blocks of ``words_at_once`` words. Each block's
-    tables go to the executors and every document is searched against them in
-    place; no document is shuffled, whatever its source or text.
+    that clash get trailing underscores. Null and empty texts have no words; a
+    text is searched whole, however long. Rows that repeat an item id count as
+    one item; items without an id count for hits, but not among the items;
+    items without a text take no part. Without items, nothing is hit. Repeated
+    documents each have a row; an empty document table gives none.
+
+    The test set is read in blocks of ``words_at_once`` words, one at a time in
+    the driver and in each executor. A single block is searched in place: no
+    document is shuffled. A larger test set takes a pass over the documents for
+    each block; the hits are written down by a digest of the text and then meet
+    the documents.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, words_at_once)]
-    call = uuid.uuid4().hex
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, item_col, item_text_col, words_at_once)
+    block, more = next(blocks, None), next(blocks, None)
+    if more is None:
+        return _marked(docs, text_col, _searcher(spark.sparkContext.broadcast(block) if block else None, window))
+    text = col_of(text_col).cast("string")
+    texts = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("t")).where("t is not null")
+    hits = []
+    while block:
+        sent = spark.sparkContext.broadcast(block)
+        hits.append(materialize(texts.mapInArrow(_hits(_searcher(sent, window)), T.StructType([T.StructField("key", T.StringType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.LongType()))])), "hits"))
+        sent.destroy()
+        block, more = more, next(blocks, None)
+    found = reduce(DataFrame.unionByName, [h.dropDuplicates(["key"]) for h in hits])
+    key, spans, items = [fresh_name(docs, x) for x in ("text_key", "text_spans", "text_items")]
+    found = found.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))
+    keyed = docs.withColumn(key, F.md5(text.cast("binary"))).join(materialize(found, "found"), key, "left")
+    return _marked(keyed.select(*[col_of(c) for c in docs.columns], spans, items), text_col, None)
+
+
+def _hits(find):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, *find(words_of(t))) for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())]
+            rows = [r for r in rows if r[1]]
+            items = pa.array([sorted(x for x in r[2] if x is not None) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), _spans([r[1] for r in rows]), items], ["key", "spans", "items"])
+
+    return run
 
-    def tables(k: int) -> list[WuManber]:
-        if (call, k) not in _compiled:
-            _compiled.clear()
-            _compiled[call, k] = compile_tables(((i, words_of(t)) for i, t in blocks[k].value), window)
-        return _compiled[call, k]
 
-    inner, names = _names(docs)
+def _marked(docs: DataFrame, text_col: str, find) -> DataFrame:
+    """The new columns from ``find``, or without it from the spans and items in the last two columns of ``docs``."""
+    given_columns = docs.columns if find else docs.columns[:-2]
+    inner, names = _names(given_columns)
     n_columns = len(inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(n_columns).cast(pa.binary()).to_pylist()
-            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[int]] = [set() for _ in texts]
-            count = [0] * len(texts)
-            for k in range(max(1, len(blocks))):
-                some = tables(k) if blocks else []
-                for i, t in enumerate(texts):
-                    words = words_of(t)
-                    spans, found = search(some, words)
-                    count[i] = len(words)
-                    hits[i] += spans
-                    items[i] |= found
-            spans = [_union(h) for h in hits]
+            words = [words_of(t) for t in b.column(n_columns).cast(pa.binary()).to_pylist()]
+            if find:
+                hits = [find(w) for w in words]
+            else:
+                known = zip(b.column(n_columns + 1).to_pylist(), b.column(n_columns + 2).to_pylist())
+                hits = [([(x["lo"], x["hi"]) for x in s or ()], set(i or ())) for s, i in known]
+            spans = [_union(s) for s, _ in hits]
+            items = [sorted(str(x) for x in i if x is not None) for _, i in hits]
             n_hit = [sum(hi - lo for lo, hi in s) for s in spans]
-            sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
             new = [
-                pa.array(count, pa.int64()),
+                pa.array([len(w) for w in words], pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
-                pa.array(sha, pa.string()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                 pa.array([n > 0 for n in n_hit], pa.bool_()),
-                pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for s in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
+                _spans(spans),
             ]
             kept = [b.column(i) for i in range(n_columns)]
             yield pa.RecordBatch.from_arrays([*kept, *new], [*inner, *(f"n{i}" for i in range(len(new)))])
 
-    spans_type = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
-    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), spans_type)
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), _SPANS)
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, docs.schema)] + [T.StructField(f"n{i}", k) for i, k in enumerate(kinds)])
-    given = docs.select(*[col_of(c).alias(n) for c, n in zip(docs.columns, inner)], col_of(text_col).cast("string").alias("t"))
+    extra = [] if find else [col_of(docs.columns[-2]).alias("s"), col_of(docs.columns[-1]).alias("i")]
+    given = docs.select(*[col_of(c).alias(n) for c, n in zip(given_columns, inner)], col_of(text_col).cast("string").alias("t"), *extra)
     out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner)], *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(given_columns, inner)], *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _names(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Safe inner names for the columns of ``docs``, and free names for the new ones."""
+def _names(columns: list[str]) -> tuple[list[str], list[str]]:
+    """Safe inner names for the columns of the documents, and free names for the new ones."""
     wishes = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
-    return [f"c{i}" for i in range(len(docs.columns))], [fresh_name(docs, w) for w in wishes]
+    return [f"c{i}" for i in range(len(columns))], [free_name(columns, w) for w in wishes]
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
