@@ -52,8 +52,10 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     rows all stay. A null text is empty, a null role is an empty role; rows
     with a null conv_id are one conversation. Other columns are ignored.
 
-    A conversation is one group and must fit in a task, as each of its examples
-    must: a prefix-target expansion repeats every prefix.
+    A conversation is one group and must fit in a task as one text, as each of
+    its examples must: a prefix-target expansion repeats every prefix, so the
+    output grows with the square of the turns. Texts are formatted whole, an
+    empty table gives no rows.
     """
     turn = F.struct(
         col_of(turn_col).cast("long").alias("turn"),
@@ -64,24 +66,27 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     marked = F.transform(
         "turns",
         lambda t: F.struct(
-            (t["role"] == TARGET_ROLE).alias("target"),
             F.concat(F.lit(BEGIN), escape_role(t["role"]), F.lit("\n")).alias("head"),
             escape(t["text"]).alias("body"),
         ),
     )
-    numbered = chats.select("conv_id", marked.alias("turns"), F.size("turns").alias("n"))
-    places = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.element_at("turns", i)["target"])
-    ends = F.when(F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(0)) == F.col("n"), places).otherwise(F.concat(places, F.array("n")))
-    each = numbered.withColumn("ends", ends).select("conv_id", "turns", "n", F.posexplode("ends").alias("example", "upto"))
-    whole = F.array_join(F.transform(F.slice("turns", 1, F.col("upto") - 1), lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    own = F.element_at("turns", F.col("upto"))
-    parts = each.select("conv_id", "example", (F.col("upto") == F.col("n")).alias("last"), whole.alias("context"), own.alias("own"))
+    # The whole conversation is one text; END stands once a turn, as texts have it escaped, so a prefix of turns is what lies before the END of its last.
+    whole = F.array_join(F.transform(marked, lambda t: F.concat(t["head"], t["body"])), END)
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TARGET_ROLE, i + 1)), lambda i: i.isNotNull())
+    numbered = chats.select("conv_id", whole.alias("whole"), F.size("turns").alias("n"), places.alias("places"))
+    with_rest = F.when(F.coalesce(F.try_element_at("places", F.lit(-1)), F.lit(0)) == F.col("n"), F.col("places")).otherwise(F.concat("places", F.array("n")))
+    targets = F.size("places")
+    each = numbered.select("conv_id", "whole", "n", targets.alias("targets"), F.posexplode(with_rest).alias("example", "upto"))
+    upto = each.select("conv_id", "example", (F.col("upto") == F.col("n")).alias("last"), (F.col("example") < F.col("targets")).alias("target"), F.call_function("substring_index", "whole", F.lit(END), "upto").alias("turns"))
+    own = F.substring_index("turns", BEGIN, -1)  # the last turn: role, newline, text
+    body = F.char_length(own) - F.char_length(F.substring_index(own, "\n", 1)) - 1
+    parts = upto.select("conv_id", "example", "last", "target", "turns", body.alias("body"))
     return parts.select(
         "conv_id",
         "example",
-        F.concat("context", "own.head", "own.body", F.lit(END)).alias("formatted"),
-        F.when(F.col("own.target"), F.char_length("context") + F.char_length("own.head")).alias("loss_start"),
-        F.when(F.col("own.target"), F.char_length("own.body")).otherwise(F.lit(0)).alias("loss_length"),
+        F.concat("turns", F.lit(END)).alias("formatted"),
+        F.when(F.col("target"), F.char_length("turns") - F.col("body")).alias("loss_start"),
+        F.when(F.col("target"), F.col("body")).otherwise(F.lit(0)).alias("loss_length"),
         "last",
     )
 
