@@ -52,8 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Sources sorted by code point, null last, take the weights in turn and share
     the sum of all sizes. A target stops at ``most`` times its source's size;
-    the excess is shared again by weight until none is above. Each round is one
-    aggregation over the sources that yields three numbers.
+    the excess is shared again by weight until none is above: one pass of prefix
+    sums over the sources in the order in which they fill up.
     """
     spark = sizes.sparkSession
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -61,20 +61,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     ranked = prefix_sums(by, [], ["last", "source"], "one", "rank")
     w = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = materialize(ranked.select("source", "source_size", w.alias("weight"), (F.col("source_size") * most).alias("cap")), "sources")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    full, free = 0, ranked.agg(F.sum("weight")).first()[0] or 0
-    over = F.lit(False)
-    while free:
-        # over: weight * (total - full) / free above the cap, in whole numbers
-        over = F.col("weight").cast("decimal(38,0)") * F.lit(total - full).cast("decimal(38,0)") > F.col("cap").cast("decimal(38,0)") * F.lit(free).cast("decimal(38,0)")
-        got = ranked.agg(F.sum(F.when(over, F.col("cap"))).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("free")).first()
-        got = (got["full"] or 0, got["free"] or 0)
-        if got == (full, free):
-            break
-        full, free = got
-    share = F.col("weight").cast("double") * F.lit(float(total - full)) / F.lit(float(free)) if free else F.lit(0.0)
-    target = F.when(over, F.col("cap").cast("double")).otherwise(share)
-    return materialize(ranked.select("source", "source_size", "weight", target.alias("target")), "targets")
+    # Sources in the order in which rising shares fill them up. Once the caps before a source are full, the rest is shared
+    # by the weights from it on; the first source whose part is then no more than its cap is the first that isn't full.
+    order = [(F.col("cap").cast("double") / F.col("weight")).alias("fills"), *ranked.columns, F.col("source").isNull().alias("last")]
+    by_fill = ["fills", "last", "source"]
+    filled = prefix_sums(ranked.select(*order), [], by_fill, "cap", "full_before")
+    filled = prefix_sums(filled, [], by_fill, "weight", "weight_before")
+    sums = ranked.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).first()
+    total, weights_ = sums["total"] or 0, sums["weights"] or 0
+    whole = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("decimal(38,0)")
+    fits = whole(F.col("weight")) * (whole(total) - whole(F.col("full_before"))) <= whole(F.col("cap")) * (whole(weights_) - whole(F.col("weight_before")))
+    cut = filled.where(fits).agg(F.min(F.struct(*by_fill, "full_before", "weight_before")).alias("c")).first()["c"]
+    if cut is None:
+        target = F.col("cap").cast("double")
+    else:
+        before = F.struct("fills", "last", "source") < F.struct(F.lit(cut["fills"]).alias("fills"), F.lit(cut["last"]).alias("last"), F.lit(cut["source"]).cast("string").alias("source"))
+        share = F.col("weight").cast("double") * F.lit(float(total - cut["full_before"])) / F.lit(float(weights_ - cut["weight_before"]))
+        target = F.when(before, F.col("cap").cast("double")).otherwise(share)
+    return materialize(filled.select("source", "source_size", "weight", target.alias("target")), "targets")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -91,7 +95,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have size 0 and give nothing. Null sources are one
     source, the last. Rows with null ids hash alike and sort by size; rows that
     repeat an id are rows of their own, and equal rows are interchangeable. An
-    empty table gives an empty result. Other columns are ignored.
+    empty table gives an empty result. A long text is counted whole. Other columns are ignored.
     """
     key = F.md5(F.coalesce(col_of(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(col_of(id_col).cast("long").alias("doc_id"), col_of(source_col).cast("string").alias("source"), word_count(col_of(text_col).cast("string")).alias("size"), key.alias("key"))
