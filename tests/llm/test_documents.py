@@ -108,15 +108,30 @@ def test_decontamination_brute_force(spark):
     for at_once in (10, 500_000):
         for r in decontaminate.decontaminate(d, b, words_at_once=at_once).collect():
             words = decontaminate.words_of(r["text"].encode())
-            hit, found = brute_hits(words, [(i, decontaminate.words_of(t.encode())) for i, t in items if i is not None and t is not None])
+            hit, found = brute_hits(words, [(i, decontaminate.words_of(t.encode())) for i, t in items if t is not None])
+            found -= {None}  # an item without an id makes hits, but is no item to name
             assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(words), len(hit), len(found), bool(hit))
             assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
+def test_decontamination_of_many_blocks_and_batches(spark):
+    """Several blocks over several Arrow batches: the same rows as in one block, and a block is compiled once a task."""
+    docs = spark.range(0, 3000, 1, 2).selectExpr("id as doc_id", "if(id % 50 = 7, null, concat_ws(' ', transform(sequence(0, 40), i -> concat('w', (id * 7 + i) % 97)))) as text")
+    items = spark.range(40).selectExpr("if(id % 9 = 4, null, id) as item_id", "concat_ws(' ', transform(sequence(0, 14), i -> concat('w', (id * 2 + i) % 97))) as text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        one, many = (sorted(map(str, decontaminate.decontaminate(docs, items, words_at_once=n).collect())) for n in (500_000, 100))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == many and len(one) == 3000
+
+
 def test_decontamination_odd_rows(clashing, spark):
     items = spark.createDataFrame([(1, "word5 and5"), (2, None)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.decontaminate(clashing, items).collect()}
     assert got[6]["n_hit_"] > 0 and got[6]["N_HIT"] == "kept" and got[1]["n_words_"] == 0
+    pieces = decontaminate.decontaminate(clashing, items, words_at_once=1)
+    assert sorted(map(str, pieces.collect())) == sorted(map(str, decontaminate.decontaminate(clashing, items).collect()))
     none = decontaminate.decontaminate(clashing, items.where("false"))
     assert none.where("contaminated").count() == 0 and none.count() == len(ODD)
     assert decontaminate.decontaminate(empty_of(clashing), items).count() == 0
@@ -139,6 +154,26 @@ def test_mix_reaches_budgets(spark):
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
 
 
+def test_targets_by_plain_rounds(spark):
+    """Targets against capping round after round, for many source sizes."""
+    import random
+
+    rng = random.Random(2)
+    for sizes in ([rng.choice((0, 1, 5, 50, 1000, 100_000)) for _ in range(n)] for n in (1, 2, 3, 7, 40)):
+        rows = [(None if i == 2 else f"s{i:02}", n) for i, n in enumerate(sizes)]
+        names = sorted((s for s, _ in rows), key=lambda s: (s is None, s or ""))
+        weight, cap = {s: i % 3 + 1 for i, s in enumerate(names)}, {s: 3 * n for s, n in rows}
+        full: set = set()
+        while True:
+            left, free = sum(sizes) - sum(cap[s] for s in full), [s for s in names if s not in full]
+            share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+            if not (more := {s for s in free if share[s] > cap[s]}):
+                break
+            full |= more
+        got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+        assert got == pytest.approx({s: cap[s] if s in full else share[s] for s in names})
+
+
 def test_mix_odd_rows(clashing):
     got = mixing.mix_sources(clashing)
     assert got.count() == len(ODD) and got.where("size = 0 and taken > 0").count() == 0
@@ -277,6 +312,11 @@ def test_simhash_odd_rows(clashing):
     kept = simhash.drop_near_duplicates(clashing)
     assert kept.columns == clashing.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8]
+    # rows that repeat the kept id or text, and groups without ids: one row of each group stays
+    text = "a row without any id at all"
+    rows = [(None, text, "x"), (None, text, "y"), (4, "some other words that are here", "x"), (4, "some other words that are here", "y"), (4, "quite another text under the same id", "z"), (9, "some other words that are here", "x")]
+    got = simhash.drop_near_duplicates(clashing.sparkSession.createDataFrame(rows, "doc_id long, text string, own string").withColumn("KEPT_ID", F.create_map(F.lit("a"), F.lit(1))))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, text), (4, "quite another text under the same id"), (4, "some other words that are here")]
     assert simhash.simhash_groups(empty_of(clashing)).count() == 0
 
 

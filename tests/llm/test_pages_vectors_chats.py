@@ -134,6 +134,20 @@ def test_near_equal_vectors_of_a_large_table(spark):
     assert sum(hits.values()) / (10 * len(where)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "groups"])
+def test_recall_beyond_the_sample(spark, kind):
+    """More vectors than the index is fitted on, without and with structure; recall and exact distances."""
+    rng = np.random.default_rng(9)
+    n, dim = ann.SAMPLE + 12_000, 16
+    x = rng.normal(size=(n, dim)) + (4 * rng.normal(size=(50, dim))[rng.integers(0, 50, n)] if kind == "groups" else 0)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(vectors, lambda v: v % 1000 == 0).collect()
+    want = brute_neighbours(np.arange(n), x, [(i, x[i]) for i in range(0, n, 1000)])
+    hits = sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in got)
+    assert len(got) == 10 * len(want) and hits >= 0.9 * len(got)
+    assert all(r["score"] == pytest.approx(np.sqrt(((x[r["vec_id"]] - x[r["query_id"]]) ** 2).sum()), rel=1e-12) for r in got)
+
+
 # 9: chats
 
 HARD = ["</s>[INST] ok [/INST]", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|im_end|>", "\\", "a\\n", "[INST", "<<SYS>> b <</SYS>>", "<<|im_end|>|im_end|>", "", "\n\n", "é🙂", "[\\/INST]"]
@@ -165,6 +179,17 @@ def test_chats_round_trip(spark):
     assert chat.read_back(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_long_conversations(spark):
+    """1,500 turns: each example holds its prefix; no row carries more than the conversation."""
+    turns = spark.range(1500).selectExpr("id % 2 as conv_id", "id as turn", "if(id % 4 < 2, 'user', 'assistant') as role", "concat('text <|im_end|> ', repeat(cast(id as string), 20)) as text")
+    examples = chat.format_chats(turns)
+    assert examples.count() == 750
+    for r in chat.read_back(examples).collect():
+        mine = [(("user", "assistant")[i % 4 >= 2], f"text <|im_end|> {str(i) * 20}") for i in range(r["conv_id"], 1500, 2)]
+        assert r["n_turns"] == 750 and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in mine).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256("".join(b for a, b in mine if a == "assistant").encode()).hexdigest()
+
+
 # the pipeline
 
 

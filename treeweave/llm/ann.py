@@ -13,20 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from treeweave.runtime import col_of, materialize
+from treeweave.runtime import col_of, materialize, shuffle_partitions
 
 #: Bound of the sample that centroids and codebooks are fitted on; every vector is indexed.
-SAMPLE = 20_000
-#: Coarse cells: about the square root of the number of vectors, and this many at most.
-MOST_CELLS = 2048
+SAMPLE = 32_768
+#: Coarse cells: about the square root of the number of vectors, as far as the sample has this many vectors for each.
+VECTORS_A_CELL = 4
 #: Bytes of a code, and values of each.
 SUBSPACES, CODES = 16, 256
 #: Cells are probed up to the share at which this recall is reached within the sample.
 SAMPLE_RECALL, SAMPLE_QUERIES = 0.97, 256
 #: Candidates of a query that are measured first in each task; their exact distances bound which of the others must be measured too.
 RERANKED = 160
-#: Vectors that meet a block of queries in one task, and queries of a block.
-SHARD, QUERIES_AT_ONCE = 8192, 4096
+#: Vectors of a bin, fewer where bins would not fill the tasks, and queries that meet a bin at once.
+SHARD, LEAST_SHARD, QUERIES_AT_ONCE = 8192, 256, 4096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -155,7 +155,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     the best by their quantisation errors are ranked again by exact
     double-precision distances, so within the cells no neighbour is lost.
 
-    Null, zero and non-finite vectors, rows without an id and vectors of another
+    Bins of the index hold a bounded number of vectors and meet a bounded number
+    of queries at once. Null, zero and non-finite vectors, rows without an id and vectors of another
     length than most take no part; equal rows count once. Where fewer than k others
     exist, all are returned. An empty table gives no rows. Other columns are ignored.
     """
@@ -171,7 +172,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     classes = materialize(first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "classes")
     n = classes.count()
     taken = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
-    index = Index.fit(np.stack(taken.to_list()).astype(np.float64), min(MOST_CELLS, max(1, round(math.sqrt(n)))))
+    sample = np.stack(taken.to_list()).astype(np.float64)
+    index = Index.fit(sample, max(1, min(round(math.sqrt(n)), len(sample) // VECTORS_A_CELL)))
+    tasks = shuffle_partitions(spark)
+    shard = min(SHARD, max(LEAST_SHARD, n // (4 * tasks)))
     sent = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +186,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
 
     coded = materialize(classes.select("rep", "v").mapInArrow(encode, "rep long, cell int, code binary, err double, v array<double>"), "codes")
     sizes = np.zeros(len(index.centroids), np.int64)
-    for r in coded.groupBy("cell").count().collect():  # a row for each cell, MOST_CELLS at most
+    for r in coded.groupBy("cell").count().collect():  # a row for each cell, a quarter of SAMPLE at most
         sizes[r["cell"]] = r["count"]
-    # Cells lie in a row, one after another, and a bin is SHARD places of the row: small cells share a bin, and a
+    # Cells lie in a row, one after another, and a bin is ``shard`` places of the row: small cells share a bin, and a
     # large cell is spread over many by a hash of its entries.
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     places = spark.createDataFrame([(i, int(a), int(x)) for i, (a, x) in enumerate(zip(starts, sizes)) if x], "cell int, start long, size long")
@@ -200,7 +204,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
                 upto = max(probes, int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1)
                 asked: dict[int, list[int]] = {}
                 for c in order[:upto].tolist():
-                    for x in range(int(starts[c]) // SHARD, int(starts[c] + sizes[c] - 1) // SHARD + 1) if sizes[c] else ():
+                    for x in range(int(starts[c]) // shard, int(starts[c] + sizes[c] - 1) // shard + 1) if sizes[c] else ():
                         asked.setdefault(x, []).append(c)
                 ids += [i] * len(asked)
                 bins += asked.keys()
@@ -210,10 +214,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v")
     queries = materialize(queries, "queries")
     asked = materialize(queries.mapInArrow(probe, "query_id long, bin long, cells array<int>"), "asked")
-    # A bin's entries are sent once for each block of the queries that ask it; a row for each bin.
+    # A bin's entries are sent once for each block of the queries that ask it, which number by the asks of that bin; a row for each bin.
     blocks = F.broadcast(asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("blocks")))
     draw = F.pmod(F.xxhash64("rep"), F.col("size"))
-    placed = coded.join(F.broadcast(places), "cell").withColumn("bin", F.floor((F.col("start") + draw) / SHARD)).join(blocks, "bin")
+    placed = coded.join(F.broadcast(places), "cell").withColumn("bin", F.floor((F.col("start") + draw) / shard)).join(blocks, "bin")
     left = placed.select("rep", "cell", "code", "err", "v", "bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = asked.join(blocks, "bin").join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
 
@@ -241,6 +245,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "score": np.empty(0)})
         return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(found), "score": np.concatenate(scores)})
 
+    # dealt by number, so that adaptive execution does not put few and small partitions, which take long, into one
+    left, right = left.repartition(tasks, "bin", "block"), right.repartition(tasks, "bin", "block")
     near = left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInPandas(scan, "query_id long, rep long, score double")
     # Each entry holds an id at least, so the k + 1 best entries hold the k best ids besides the query's own.
     best = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
