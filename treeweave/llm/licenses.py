@@ -3,12 +3,15 @@
 DataFrame functions only; no Python runs on the executors. A text is cut into
 sentences, sentences are normalised and looked up in a table of known licence
 sentences, and the sequence of their identifiers is matched against ordered
-rules, the most specific first. A rule uses up the sentences it matches.
+rules, the most specific first. A rule uses up the sentences it matches. The
+ids of an SPDX tag are sentences of their own. Texts that hold none of the
+words of which every known sentence has one are only counted.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,8 @@ SENTENCES: dict[str, str] = {
     "grant_bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "source_bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "binary_bsd": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "endorse_bsd": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "endorse_bsd": "Neither the name of holder may be used to endorse or promote products derived from this software without specific prior written permission",
+    "advertise_bsd": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
     "grant_apache": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "only_apache": "you may not use this file except in compliance with the License",
     "obtain_apache": "You may obtain a copy of the License at",
@@ -37,20 +41,75 @@ SENTENCES: dict[str, str] = {
     "unlicense": "This is free and unencumbered software released into the public domain",
     "zlib": "This software is provided 'as-is', without any express or implied warranty",
     "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "mpl2_word": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
+    "grant_0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "grant_mit0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+    "grant_boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "notice_boost": "Distributed under the Boost Software License, Version 1.0",
+    "epl2": "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")",
+    "epl2_notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "epl1_notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    # sentences of whole licence texts
+    "whole_gpl3": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "whole_agpl3": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "whole_lgpl3": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "whole_gpl2": "This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License",
+    "whole_lgpl2": "This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License (also called \"this License\")",
+    "terms_apache": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "define_apache": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document",
+    "grant_mpl2": "Covered Software is provided under this License on an \"as is\" basis, without warranty of any kind, either expressed, implied, or statutory, including, without limitation, warranties that the Covered Software is free of defects, merchantable, fit for a particular purpose or non-infringing",
+    "whole_epl2": "ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT",
+    "whole_cc0": "Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works (\"Commons\") that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever and for any purposes, including without limitation commercial purposes",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
 }
 
-_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+# The GNU families, the versions of each, and what their grants call the work.
+GNU = {
+    "GPL": ("GNU General Public License", ("1", "2", "3"), "program"),
+    "LGPL": ("GNU Lesser General Public License", ("2.1", "3"), "library"),
+    "LGPL-library": ("GNU Library General Public License", ("2",), "library"),
+    "AGPL": ("GNU Affero General Public License", ("3",), "program"),
+}
 _FSF = " as published by the Free Software Foundation"
-# The grant's version clauses, each after a semicolon or a comma; both forms of or-later above are among them.
-for _v in (1, 2, 3):
-    for _mark in ";,":
-        SENTENCES[f"later_gpl{_v}{_mark}"] = f"{_GPL}{_FSF}{_mark} either version {_v} of the License, or (at your option) any later version"
-        SENTENCES[f"only_gpl{_v}{_mark}"] = f"{_GPL}{_FSF}{_mark} version {_v} of the License"
-    SENTENCES[f"only_gpl{_v}"] = f"{_GPL} version {_v}{_FSF}"
-SENTENCES["grant_gpl"] = _GPL + _FSF
-SENTENCES["mpl2_word"] = "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"
+for _family, (_called, _versions, _work) in GNU.items():
+    _grant = f"This {_work} is free software; you can redistribute it and/or modify it under the terms of the {_called}"
+    for _v in _versions:
+        for _mark in ";,":  # the version clause follows a semicolon or a comma
+            SENTENCES[f"later {_family} {_v}{_mark}"] = f"{_grant}{_FSF}{_mark} either version {_v} of the License, or (at your option) any later version"
+            SENTENCES[f"only {_family} {_v}{_mark}"] = f"{_grant}{_FSF}{_mark} version {_v} of the License"
+        SENTENCES[f"only {_family} {_v}"] = f"{_grant} version {_v}{_FSF}"
+    SENTENCES[f"grant {_family}"] = _grant + _FSF
 #: Normalised openings that name the program; texts put another name there, so no rule asks for them.
-OPENINGS = frozenset({"this program is free software"})
+OPENINGS = frozenset({"this program is free software", "this library is free software"})
+
+# Title lines of licence texts, some of two lines.
+TITLES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("GPL-3.0", ("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007")),
+    ("GPL-2.0", ("GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991")),
+    ("GPL-1.0", ("GNU GENERAL PUBLIC LICENSE", "Version 1, February 1989")),
+    ("LGPL-3.0", ("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007")),
+    ("LGPL-2.1", ("GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999")),
+    ("LGPL-2.0", ("GNU LIBRARY GENERAL PUBLIC LICENSE", "Version 2, June 1991")),
+    ("AGPL-3.0", ("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007")),
+    ("GFDL-1.3", ("GNU Free Documentation License", "Version 1.3, 3 November 2008")),
+    ("Apache-2.0", ("Apache License", "Version 2.0, January 2004")),
+    ("MPL-2.0", ("Mozilla Public License Version 2.0",)),
+    ("EPL-2.0", ("Eclipse Public License - v 2.0",)),
+    ("EPL-1.0", ("Eclipse Public License - v 1.0",)),
+    ("BSL-1.0", ("Boost Software License - Version 1.0 - August 17th, 2003",)),
+    ("MIT", ("The MIT License (MIT)",)),
+    ("MIT", ("The MIT License",)),
+    ("MIT", ("MIT License",)),
+    ("ISC", ("ISC License",)),
+    ("BSD-2-Clause", ("BSD 2-Clause License",)),
+    ("BSD-3-Clause", ("BSD 3-Clause License",)),
+    ("Unlicense", ("The Unlicense",)),
+    ("CC0-1.0", ("CC0 1.0 Universal",)),
+    *((f"CC-{k}-4.0", (f"{name} 4.0 International{tail}",)) for k, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ) for tail in ("", " Public License")),
+)
 
 # Names under which texts declare a licence in one line.
 NAMES: dict[str, tuple[str, ...]] = {
@@ -69,39 +128,99 @@ NAMES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "the Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC-BY-NC-ND-4.0"),
     "CC0-1.0": ("CC0", "CC0 1.0", "the CC0 1.0 Universal License", "CC0-1.0"),
+    "EPL-1.0": ("the Eclipse Public License 1.0", "the Eclipse Public License, version 1.0", "EPL-1.0"),
+    "EPL-2.0": ("the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0", "EPL-2.0"),
+    "BSL-1.0": ("the Boost Software License, Version 1.0", "BSL-1.0"),
+    "WTFPL": ("the WTFPL", "WTFPL"),
+    "Artistic-2.0": ("the Artistic License 2.0", "Artistic-2.0"),
     "Unlicense": ("the Unlicense", "Unlicense"),
     "Zlib": ("the zlib License", "Zlib"),
 }
 # Openings of a one-line declaration.
 SUBJECTS = ("", "This work is ", "This file is ", "This project is ", "This software is ", "This program is ", "This code is ", "This document is ", "It is ", "The code is ", "All content is ")
 VERBS = ("licensed under ", "released under ", "distributed under ", "published under ", "available under ", "made available under ")
+# Ids of SPDX tags besides those of NAMES; the GNU families take endings.
+SPDX = (
+    "MIT-0 Apache-1.1 BSD-1-Clause BSD-4-Clause 0BSD X11 NCSA OpenSSL PostgreSQL PSF-2.0 Ruby Vim HPND JSON curl libpng-2.0 MPL-1.1 CDDL-1.0 CDDL-1.1 Artistic-1.0 "
+    "EUPL-1.1 EUPL-1.2 OFL-1.1 MS-PL MS-RL LPPL-1.3c AFL-3.0 UPL-1.0 BlueOak-1.0.0 Unicode-DFS-2016 W3C CC-BY-3.0 CC-BY-SA-3.0 CC-BY-NC-3.0 CC-PDDC CECILL-2.1"
+).split()
+SPDX_GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-1.0", "AGPL-3.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3")
+
+def _gnu_rules() -> list[tuple[str, tuple[str, ...]]]:
+    out = []
+    for family, (_, versions, _) in GNU.items():
+        for v in reversed(versions):
+            name = f"{family.split('-')[0]}-{v if '.' in v else v + '.0'}"
+            for kind, marks, called in (("later", ";,", f"{name}-or-later"), ("only", (";", ",", ""), f"{name}-only")):
+                out += [(called, (f"{kind} {family} {v}{mark}", *hope)) for mark in marks for hope in (("hope_gpl",), ())]
+        out.append((family.split("-")[0], (f"grant {family}",)))  # no version, or a clause that isn't known
+    return out
+
 
 #: Ordered rules: a licence and the wordings that must follow in this order, others may lie between; the parts of a wording follow each other at once.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("grant_mit", "notice_mit", "as_is_mit")),
     ("MIT", ("grant_mit", "notice_mit")),
+    ("MIT-0", ("grant_mit0", "as_is_mit")),
+    ("BSD-4-Clause", ("grant_bsd", "source_bsd", "binary_bsd", "advertise_bsd", "endorse_bsd")),
     ("BSD-3-Clause", ("grant_bsd", "source_bsd", "binary_bsd", "endorse_bsd")),
     ("BSD-2-Clause", ("grant_bsd", "source_bsd", "binary_bsd")),
     ("Apache-2.0", ("grant_apache", "only_apache", "obtain_apache", "as_is_apache")),
     ("Apache-2.0", ("grant_apache",)),
-    *((f"GPL-{v}.0-or-later", (f"later_gpl{v}{mark}", *hope)) for v in (3, 2, 1) for mark in ";," for hope in (("hope_gpl",), ())),
-    *((f"GPL-{v}.0-only", (f"only_gpl{v}{mark}", *hope)) for v in (3, 2, 1) for mark in (";", ",", "") for hope in (("hope_gpl",), ())),
-    ("GPL", ("grant_gpl",)),  # no version, or a clause that isn't known
+    *((name, tuple(f"title {t}" for t in lines)) for name, lines in TITLES if len(lines) > 1),
+    ("Apache-2.0", ("terms_apache", "define_apache")),
+    *_gnu_rules(),
+    ("AGPL-3.0", ("whole_agpl3",)),
+    ("LGPL-3.0", ("whole_lgpl3",)),
+    ("GPL-3.0", ("whole_gpl3",)),
+    ("GPL-2.0", ("whole_gpl2",)),
+    ("LGPL-2.1", ("whole_lgpl2",)),
     ("Zlib", ("zlib", "zlib_grant")),
     ("ISC", ("grant_isc",)),
     ("ISC", ("grant_isc_and",)),
+    ("0BSD", ("grant_0bsd",)),
+    ("BSL-1.0", ("grant_boost",)),
+    ("BSL-1.0", ("notice_boost",)),
     ("MPL-2.0", ("mpl2",)),
     ("MPL-2.0", ("mpl2_word",)),
+    ("MPL-2.0", ("grant_mpl2",)),
+    ("EPL-2.0", ("epl2", "whole_epl2")),
+    ("EPL-2.0", ("epl2_notice",)),
+    ("EPL-1.0", ("epl1_notice",)),
+    ("CC0-1.0", ("whole_cc0",)),
+    ("WTFPL", ("wtfpl",)),
     ("Unlicense", ("unlicense",)),
+    *((name, tuple(f"title {t}" for t in lines)) for name, lines in TITLES if len(lines) == 1),
     *((name, (f"declared {name}",)) for name in NAMES),
 )
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Sentences end at these marks before white space or the end, and at line ends; wrapped sentences end at the marks and at blank lines only.
+#: What a line of a comment or list may start with.
+_LEAD = r"[ \t*#/;%>|-]*"
+#: Sentences end at these marks before white space or the end, and at line ends.
 LINE_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|[\r\n]+"
-WRAPPED_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|\r?\n[ \t]*\r?\n"
+#: Sentences that are wrapped over lines end at the marks, at blank lines, blank lines of comments among them, at list numbers, and with a line of copyright, which goes.
+WRAPPED_END = (
+    r"[.!?;:]+(?:[ \t\r\n]+|\z)|(?:\A|[\r\n])" + _LEAD + r"(?:copyright[ \t]+|\(c\)[ \t]*)(?:\(c\)|©|[0-9]{4}|by )[^\r\n]*|(?:\A|[\r\n])" + _LEAD + r"all rights reserved[.]?[ \t]*"
+    r"|\r?\n" + _LEAD + r"\r?\n|[\r\n]" + _LEAD + r"\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
+)
+#: Before sentences are cut, in order: the holders' names of a clause that forbids endorsement go, a field named license has no colon, and the v of a version no stop.
+_GAP = "[^a-z0-9]+"
+BEFORE = (
+    (r"(?s)neither" + _GAP + "the" + _GAP + "names?" + _GAP + "of" + r"[^a-z0-9].{1,200}?[^a-z0-9]may" + _GAP + "be" + _GAP + "used" + _GAP + "to" + _GAP + "endorse", "neither the name of holder may be used to endorse"),
+    (r"(?s)the" + _GAP + "names?" + _GAP + "of" + r"[^a-z0-9][^.;:]{1,200}?[^a-z0-9]may" + _GAP + "not" + _GAP + "be" + _GAP + "used" + _GAP + "to" + _GAP + "endorse", "neither the name of holder may be used to endorse"),
+    (r"(licen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?", "$1 "),
+    (r"\bv[.][ \t\r\n]+([0-9])", "v $1"),
+)
+#: The expression of an SPDX tag, and what parts its ids.
+SPDX_TAG = r"spdx-license-identifier[ \t]*[: ][ \t]*([a-z0-9.+() \t-]*)"
+SPDX_BETWEEN = r"[ \t()]+(?:(?:or|and|with)[ \t()]+)*"
+#: Parts of words of which every known sentence has one; ``known_sentences`` checks it.
+TRIGGERS = ("licen", "permission", "redistribut", "copyright", "warrant", "free software", "domain", "agreement", "version", "releas", "distribut", "publish", "availab", "commons", "attribution", "cc0", "advertis")
 
 
 def normalise(sentence: str) -> str:
@@ -111,6 +230,9 @@ def normalise(sentence: str) -> str:
 
 def parts_of(wording: str) -> list[str]:
     """The normalised sentences of a licence wording, cut at its inner sentence ends as texts are."""
+    wording = wording.lower()
+    for pattern, put in BEFORE:
+        wording = re.sub(pattern, put.replace("$", "\\"), wording)
     return [p for p in (normalise(x) for x in re.split(LINE_END.replace(r"\z", r"\Z"), wording)) if p]
 
 
@@ -126,13 +248,27 @@ def known_sentences() -> dict[str, str]:
             for s in SUBJECTS:
                 for v in VERBS:
                     known.setdefault(normalise(s + v + c), f"declared {name}")
-            known.setdefault(normalise(f"SPDX-License-Identifier {c}"), f"declared {name}")
             known.setdefault(normalise(f"License {c}"), f"declared {name}")
+    for _, lines in TITLES:
+        for t in lines:
+            known.setdefault(normalise(t), f"title {t}")
+    bare = [k for k in known if not any(t in k for t in TRIGGERS)]
+    if bare:
+        raise ValueError(f"sentences without a trigger: {bare}")
     return known
 
 
+def spdx_ids() -> dict[str, str]:
+    """SPDX id in lower case to the licence's name; an ending + means or later."""
+    ids = {x.lower(): x for x in (*NAMES, *SPDX)}
+    for g in SPDX_GNU:
+        ids |= {g.lower(): g, f"{g}+".lower(): f"{g}-or-later"} | {f"{g}{end}".lower(): f"{g}{end}" for end in ("-only", "-or-later")}
+    return ids
+
+
 def identifiers() -> dict[str, int]:
-    return {ident: i + 1 for i, ident in enumerate(dict.fromkeys(known_sentences().values()))}
+    every = [*known_sentences().values(), *(f"spdx {name}" for name in spdx_ids().values())]
+    return {ident: i + 1 for i, ident in enumerate(dict.fromkeys(every))}
 
 
 def rule_patterns() -> list[tuple[int, str, str]]:
@@ -140,7 +276,7 @@ def rule_patterns() -> list[tuple[int, str, str]]:
     number, codes, known = {n: i + 1 for i, n in enumerate(licence_names())}, identifiers(), known_sentences()
     gap = r"((?:L?\d+,)*?)"
     out = []
-    for name, idents in RULES:
+    for name, idents in (*RULES, *((name, (f"spdx {name}",)) for name in dict.fromkeys(spdx_ids().values()))):
         parts = [[known[p] for p in parts_of(SENTENCES[i]) if p not in OPENINGS] if i in SENTENCES else [i] for i in idents]
         pattern = r"\b" + gap.join("".join(f"{codes[p]}," for p in some) for some in parts)
         out.append((number[name], pattern, f"L{number[name]}," + "".join(f"${k + 1}" for k in range(len(idents) - 1))))
@@ -148,12 +284,11 @@ def rule_patterns() -> list[tuple[int, str, str]]:
 
 
 def licence_names() -> list[str]:
-    return sorted({name for name, _ in RULES})
+    return sorted({name for name, _ in RULES} | set(spdx_ids().values()))
 
 
-def _sentences(text: Column, ends: str) -> Column:
-    """Normalised sentences of a text, some of them empty: three passes over the whole text, none over each sentence."""
-    low = F.translate(text, _UPPER + "\x01", _UPPER.lower() + " ")
+def _sentences(low: Column, ends: str) -> Column:
+    """Normalised sentences of a text in lower case, some of them empty: passes over the whole text, none over each sentence."""
     marked = F.regexp_replace(low, ends, "\x01")
     return F.split(F.btrim(F.regexp_replace(marked, "[^a-z0-9.\x01]+", " ")), " ?\x01 ?")
 
@@ -174,48 +309,69 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_sentences: sentences with a letter or digit, cut at line ends as well;
     sentence_ids: identifiers of the known ones, each followed by a comma, in
     order, once as cut at line ends and, after a bar, once as wrapped over
-    lines; licenses: names of the rules that match either sequence, sorted,
-    joined by commas, empty if none. Null and empty texts have no sentences.
-    All columns stay; names that clash get trailing underscores. Nothing is
-    shuffled, so no source or text is a hot group.
+    lines, and after another bar those of SPDX tags; licenses: names of the
+    rules that match one of the sequences, sorted, joined by commas, empty if
+    none. Null and empty texts have no sentences; a text is scanned whole,
+    however long. Equal rows have equal results and all stay; an empty table
+    gives no rows. All columns stay; names that clash get trailing underscores.
+    Nothing is shuffled, so no source or text is a hot group.
     """
     known, ids, names = known_sentences(), identifiers(), licence_names()
     text = F.coalesce(col_of(text_col).cast("string"), F.lit(""))
     out = [fresh_name(docs, x) for x in ("n_sentences", "sentence_ids", "licenses")]
-    by_line, wrapped = fresh_name(docs, "by_line"), fresh_name(docs, "wrapped")
-    cut = docs.select("*", _sentences(text, LINE_END).alias(by_line), _sentences(text, WRAPPED_END).alias(wrapped))
-    count = F.size(F.filter(by_line, lambda x: F.translate(x, ". ", "") != "")).cast("long")
-    both = F.concat(_sequence(by_line, known, ids), F.lit("|"), _sequence(wrapped, known, ids))
-    seen = cut.select(*[col_of(c) for c in docs.columns], count.alias(out[0]), both.alias(out[1]))
+    low, by_line, wrapped, tags = [fresh_name(docs, x) for x in ("low", "by_line", "wrapped", "tags")]
+    none = F.array().cast("array<string>")
+    count = F.size(F.filter(F.split(text, LINE_END), lambda x: x.rlike("[A-Za-z0-9]"))).cast("long")
+    # lower() may turn other characters into a-z too, so the guard lets through more texts at most
+    asked = reduce(lambda a, b: a | b, [F.contains(F.col(low), F.lit(t)) for t in TRIGGERS])
+    guarded = docs.withColumn(low, F.lower(text)).select(*[col_of(c) for c in docs.columns], asked.alias(low))
+    ready = F.translate(text, _UPPER + "\x01", _UPPER.lower() + " ")
+    for pattern, put in BEFORE:
+        ready = F.regexp_replace(ready, pattern, put)
+    ready = guarded.select(*[col_of(c) for c in docs.columns], count.alias(out[0]), F.when(F.col(low), ready).alias(low))  # null where no known sentence can be
+    found = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(SPDX_TAG), F.lit(1)), lambda x: F.split(x, SPDX_BETWEEN)))
+    cut = ready.select("*", _sentences(F.col(low), LINE_END).alias(by_line), _sentences(F.col(low), WRAPPED_END).alias(wrapped), found.alias(tags))
+    cut = cut.select(*[col_of(c) for c in docs.columns], F.col(out[0]), *[F.coalesce(F.col(c), none).alias(c) for c in (by_line, wrapped, tags)])
+    spdx = {k: f"spdx {v}" for k, v in spdx_ids().items()}
+    parts = [_sequence(by_line, known, ids), _sequence(wrapped, known, ids), _sequence(tags, spdx, ids)]
+    seen = cut.select(*[col_of(c) for c in docs.columns], F.col(out[0]), F.concat_ws("|", *parts).alias(out[1]))
     rest = F.col(out[1])
     for _, pattern, put in rule_patterns():
         rest = F.regexp_replace(rest, pattern, put)
     found = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"L(\d+),"), F.lit(1)))
     called = F.array(*[F.lit(n) for n in names])
     listed = F.array_join(F.array_sort(F.transform(found, lambda x: F.element_at(called, x.cast("int")))), ",")
-    return seen.select("*", F.when(F.col(out[1]) == "|", F.lit("")).otherwise(listed).alias(out[2]))
+    return seen.select("*", F.when(F.col(out[1]) == "||", F.lit("")).otherwise(listed).alias(out[2]))
 
 
 def op8_sql() -> str:
     """The same scan of ``documents`` in SQL."""
     known, ids, names = known_sentences(), identifiers(), licence_names()
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    low = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    clean = f"trim(regexp_replace({low}, '[^a-z0-9.]+', ' ', 'g'), ' ')"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for pattern, put in BEFORE:
+        low = f"regexp_replace({low}, {q(pattern)}, {q(put.replace('$', chr(92)))}, 'g')"
+    clean = "trim(regexp_replace(x, '[^a-z0-9.]+', ' ', 'g'), ' ')"
     pairs = ", ".join(f"({q(s)}, {ids[i]})" for s, i in known.items())
-    seq = lambda ends: f"(SELECT d.doc_id, d.row, k.n, u.i FROM d, unnest(regexp_split_to_array(d.text, {q(ends)})) WITH ORDINALITY AS u(x, i) JOIN k ON k.s = {clean})"
-    rest = "coalesce(a.q, '') || '|' || coalesce(b.q, '')"
+    tags = ", ".join(f"({q(s)}, {ids[f'spdx {i}']})" for s, i in spdx_ids().items())
+    seq = lambda ends: f"(SELECT d.row, k.n, u.i FROM d, unnest(regexp_split_to_array(d.low, {q(ends)})) WITH ORDINALITY AS u(x, i) JOIN k ON k.s = {clean})"
+    rest = "coalesce(a.q, '') || '|' || coalesce(b.q, '') || '|' || coalesce(g.q, '')"
     for _, pattern, put in rule_patterns():
         rest = f"regexp_replace({rest}, {q(pattern)}, {q(re.sub(r'[$](\d)', r'\\\1', put))}, 'g')"
     called = "[" + ", ".join(q(n) for n in names) + "]"
     return f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, {low} AS low FROM documents),
 k(s, n) AS (VALUES {pairs}),
+m(s, n) AS (VALUES {tags}),
 a AS (SELECT row, string_agg(n || ',', '' ORDER BY i) AS q FROM {seq(LINE_END)} GROUP BY row),
 b AS (SELECT row, string_agg(n || ',', '' ORDER BY i) AS q FROM {seq(WRAPPED_END)} GROUP BY row),
+g AS (SELECT row, string_agg(n || ',', '' ORDER BY i, j) AS q
+      FROM (SELECT row, i, unnest(t) AS x, generate_subscripts(t, 1) AS j
+            FROM (SELECT row, i, regexp_split_to_array(e, {q(SPDX_BETWEEN)}) AS t FROM d, unnest(regexp_extract_all(d.low, {q(SPDX_TAG)}, 1)) WITH ORDINALITY AS u(e, i)))
+      JOIN m ON m.s = x GROUP BY row),
 f AS (SELECT d.doc_id, CAST(len(list_filter(regexp_split_to_array(d.text, {q(LINE_END)}), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS BIGINT) AS n_sentences,
-             coalesce(a.q, '') || '|' || coalesce(b.q, '') AS sentence_ids, {rest} AS rest
-      FROM d LEFT JOIN a ON d.row = a.row LEFT JOIN b ON d.row = b.row)
+             coalesce(a.q, '') || '|' || coalesce(b.q, '') || '|' || coalesce(g.q, '') AS sentence_ids, {rest} AS rest
+      FROM d LEFT JOIN a ON d.row = a.row LEFT JOIN b ON d.row = b.row LEFT JOIN g ON d.row = g.row)
 SELECT doc_id, n_sentences, sentence_ids,
        array_to_string(list_sort(list_transform(list_distinct(regexp_extract_all(rest, 'L(\\d+),', 1)), lambda x: {called}[CAST(x AS INTEGER)])), ',') AS licenses
 FROM f
