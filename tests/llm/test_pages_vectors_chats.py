@@ -234,3 +234,19 @@ def test_pipeline_on_odd_rows(spark, sf):
             out = stage(spark, out, sf)
         assert set(mixing.mix_sources(rows).columns) == set(out.columns)
         out.collect()
+
+
+def test_pipeline_with_clashing_and_extra_columns(spark, sf):
+    """Columns that bear the names of what operators add change nothing, and all columns come through."""
+    docs = table(spark, sf, "documents")
+    extra = docs
+    for name, value in (("accepted", F.lit(False)), ("contaminated", F.lit(False)), ("score", F.lit("x")), ("N_WORDS", F.lit(1)), ("n_removed", F.lit(2)), ("size", F.lit("y")), ("kept_id", F.lit(3)), ("extra", F.array(F.lit(1))), ("a.b c", F.create_map(F.lit("k"), F.lit(1)))):
+        extra = extra.withColumn(name, value)
+    extra = extra.repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, sf), stage(spark, extra, sf)
+        assert got.columns == extra.columns, name
+        assert sorted(map(tuple, got.select(*docs.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str), name
+        assert {(r["accepted"], r["contaminated"], r["N_WORDS"], r["a.b c"]["k"]) for r in got.collect()} == {(False, False, 1, 1)}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(str, last(spark, extra, sf).collect())) == sorted(map(str, last(spark, docs, sf).collect()))
