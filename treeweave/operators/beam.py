@@ -89,3 +89,9 @@ def prune(df: DataFrame, beam: Beam, by: list[str], cost: str = "cost", ties: li
         outside = F.coalesce(F.col("__best") > F.col("__width"), F.lit(False))
         keep = (F.col("__rank") <= F.col("__width") - outside.cast("int")) | (outside & (F.col("__rank") == F.col("__best")))
     return placed.where(keep).select(*[col_of(x) for x in df.columns])
+
+
+def histogram(df: DataFrame, by: list[str], key: str = "key", cost: str = "cost") -> DataFrame:
+    """``by..., costs``: the kept rows' costs by key, a map for each group; of rows that share a key the cheapest counts. Groups are beams, so of bounded width."""
+    least = df.groupBy(*[col_of(b) for b in by], col_of(key).alias("__key")).agg(F.min(col_of(cost)).alias("__cost"))
+    return least.groupBy(*[col_of(b) for b in by]).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__key", "__cost")))).alias("costs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeweave.runtime import materialize
+from treeweave.runtime import forget, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     seen = None
     for _ in range(max_rounds):
-        links = materialize(_small_star(_large_star(links)).distinct(), "links")
+        spent, links = links, materialize(_small_star(_large_star(links)).distinct(), "links")
+        forget(spent)
         state = links.agg(
             F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.expr("xxhash64(v, u) % 1000003")).alias("s")
         ).first()

@@ -8,13 +8,20 @@ graphs is one job.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeweave.functions.partitions import bell_number
 from treeweave.operators.components import connected_components
 from treeweave.runtime import col_of
 
 
+#: Set partitions are counted up to so many edges in the metrics of merges.
+_MOST_BELL = 200
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """``graph_id, vertex_id, edge_name, other``: each edge once for each of its ends, self loops twice."""
     side = F.array(F.struct(F.col("u").alias("vertex_id"), F.col("v").alias("other")), F.struct(F.col("v").alias("vertex_id"), F.col("u").alias("other")))
@@ -87,24 +94,27 @@ def boundaries(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def merge_priorities(edges: DataFrame) -> DataFrame:
-    """``graph_id, u, v, m, outdegree, product, indegree`` of merging each adjacent pair.
+    """``graph_id, u, v, m, outdegree, product, indegree, maxdegree, degrees, diff, diffinv`` of merging each adjacent pair.
 
     outdegree = d(u) + d(v) - 2m: edges of the merged vertex; product = (d(u) -
-    m)(d(v) - m); indegree = m, the edges that vanish inside.
+    m)(d(v) - m); indegree = m, the edges that vanish inside; maxdegree and
+    degrees: the greater and the product of d(u) and d(v); diff = degrees less
+    the logarithm of the number of set partitions of outdegree edges, and
+    diffinv its negative. Several of them order lexicographically as a struct.
     """
     d = degrees(edges)
     pairs = pair_multiplicity(edges.where("u <> v"))
     for end in ("u", "v"):
         pairs = pairs.join(d.select("graph_id", F.col("vertex_id").alias(end), F.col("degree").alias(f"d{end}")), ["graph_id", end])
-    return pairs.select(
+    pairs = pairs.select(
         "graph_id", "u", "v", "m", (F.col("du") + F.col("dv") - 2 * F.col("m")).alias("outdegree"),
         ((F.col("du") - F.col("m")) * (F.col("dv") - F.col("m"))).alias("product"), F.col("m").alias("indegree"),
+        F.greatest("du", "dv").alias("maxdegree"), (F.col("du") * F.col("dv")).alias("degrees"),
     )
-
-
-def edge_key(graph: Column, name: Column) -> Column:
-    """One text key for an edge or vertex of a graph."""
-    return F.concat_ws("\x1f", graph.cast("string"), name.cast("string"))
+    # beyond the table the count of set partitions no longer fits a double
+    logs = F.array(*[F.lit(math.log(bell_number(n))) for n in range(_MOST_BELL + 1)])
+    diff = F.col("degrees") - F.element_at(logs, (F.least("outdegree", F.lit(_MOST_BELL)) + 1).cast("int"))
+    return pairs.withColumn("diff", diff).withColumn("diffinv", -diff)
 
 
 def chains(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
@@ -131,14 +141,20 @@ def compact_chains(edges: DataFrame) -> DataFrame:
     """``graph_id, chain_id, n_edges, a, b``: chains of degree-2 vertices as one edge each, a <= b their ends.
 
     A cycle of degree-2 vertices has no ends: a and b are null. A chain that
-    returns to its junction has the junction as both ends.
+    returns to its junction has the junction as both ends. Where edges have
+    ``len``, the chain has its sum; with ``edges`` kept in ``names`` (sorted), a
+    compacted edge can be told back to what it stands for.
     """
     c = chains(edges)
     junctions = degrees(edges).where("degree <> 2").select("graph_id", "vertex_id")
     at_end = ends(edges).join(junctions, ["graph_id", "vertex_id"]).join(c, ["graph_id", "edge_name"])
     tips = at_end.groupBy("graph_id", "chain_id").agg(F.min("vertex_id").alias("a"), F.max("vertex_id").alias("b"))
-    sizes = c.groupBy("graph_id", "chain_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    return sizes.join(tips, ["graph_id", "chain_id"], "left").select("graph_id", "chain_id", "n_edges", "a", "b")
+    extra = []
+    if "len" in edges.columns:
+        c = c.join(edges.select("graph_id", "edge_name", "len"), ["graph_id", "edge_name"])
+        extra = [F.sum("len").alias("len"), F.sort_array(F.collect_list("edge_name")).alias("names")]
+    sizes = c.groupBy("graph_id", "chain_id").agg(F.count(F.lit(1)).alias("n_edges"), *extra)
+    return sizes.join(tips, ["graph_id", "chain_id"], "left").select("graph_id", "chain_id", "n_edges", "a", "b", *(["len", "names"] if extra else []))
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:

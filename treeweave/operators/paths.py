@@ -6,26 +6,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeweave.operators.graph import chains, degrees, ends
-from treeweave.runtime import materialize
+from treeweave.runtime import forget, materialize
 
 #: Relaxation steps between two writes to the shared folder.
 STEPS = 3
 
 
+def _half_edges(edges: DataFrame, length: str) -> DataFrame:
+    """``graph_id, e, x, y, w``: each usable edge in both directions."""
+    usable = edges.where(F.col(length).isNotNull() & (F.col("u") != F.col("v"))).select("graph_id", F.col("edge_name").alias("e"), "u", "v", F.col(length).alias("w"))
+    return usable.select("graph_id", "e", F.col("u").alias("x"), F.col("v").alias("y"), "w").union(usable.select("graph_id", "e", "v", "u", "w"))
+
+
+def compacted_moves(edges: DataFrame, roots: DataFrame, length: str) -> DataFrame:
+    """``graph_id, x, y, w, inner``: ways along whole chains, from x to the junction, leaf or root y that ends the chain.
+
+    inner tells whether x is a vertex of degree 2 inside the chain. Ways are
+    doubled round by round, so a chain of n edges takes about log n rounds; a
+    ring without a root leads nowhere and has no rows. Edge names tell the edges
+    of a graph apart.
+    """
+    half = _half_edges(edges, length)
+    inner = half.groupBy("graph_id", "x").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("graph_id", "x").join(roots.select("graph_id", F.col("vertex_id").alias("x")), ["graph_id", "x"], "left_anti")
+    half = materialize(half.join(inner.withColumn("inner", F.lit(True)), ["graph_id", "x"], "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "half")
+    # the next edge of a way that enters an inner vertex is that vertex's other one
+    onward = half.where("inner").select("graph_id", F.col("x").alias("y"), F.col("e").alias("next"))
+    ways = half.join(onward, ["graph_id", "y"], "left").where("next is null or next <> e")
+    ways = materialize(ways.select("graph_id", "e", "x", "inner", "y", "w", "next"), "ways")
+    open_ = ways.where("next is not null").count()
+    while open_:
+        rest = ways.where("next is not null").select("graph_id", F.col("e").alias("next"), F.col("x").alias("y"), F.col("y").alias("__y"), F.col("w").alias("__w"), F.col("next").alias("__next"))
+        going = ways.where("next is not null").join(rest.unionByName(ways.where("next is null").select("graph_id", F.col("e").alias("next"), F.col("x").alias("y"), F.col("y").alias("__y"), F.col("w").alias("__w"), F.col("next").alias("__next"))), ["graph_id", "next", "y"])
+        going = going.select("graph_id", "e", "x", "inner", F.col("__y").alias("y"), (F.col("w") + F.col("__w")).alias("w"), F.col("__next").alias("next"))
+        spent, ways = ways, materialize(ways.where("next is null").unionByName(going), "ways")
+        forget(spent)
+        left = ways.where("next is not null").count()
+        if left == open_:  # only rings are left: they shrink no more
+            break
+        open_ = left
+    forget(half)
+    return ways.where("next is null").groupBy("graph_id", "x", "y", "inner").agg(F.min("w").alias("w"))
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame, length: str = "len", max_rounds: int = 10_000) -> DataFrame:
     """``graph_id, vertex_id, dist``: the least sum of ``length`` from the graph's root.
 
     ``roots`` has graph_id and vertex_id. Lengths must not be negative; edges of
-    null length are no way. Unreached vertices have no row. Each round relaxes
-    only the edges of vertices that came nearer in the round before; the rounds
-    end when none did, so they number about the hops of the longest shortest
-    path over STEPS. Long degree-2 chains should be compacted first.
+    null length are no way. Unreached vertices have no row. Chains of degree-2
+    vertices are one way each while distances settle, and their vertices are
+    filled in at the end. Each round relaxes only the ways of vertices that came
+    nearer in the round before; the rounds end when none did, so they number
+    about the junctions on the longest shortest path over STEPS.
     """
-    moves = materialize(
-        ends(edges).join(edges.where(F.col(length).isNotNull()).select("graph_id", "edge_name", F.col(length).alias("w")), ["graph_id", "edge_name"])
-        .groupBy("graph_id", "vertex_id", "other").agg(F.min("w").alias("w")), "moves"
-    )
-    zero = F.lit(0).cast(moves.schema["w"].dataType)
+    ways = materialize(compacted_moves(edges, roots, length), "ways")
+    moves = ways.where("not inner").select("graph_id", F.col("x").alias("vertex_id"), F.col("y").alias("other"), "w")
+    zero = F.lit(0).cast(ways.schema["w"].dataType)
     dist = materialize(roots.select("graph_id", "vertex_id", zero.alias("dist"), F.lit(True).alias("fresh")).distinct(), "dist")
     for _ in range(max_rounds):
         step = dist
@@ -34,10 +69,16 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, length: str = "len", max_
             known = step.select("graph_id", "vertex_id", "dist", F.col("dist").cast("double").alias("old"))
             best = known.unionByName(reach).groupBy("graph_id", "vertex_id").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
             step = best.select("graph_id", "vertex_id", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh"))
-        dist = materialize(step, "dist")
+        spent, dist = dist, materialize(step, "dist")
+        forget(spent)
         if dist.where("fresh").isEmpty():
-            return dist.select("graph_id", "vertex_id", "dist")
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+            break
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+    settled = dist.select("graph_id", "vertex_id", "dist")
+    ends_ = settled.select("graph_id", F.col("vertex_id").alias("y"), "dist")
+    filled = ways.where("inner").join(ends_, ["graph_id", "y"]).groupBy("graph_id", F.col("x").alias("vertex_id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+    return settled.unionByName(filled)
 
 
 def hop_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ a round and all graphs at once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,19 @@ from treeweave.functions.partitions import code, joined_blocks, outgoing
 from treeweave.operators.beam import Beam, prune
 from treeweave.operators.candidates import canonicalised
 from treeweave.operators.graph import degrees
-from treeweave.plans.merge_order import merge_rounds
+from treeweave.plans.merge_order import merge_rounds, with_origins
 from treeweave.runtime import materialize
 
 
+#: Without a beam, no cluster may have more edges on its boundary: 10 edges have 2,237,921 directed partitions.
+MAX_BOUNDARY = 10
+#: Rounds that are walked back between two writes.
+WALK = 3
+
+
 @dataclass(frozen=True)
 class Solution:
-    """status: graph_id, status (solved, infeasible or disconnected), cost (null unless solved); choices: graph_id, vertex_id, blocks, incoming, cost of solved graphs."""
+    """status: graph_id, status (solved, infeasible, disconnected or too_wide), cost (null unless solved); choices: graph_id, vertex_id, blocks, incoming, cost of solved graphs."""
 
     status: DataFrame
     choices: DataFrame
@@ -37,21 +44,26 @@ def initial_states(candidates: DataFrame) -> DataFrame:
     return c.select("graph_id", F.col("vertex_id").alias("cluster"), "blocks", "incoming", "cost", code(F.col("blocks"), F.col("incoming")).alias("key"))
 
 
-def min_plus_join(states: DataFrame, pairs: DataFrame) -> DataFrame:
+def min_plus_join(states: DataFrame, pairs: DataFrame, directed: bool = True) -> DataFrame:
     """States of the merged clusters, with where they came from.
 
     ``pairs``: graph_id, left_id, right_id and the shared edges. Returns
     graph_id, cluster (the left id), blocks, incoming, cost, key, left_key,
     right_id and right_key. The direction test is the join key, so it runs
-    before the block test; ties fall to the smaller (left_key, right_key).
+    before the block test; ties fall to the smaller (left_key, right_key). With
+    ``directed=False`` directions don't count: only blocks must fit, and states
+    of equal blocks are one.
     """
+    if not directed:
+        plain = states.withColumn("incoming", F.array().cast("array<int>")).withColumn("key", code(F.col("blocks"), F.array().cast("array<int>")))
+        states = plain.groupBy("graph_id", "cluster", "blocks", "incoming", "key").agg(F.min("cost").alias("cost"))
     s = F.col("shared")
     left = states.join(pairs.select("graph_id", F.col("left_id").alias("cluster"), "right_id", "shared"), ["graph_id", "cluster"])
     left = left.select("graph_id", "cluster", "right_id", "shared", F.col("blocks").alias("lb"), F.col("incoming").alias("li"), F.col("cost").alias("lc"), F.col("key").alias("left_key"),
-                       F.array_join(F.sort_array(F.array_intersect("incoming", s)).cast("array<string>"), ",").alias("way"))
+                       (F.array_join(F.sort_array(F.array_intersect("incoming", s)).cast("array<string>"), ",") if directed else F.lit("")).alias("way"))
     right = states.join(pairs.select("graph_id", F.col("right_id").alias("cluster"), "shared"), ["graph_id", "cluster"])
     right = right.select("graph_id", F.col("cluster").alias("right_id"), F.col("blocks").alias("rb"), F.col("incoming").alias("ri"), F.col("cost").alias("rc"), F.col("key").alias("right_key"),
-                         F.array_join(F.sort_array(F.array_intersect(outgoing(F.col("blocks"), F.col("incoming")), s)).cast("array<string>"), ",").alias("way"))
+                         (F.array_join(F.sort_array(F.array_intersect(outgoing(F.col("blocks"), F.col("incoming")), s)).cast("array<string>"), ",") if directed else F.lit("")).alias("way"))
     both = left.join(right, ["graph_id", "right_id", "way"])
     closed = F.size(F.array_except(F.flatten("lb"), s)) + F.size(F.array_except(F.flatten("rb"), s)) == 0
     joined = both.select(
@@ -62,37 +74,56 @@ def min_plus_join(states: DataFrame, pairs: DataFrame) -> DataFrame:
     return best.select("graph_id", "cluster", "blocks", "incoming", "b.cost", code(F.col("blocks"), F.col("incoming")).alias("key"), "b.left_key", "right_id", "b.right_key")
 
 
-def solve(edges: DataFrame, candidates: DataFrame, priority: str = "outdegree", beam: Beam | None = None, protected: DataFrame | None = None) -> Solution:
+def solve(edges: DataFrame, candidates: DataFrame, priority: str = "outdegree", beam: Beam | None = None, protected: DataFrame | None = None, max_boundary: int = MAX_BOUNDARY) -> Solution:
     """Choose one candidate for each vertex so that the split graph is one directed tree of least cost.
 
     ``edges``: graph_id, edge_name (unique in its graph), u, v. ``candidates``:
-    graph_id, vertex_id, blocks, incoming, cost. Each round writes its states to
-    the shared folder. A ``beam`` prunes each new cluster's states; the result
-    then is a tree, maybe not the cheapest, or infeasible. ``protected``
-    (graph_id, vertex_id, blocks, incoming) is one choice for each vertex whose
-    states the beam keeps. Graphs of several components are disconnected; graphs
-    without a fitting choice are infeasible. Self loops fit no tree: infeasible.
+    graph_id, vertex_id, blocks, incoming, cost. Each round writes the states of
+    its merged clusters, and reads those of the rounds in which its clusters were
+    made; no state is written twice. A ``beam`` prunes each new cluster's states;
+    the result then is a tree, maybe not the cheapest, or infeasible.
+    ``protected`` (graph_id, vertex_id, blocks, incoming) is one choice for each
+    vertex whose states the beam keeps. Graphs of several components are
+    disconnected; graphs without a fitting choice are infeasible. Self loops fit
+    no tree: infeasible. The states of a cluster grow with its boundary as
+    directed partitions do, so without a beam a graph in whose merge order a
+    cluster has more than ``max_boundary`` edges is not solved: its status is
+    too_wide, and the others go on.
     """
     loops = edges.where("u = v").select("graph_id").distinct().withColumn("loop", F.lit(True))
-    states = materialize(initial_states(candidates).withColumn("own", F.lit(False)) if protected is None else _marked(candidates, protected), "states")
-    first, history = states, []
     rounds = merge_rounds(edges, priority)
-    for pairs in rounds:
-        merged = min_plus_join(states.drop("own"), pairs)
-        merged = merged.withColumn("own", F.lit(False)) if protected is None else _carry(merged, states, pairs)
+    wide = None
+    if not beam and rounds:
+        planned = reduce(DataFrame.unionByName, [r.select("graph_id", "boundary") for r in rounds])
+        wide = materialize(planned.where(F.col("boundary") > max_boundary).select("graph_id").distinct(), "wide")
+        if not wide.isEmpty():
+            rounds = [materialize(r.join(wide, "graph_id", "left_anti"), "pairs") for r in rounds]
+            candidates = candidates.join(wide, "graph_id", "left_anti")
+    states = materialize(initial_states(candidates).withColumn("own", F.lit(False)) if protected is None else _marked(candidates, protected), "states")
+    tables, history = {-1: states}, []
+    plan = materialize(with_origins(rounds), "plan") if rounds else None
+    sources: dict[int, list[int]] = {}
+    for r in plan.select("round", F.explode(F.array("left_from", "right_from")).alias("made")).distinct().collect() if rounds else ():
+        sources.setdefault(r["round"], []).append(r["made"])  # a few numbers for each round
+    for i in range(len(rounds)):
+        pairs = plan.where(F.col("round") == i)
+        sides = pairs.select("graph_id", F.inline(F.array(*[F.struct(F.col(f"{x}_id").alias("cluster"), F.col(f"{x}_from").alias("made")) for x in ("left", "right")])))
+        parts = [tables[m].join(sides.where(F.col("made") == m).select("graph_id", "cluster"), ["graph_id", "cluster"], "left_semi") for m in sorted(sources.get(i, ()))]
+        if not parts:  # all graphs of this round are too wide
+            parts = [states.where("false")]
+        now = reduce(DataFrame.unionByName, parts)
+        merged = min_plus_join(now.drop("own"), pairs)
+        merged = merged.withColumn("own", F.lit(False)) if protected is None else _carry(merged, now, pairs)
         if beam:
             merged = prune(merged, beam, ["graph_id", "cluster"], "cost", ["key"], F.col("own") if protected is not None else None)
         merged = materialize(merged, "merged")
         history.append(merged)
-        if len(history) < len(rounds):
-            spent = pairs.select("graph_id", F.explode(F.array("left_id", "right_id")).alias("cluster"))
-            untouched = states.join(spent, ["graph_id", "cluster"], "left_anti")
-            states = materialize(untouched.unionByName(merged.select(states.columns)), "states")
+        tables[i] = merged.select(states.columns)
     vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).unionByName(candidates.select("graph_id", "vertex_id")).distinct()
-    return _walk_back(vertices, loops, first, history, rounds)
+    return _walk_back(vertices, loops, wide, states, history, rounds)
 
 
-def _walk_back(vertices: DataFrame, loops: DataFrame, first: DataFrame, history: list[DataFrame], rounds: list[DataFrame]) -> Solution:
+def _walk_back(vertices: DataFrame, loops: DataFrame, wide: DataFrame | None, first: DataFrame, history: list[DataFrame], rounds: list[DataFrame]) -> Solution:
     """Status of each graph from the last states, and the choices by one join a round, last round first.
 
     A merge makes one cluster of two, so a graph has as many components as
@@ -108,14 +139,21 @@ def _walk_back(vertices: DataFrame, loops: DataFrame, first: DataFrame, history:
     graphs = n_vertices.join(n_merges, "graph_id", "left").join(top, "graph_id", "left").join(loops, "graph_id", "left")
     whole = F.col("n") - F.coalesce("m", F.lit(0)) == 1
     solved = F.col("b").isNotNull() & whole & F.col("loop").isNull()
-    state = F.when(~whole, "disconnected").when(solved, "solved").otherwise("infeasible")
+    too_wide = F.lit(False)
+    if wide is not None:
+        graphs = graphs.join(wide.withColumn("wide", F.lit(True)), "graph_id", "left")
+        too_wide = F.col("wide").isNotNull()
+    solved = solved & ~too_wide
+    state = F.when(too_wide, "too_wide").when(~whole, "disconnected").when(solved, "solved").otherwise("infeasible")
     status = materialize(graphs.select("graph_id", state.alias("status"), *[F.when(solved, F.col(f"b.{c}")).alias(c) for c in ("cost", "key", "cluster")]), "status")
     wanted = status.where("status = 'solved'").select("graph_id", "cluster", "key")
-    for merged in reversed(history):
+    for i, merged in enumerate(reversed(history), 1):
         hit = wanted.join(merged.select("graph_id", "cluster", "key", "left_key", "right_id", "right_key"), ["graph_id", "cluster", "key"], "left")
         half = lambda c, k: F.struct(F.col(c).alias("cluster"), F.col(k).alias("key"))
         parts = F.when(F.col("left_key").isNotNull(), F.array(half("cluster", "left_key"), half("right_id", "right_key"))).otherwise(F.array(half("cluster", "key")))
-        wanted = materialize(hit.select("graph_id", F.inline(parts)), "wanted")
+        wanted = hit.select("graph_id", F.inline(parts))
+        if i % WALK == 0 or i == len(history):
+            wanted = materialize(wanted, "wanted")
     chosen = wanted.join(first, ["graph_id", "cluster", "key"]).select("graph_id", F.col("cluster").alias("vertex_id"), "blocks", "incoming", "cost")
     return Solution(status.select("graph_id", "status", "cost"), chosen)
 

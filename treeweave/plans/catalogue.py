@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeweave.functions import partitions as P
@@ -12,13 +13,14 @@ from treeweave.functions.geometry import joint_min_max
 from treeweave.operators import candidates as C
 from treeweave.operators import graph as G
 from treeweave.operators import paths, ranking, solve, tree
-from treeweave.operators.beam import Beam, prune
+from treeweave.operators.beam import Beam, histogram, prune
 from treeweave.operators.greedy import cheapest, greedy
 from treeweave.operators.voxels import voxelise as voxel_cells
 from treeweave.plans.catalogue_sql import SQL
 from treeweave.plans.merge_order import merge_sequence
+from treeweave.plans.recover import recover
 from treeweave.runtime import materialize, table
-from treeweave.sources import costs, ply, testgraphs
+from treeweave.sources import costs, ply, tables, testgraphs
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "dp_min_cost"
@@ -40,9 +42,12 @@ def _code() -> Column:
     return P.code(F.col("blocks"), F.col("incoming")).alias("code")
 
 
-def _mini(spark: SparkSession, sf_dir: str, five: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges = materialize(testgraphs.mini(spark, sf_dir, five), "mini")
-    return edges, C.all_candidates(edges, testgraphs.mini_roots(spark, five))
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, roots and all candidates of the orders' graphs, written down once."""
+    edges, roots = testgraphs.order_graphs(spark, sf_dir)
+    edges = materialize(edges, "edges")
+    roots = edges.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))
+    return edges, roots, materialize(C.all_candidates(edges, roots), "candidates")
 
 
 @query
@@ -162,7 +167,7 @@ def default_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def directed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mini(spark, sf_dir, True)[1].select("vertex_id", _code(), "cost")
+    return _orders(spark, sf_dir)[2].select("graph_id", "vertex_id", _code(), "cost")
 
 
 def _downward(edges: DataFrame) -> DataFrame:
@@ -171,8 +176,8 @@ def _downward(edges: DataFrame) -> DataFrame:
 
 @query
 def fixed_direction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, cands = _mini(spark, sf_dir, True)
-    return C.with_fixed_directions(cands, _downward(edges)).select("vertex_id", _code())
+    edges, _, cands = _orders(spark, sf_dir)
+    return C.with_fixed_directions(cands, _downward(edges)).select("graph_id", "vertex_id", _code())
 
 
 @query
@@ -185,15 +190,18 @@ def triangle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fitting pairs of candidates of vertices 2 and 3, which share edge 4."""
-    states = solve.initial_states(_mini(spark, sf_dir)[1])
-    shared = F.array(F.lit(4))
-    side = lambda v, p: states.where(F.col("cluster") == v).select("graph_id", *[F.col(c).alias(p + c) for c in ("blocks", "incoming", "key")])
-    left, right = side(2, "l"), side(3, "r")
-    way = F.array_contains("lincoming", 4) != F.array_contains("rincoming", 4)
-    both = left.join(right, "graph_id").where(way)
-    joined = both.select("lkey", "rkey", P.joined_blocks(F.col("lblocks"), F.col("rblocks"), shared, F.lit(False)).alias("blocks"), F.sort_array(F.array_except(F.array_union("lincoming", "rincoming"), shared)).alias("incoming"))
-    return joined.where("blocks is not null").select(F.col("lkey").alias("left_code"), F.col("rkey").alias("right_code"), _code().alias("joined"))
+    """For each edge, the fitting pairs of its ends' candidates: their number, and the first and last code that they make."""
+    edges, _, cands = _orders(spark, sf_dir)
+    states = materialize(solve.initial_states(cands), "states")
+    shared = F.array("edge_name")
+    inward = F.array_contains("incoming", F.col("edge_name"))
+    side = lambda end, p: edges.withColumnRenamed(end, "cluster").join(states, ["graph_id", "cluster"]).select("graph_id", "edge_name", inward.alias(p + "in"), *[F.col(c).alias(p + c) for c in ("blocks", "incoming")])
+    left, right = side("u", "l"), side("v", "r").withColumn("lin", ~F.col("rin"))
+    both = left.join(right, ["graph_id", "edge_name", "lin"])
+    closed = F.size(F.flatten("lblocks")) + F.size(F.flatten("rblocks")) == 2
+    joined = both.select("graph_id", "edge_name", P.joined_blocks(F.col("lblocks"), F.col("rblocks"), shared, closed).alias("blocks"), F.sort_array(F.array_except(F.array_union("lincoming", "rincoming"), shared)).alias("incoming"))
+    codes = joined.where("blocks is not null").select("graph_id", "edge_name", _code())
+    return codes.groupBy("graph_id", "edge_name").agg(F.count(F.lit(1)).alias("n_fits"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
 
 
 @query
@@ -205,56 +213,98 @@ def final_pair_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def brute_force_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.brute_force(*_mini(spark, sf_dir)).select("best_cost", "n_feasible")
+    edges, _, cands = _orders(spark, sf_dir)
+    return solve.brute_force(edges, cands)
 
 
 @query
 def dp_min_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.solve(*_mini(spark, sf_dir, True)).status.select("status", "cost")
+    """The exact least cost of every order's graph."""
+    edges, _, cands = _orders(spark, sf_dir)
+    return solve.solve(edges, cands).status
 
 
 @query
 def tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, cands = _mini(spark, sf_dir)
+    edges, _, cands = _orders(spark, sf_dir)
     chosen = materialize(solve.solve(edges, cands).choices, "choices")
-    return tree.invariants(tree.tree_edges(edges, chosen)).select("n_vertices", "n_edges", "n_components")
+    return tree.invariants(tree.tree_edges(edges, chosen))
 
 
 @query
 def backtrack_total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, cands = _mini(spark, sf_dir)
-    return solve.total_cost(solve.solve(edges, cands).choices, edges, every_vertex=True).select("cost")
+    edges, _, cands = _orders(spark, sf_dir)
+    return solve.total_cost(solve.solve(edges, cands).choices, edges, every_vertex=True)
 
 
 @query
 def solve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's graph solved at once: the size of each tree."""
-    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
-    edges = materialize(edges, "edges")
-    chosen = materialize(solve.solve(edges, C.all_candidates(edges, roots)).choices, "choices")
-    return tree.invariants(tree.tree_edges(edges, chosen))
+    """Every order's graph solved at once: status, least cost, and the size of the split tree."""
+    edges, _, cands = _orders(spark, sf_dir)
+    found = solve.solve(edges, cands)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).distinct()
+    split = tree.split_graph(vertices, edges, materialize(found.choices, "choices"))
+    n = [df.groupBy("graph_id").agg(F.count(F.lit(1)).alias(c)) for df, c in zip(split, ("n_vertices", "n_edges"))]
+    return found.status.join(n[0], "graph_id", "left").join(n[1], "graph_id", "left")
 
 
 @query
 def solve_many_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a beam of 20 states around the greedy choice: status and cost of each graph."""
-    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
+    """The same with a beam of three states around the greedy choice: status and cost of each graph."""
+    edges, roots, cands = _orders(spark, sf_dir)
     edges = materialize(edges.withColumn("len", F.lit(1).cast("long")), "edges")
-    cands = materialize(C.all_candidates(edges, roots), "candidates")
     chosen = materialize(greedy(edges, cands, roots), "greedy")
-    return solve.solve(edges, cands, beam=Beam("fixed", 20), protected=chosen.where("status = 'chosen'")).status
+    return solve.solve(edges, cands, beam=Beam("fixed", 3), protected=chosen.where("status = 'chosen'")).status
 
 
 @query
 def greedy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, roots = testgraphs.customer_graphs(spark, sf_dir)
-    edges = materialize(edges.withColumn("len", F.lit(1).cast("long")), "edges")
-    return greedy(edges, C.all_candidates(edges, roots), roots).select("graph_id", "vertex_id", _code(), "cost", "status")
+    """The greedy cost of each vertex of every order's graph."""
+    edges, roots, cands = _orders(spark, sf_dir)
+    edges = materialize(edges.withColumn("len", F.col("v") - F.col("u")), "edges")
+    return greedy(edges, cands, roots).select("graph_id", "vertex_id", "cost", "status")
+
+
+@query
+def recover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs and candidates to split trees as PLY texts and back, attributes included: what each tree holds."""
+    edges, _, cands = _orders(spark, sf_dir)
+    edges = edges.withColumn("len", (F.col("v") - F.col("u")).cast("double"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_linenumber").cast("long").alias("vertex_id")).agg(F.max("l_quantity").cast("double").alias("x"))
+    vertices = lines.join(edges.select("graph_id").distinct(), "graph_id", "left_semi")
+    found = recover(vertices, edges, cands)
+    v, e = ply.parse(materialize(ply.to_ply(found.vertices, found.edges), "ply"))
+    once = v.withColumn("og", F.try_element_at("attributes", F.lit("og_vertex")).cast("long")).groupBy("graph_id", "og").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    per = once.groupBy("graph_id").agg(F.sum("n").alias("n_vertices"), F.sum("lo").alias("least_x"), F.sum("hi").alias("most_x"))
+    return per.join(e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("len").alias("len")), "graph_id")
+
+
+@query
+def up_converted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the junctions under dense ids, brought to the ids of the whole graphs and filled up with the free ones."""
+    edges, roots, cands = _orders(spark, sf_dir)
+    dense = materialize(ranking.relabel(edges)[1], "ids")
+    wide = G.degrees(edges).where("degree > 2").select("graph_id", "vertex_id").unionByName(roots.select("graph_id", "vertex_id")).distinct()
+    small = cands.join(wide, ["graph_id", "vertex_id"], "left_semi").join(dense, ["graph_id", "vertex_id"]).withColumn("vertex_id", F.col("new_id").cast("long"))
+    id_map = dense.select("graph_id", F.col("new_id").cast("long").alias("vertex_id"), (F.col("vertex_id") - 1).alias("original_id"))
+    full = tables.full_candidates(small.drop("new_id"), id_map, edges, roots)
+    return full.select("graph_id", "vertex_id", _code(), "cost")
+
+
+@query
+def undirected_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each pair of an order's first two lines, the merged states without directions: their number and least cost."""
+    edges, roots, cands = _orders(spark, sf_dir)
+    first = edges.join(roots.withColumnRenamed("vertex_id", "u"), ["graph_id", "u"]).groupBy("graph_id", F.col("u").alias("left_id")).agg(F.min("v").alias("right_id"))
+    between = edges.withColumnsRenamed({"u": "left_id", "v": "right_id"}).join(first, ["graph_id", "left_id", "right_id"])
+    pairs = between.groupBy("graph_id", "left_id", "right_id").agg(F.sort_array(F.collect_set("edge_name")).alias("shared"))
+    made = solve.min_plus_join(solve.initial_states(cands), pairs, directed=False)
+    return made.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_states"), F.min("cost").alias("best_cost"))
 
 
 @query
 def merge_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.merge_priorities(_above(testgraphs.trade_edges(spark, sf_dir), 300)).select("u", "v", "outdegree", "product", "indegree")
+    return G.merge_priorities(_above(testgraphs.trade_edges(spark, sf_dir), 300)).select("u", "v", "outdegree", "product", "indegree", "maxdegree", "degrees", F.round("diff", 6).alias("diff"), F.round("diffinv", 6).alias("diffinv"))
 
 
 @query
@@ -271,8 +321,8 @@ def merge_sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def greedy_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, cands = _mini(spark, sf_dir, True)
-    return cheapest(C.with_fixed_directions(cands, _downward(edges))).select("vertex_id", "cost")
+    edges, _, cands = _orders(spark, sf_dir)
+    return cheapest(C.with_fixed_directions(cands, _downward(edges))).select("graph_id", "vertex_id", "cost")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +355,14 @@ def beam_delta_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune(_events(spark, sf_dir), Beam("delta", 0.05, norm="division"), ["user_id"], "value").select("user_id", "event_id")
 
 
+@query
+def beam_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The costs that a beam of three keeps for each user, by event, as text."""
+    kept = prune(_events(spark, sf_dir), Beam("fixed", 3), ["user_id"], "value", ["event_id"])
+    costs_ = histogram(kept.withColumn("key", F.col("event_id")).withColumn("value", F.round("value", 2)), ["user_id"], cost="value")
+    return costs_.select("user_id", F.array_join(F.map_keys("costs").cast("array<string>"), ",").alias("events"), F.round(F.aggregate(F.map_values("costs"), F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
 @query
 def beam_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four cheapest events of a user, the user's first event among them."""
@@ -321,7 +379,7 @@ def voxelise(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("lines").alias("graph_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("segment_id"), d("l_quantity").alias("x1"), d("l_linenumber").alias("y1"), (F.col("l_discount") * 100).alias("z1"),
         (F.col("l_quantity") / 2).alias("x2"), (F.col("l_linenumber") * 3.0).alias("y2"), (F.col("l_tax") * 100).alias("z2"), F.col("l_discount").alias("value"),
     )
-    return voxel_cells(lines).select("x", "y", "z", "value")
+    return voxel_cells(lines, steps=5).select("x", "y", "z", "value")
 
 
 @query
@@ -338,19 +396,28 @@ def ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cost_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return costs.parse_candidates(costs.to_text(_mini(spark, sf_dir, True)[1])).select("vertex_id", _code(), "cost")
+    return costs.parse_candidates(costs.to_text(_orders(spark, sf_dir)[2])).select("graph_id", "vertex_id", _code(), "cost")
 
 
 @query
 def candidate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _mini(spark, sf_dir, True)[1].groupBy("graph_id", "vertex_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    """Of each graph: the greatest number of candidates of a vertex, their sum, and the sum of their logarithms."""
+    per = _orders(spark, sf_dir)[2].groupBy("graph_id", "vertex_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("graph_id").agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.round(F.sum(F.log("n")), 6).alias("logs"))
+
+
+@query
+def candidate_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest number of candidates among a graph's vertices so far, in order of id."""
+    per = _orders(spark, sf_dir)[2].groupBy("graph_id", "vertex_id").agg(F.count(F.lit(1)).alias("n"))
+    so_far = W.partitionBy("graph_id").orderBy("vertex_id").rowsBetween(W.unboundedPreceding, 0)
+    return per.select("graph_id", "vertex_id", F.max("n").over(so_far).alias("most"))
 
 
 @query
 def root_cost_zeroing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, cands = _mini(spark, sf_dir, True)
-    return C.free_at_roots(cands, edges, testgraphs.mini_roots(spark, True)).select("vertex_id", _code(), "cost")
+    edges, roots, cands = _orders(spark, sf_dir)
+    return C.free_at_roots(cands, edges, roots).select("graph_id", "vertex_id", _code(), "cost")
 
 
 @query

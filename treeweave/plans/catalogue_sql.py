@@ -2,70 +2,81 @@
 
 from __future__ import annotations
 
+#: Bell numbers from 0 on, for the pairs of up to 25 nations.
+BELL = [1]
+_row = [1]
+for _ in range(60):
+    _next = [_row[-1]]
+    for _x in _row:
+        _next.append(_next[-1] + _x)
+    _row = _next
+    BELL.append(_row[0])
+
 TRADE = """trade AS (
   SELECT CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS u, CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS v, count(*) AS w
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"""
 
-MINI = f"""{TRADE},
-ns AS (SELECT n, row_number() OVER (ORDER BY n) AS id FROM (SELECT DISTINCT s_nationkey AS n FROM supplier ORDER BY n LIMIT 4)),
-e AS (SELECT CAST(row_number() OVER (ORDER BY a.id, b.id) AS INTEGER) AS name, a.id AS u, b.id AS v
-      FROM trade JOIN ns a ON trade.u = a.n JOIN ns b ON trade.v = b.n)"""
-
-MINI5 = MINI.replace("\ne AS", "\ne4 AS") + ",\ne AS (SELECT * FROM e4 UNION ALL VALUES (7, 3, 5), (8, 4, 5))"
+ORDERS = """ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS graph_id, CAST(l_linenumber AS BIGINT) AS n, min(l_returnflag || l_linestatus) AS f FROM lineitem GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n) AS r FROM ln),
+e AS (SELECT a.graph_id, CAST(a.n * 10 + b.n AS INTEGER) AS name, a.n AS u, b.n AS v FROM rk a JOIN rk b ON a.graph_id = b.graph_id AND (b.r = a.r + 1 OR (b.r = a.r + 2 AND a.f = b.f)))"""
 
 CUSTOMER = """seen AS (
   SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS graph_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS p, CAST(n_regionkey AS BIGINT) AS r
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE (n_regionkey - CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 6) % 5 < 2),
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 ce AS (SELECT DISTINCT graph_id, p AS name, 0 AS u, p AS v FROM seen UNION ALL SELECT graph_id, p * 10 + r, p, r + 6 FROM seen),
 ends AS (SELECT graph_id, name, u AS vertex FROM ce UNION ALL SELECT graph_id, name, v FROM ce)"""
 
 
-def candidates(root: int) -> str:
-    """``c``: vertex, es, lab (block of each edge), mx, mask (incoming), cost and code of every directed candidate of graph ``e``."""
-    return f"""
-inc AS (SELECT vertex, list_sort(list(name)) AS es FROM (SELECT u AS vertex, name FROM e UNION ALL SELECT v, name FROM e) GROUP BY vertex),
-parts AS (
-  SELECT vertex, es, 0 AS i, CAST([] AS INTEGER[]) AS lab, -1 AS mx FROM inc
+#: ``c``: graph_id, vertex, root, es, lab (block of each edge), mx, mask (incoming), cost and code of every directed candidate of the graphs ``e``; ``root`` is each graph's smallest vertex.
+CANDIDATES = """
+rt AS (SELECT graph_id, min(least(u, v)) AS root FROM e GROUP BY graph_id),
+inc AS (SELECT graph_id, vertex, root, list_sort(list(name)) AS es FROM (SELECT graph_id, u AS vertex, name FROM e UNION ALL SELECT graph_id, v, name FROM e) JOIN rt USING (graph_id) GROUP BY ALL),
+shape AS (
+  SELECT n, 0 AS i, CAST([] AS INTEGER[]) AS lab, -1 AS mx FROM (SELECT DISTINCT len(es) AS n FROM inc)
   UNION ALL
-  SELECT vertex, es, i + 1, list_append(lab, CAST(l AS INTEGER)), greatest(mx, CAST(l AS INTEGER)) FROM parts, range(len(es)) t(l) WHERE i < len(es) AND l <= mx + 1),
+  SELECT n, i + 1, list_append(lab, CAST(l AS INTEGER)), greatest(mx, CAST(l AS INTEGER)) FROM shape, range(9) t(l) WHERE i < n AND l <= mx + 1),
+way AS (
+  SELECT n, lab, mx, mask, len([k for k in range(mx + 1) if len([j for j in range(1, n + 1) if lab[j] = k AND (mask >> (j - 1)) & 1 = 1]) <> 1]) = 0 AS each
+  FROM shape, range(512) m(mask) WHERE i = n AND mask < (1 << n)),
 c AS (
-  SELECT vertex, es, lab, mx, mask,
+  SELECT graph_id, vertex, root, es, lab, mx, mask,
          (31 * list_sum([CAST(lab[j] AS BIGINT) * es[j] for j in range(1, len(es) + 1)])
           + 17 * coalesce(list_sum([es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1]), 0) + 7 * vertex) % 1000 AS cost,
          array_to_string(list_transform(range(mx + 1), lambda k: array_to_string([es[j] for j in range(1, len(es) + 1) if lab[j] = k], ',')), '|') || ':'
          || array_to_string([es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1], ',') AS code
-  FROM parts, range(512) m(mask)
-  WHERE i = len(es) AND mask < (1 << len(es)) AND CASE WHEN vertex = {root} THEN mx = 0 AND mask = 0 ELSE
-    len([k for k in range(mx + 1) if len([j for j in range(1, len(es) + 1) if lab[j] = k AND (mask >> (j - 1)) & 1 = 1]) <> 1]) = 0 END)"""
+  FROM inc JOIN way ON len(es) = n WHERE CASE WHEN vertex = root THEN mx = 0 AND mask = 0 ELSE each END)"""
 
 
-def brute(graph: str, vertices: list[int], root: int) -> str:
-    """``f``: combo, cost of every feasible combination: all candidates crossed, each edge entering one end, every copy reaching the root upwards."""
-    first, *rest = vertices
-    cross = f"(SELECT vertex AS v{first}, cost AS k{first}, lab AS l{first}, mask AS m{first}, es AS e{first} FROM c WHERE vertex = {first})"
-    for v in rest:
-        cross += f", (SELECT vertex AS v{v}, cost AS k{v}, lab AS l{v}, mask AS m{v}, es AS e{v} FROM c WHERE vertex = {v})"
-    unpivot = " UNION ALL ".join(f"SELECT combo, cost, v{v} AS vertex, l{v} AS lab, m{v} AS mask, e{v} AS es FROM x" for v in vertices)
-    return f"""WITH RECURSIVE {graph},{candidates(root)},
-x AS (SELECT row_number() OVER () AS combo, {" + ".join(f"k{v}" for v in vertices)} AS cost, * FROM {cross}),
-rows AS ({unpivot}),
-half AS (SELECT combo, cost, vertex, es[j] AS name, lab[j] AS blk, (mask >> (j - 1)) & 1 AS inward FROM rows, range(1, 20) t(j) WHERE j <= len(es)),
-ok AS (SELECT combo, cost FROM (SELECT combo, any_value(cost) AS cost, name, sum(inward) AS s FROM half GROUP BY combo, name) GROUP BY combo, cost HAVING min(s) = 1 AND max(s) = 1),
-h AS (SELECT half.* FROM half JOIN ok USING (combo)),
-up AS (SELECT DISTINCT a.combo, a.vertex, a.blk, b.vertex AS pv, b.blk AS pb FROM h a JOIN h b ON a.combo = b.combo AND a.name = b.name AND a.vertex <> b.vertex WHERE a.inward = 1),
+def brute(graph: str) -> str:
+    """``f``: graph_id, combo, cost of every feasible combination.
+
+    Candidates are crossed vertex by vertex in order of id, as long as each edge
+    enters just one of its ends; a combination is a tree if every copy reaches
+    the root upwards, since each copy but the root's has one edge that enters it.
+    """
+    return f"""WITH RECURSIVE {graph},{CANDIDATES},
+o AS (SELECT graph_id, vertex, row_number() OVER (PARTITION BY graph_id ORDER BY vertex) AS i FROM inc),
+ci AS (SELECT o.i, c.graph_id, c.vertex, c.cost, [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] AS ins, [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 0] AS outs, es, lab, mask
+       FROM c JOIN o ON c.graph_id = o.graph_id AND c.vertex = o.vertex),
+x AS (
+  SELECT graph_id, i, cost, ins, outs, [struct_pack(vertex := vertex, es := es, lab := lab, mask := mask)] AS st FROM ci WHERE i = 1
+  UNION ALL
+  SELECT x.graph_id, ci.i, x.cost + ci.cost, list_concat(x.ins, ci.ins), list_concat(x.outs, ci.outs), list_append(x.st, struct_pack(vertex := ci.vertex, es := ci.es, lab := ci.lab, mask := ci.mask))
+  FROM x JOIN ci ON x.graph_id = ci.graph_id AND ci.i = x.i + 1 WHERE NOT list_has_any(x.ins, ci.ins) AND NOT list_has_any(x.outs, ci.outs)),
+whole AS (SELECT row_number() OVER () AS combo, x.* FROM x JOIN (SELECT graph_id, max(i) AS n FROM o GROUP BY graph_id) m ON x.graph_id = m.graph_id AND x.i = m.n),
+half AS (SELECT combo, s.vertex AS vertex, s.es[j] AS name, s.lab[j] AS blk, (s.mask >> (j - 1)) & 1 AS inward FROM (SELECT combo, unnest(st) AS s FROM whole), range(1, 20) t(j) WHERE j <= len(s.es)),
+up AS (SELECT a.combo, a.vertex, a.blk, b.vertex AS pv, b.blk AS pb FROM half a JOIN half b ON a.combo = b.combo AND a.name = b.name AND a.vertex <> b.vertex WHERE a.inward = 1 AND b.inward = 0),
 walk AS (
-  SELECT DISTINCT combo, vertex AS sv, blk AS sb, vertex, blk FROM h
-  UNION
-  SELECT walk.combo, sv, sb, pv, pb FROM walk JOIN up ON walk.combo = up.combo AND walk.vertex = up.vertex AND walk.blk = up.blk),
-reach AS (SELECT combo, count(*) AS n FROM walk WHERE vertex = {root} GROUP BY combo),
-size AS (SELECT combo, count(*) AS n FROM (SELECT DISTINCT combo, vertex, blk FROM h) GROUP BY combo),
-f AS (SELECT ok.combo, ok.cost FROM ok JOIN reach ON ok.combo = reach.combo JOIN size ON ok.combo = size.combo WHERE reach.n = size.n)
+  SELECT combo, vertex AS sv, blk AS sb, pv, pb, 1 AS d FROM up
+  UNION ALL
+  SELECT walk.combo, sv, sb, up.pv, up.pb, d + 1 FROM walk JOIN up ON walk.combo = up.combo AND walk.pv = up.vertex AND walk.pb = up.blk WHERE d < 24),
+ends AS (SELECT combo, sv, sb, max(d) AS d FROM walk GROUP BY ALL),
+bad AS (SELECT DISTINCT combo FROM ends WHERE d >= 24),
+f AS (SELECT graph_id, combo, cost FROM whole WHERE combo NOT IN (SELECT combo FROM bad))
 """
 
 
-
 DIST = f"""WITH RECURSIVE {TRADE},
 e AS (SELECT u, v, (SELECT max(w) FROM trade) + 1 - w AS len FROM trade),
 b AS (SELECT u, v, len FROM e UNION ALL SELECT v, u, len FROM e),
@@ -76,7 +87,7 @@ r AS (
 dist AS (SELECT v AS vertex_id, min(d) AS dist FROM r GROUP BY v)
 """
 
-TWO = "e AS (SELECT * FROM (VALUES (1, 1, 2), (2, 1, 2)) t(name, u, v))"
+TWO = "e AS (SELECT 'two' AS graph_id, * FROM (VALUES (1, 1, 2), (2, 1, 2)) t(name, u, v))"
 
 SQL: dict[str, str] = {
     "degree_part_supp": "SELECT vertex_id, count(*) AS degree FROM (SELECT DISTINCT l_partkey AS vertex_id, l_suppkey AS o, 0 AS k FROM lineitem UNION ALL SELECT DISTINCT -l_suppkey - 1, l_partkey, 1 FROM lineitem) GROUP BY vertex_id",
@@ -121,34 +132,37 @@ SQL: dict[str, str] = {
       FROM range(1, 10) a(n), range(1, 10) b(k) WHERE k <= n GROUP BY n""",
     "default_candidates": f"""WITH {CUSTOMER}, i AS (SELECT graph_id, vertex, list_sort(list(name)) AS es FROM ends GROUP BY ALL)
       SELECT graph_id, vertex AS vertex_id, array_to_string(es, ',') || ':' || x AS code, CAST(0 AS BIGINT) AS cost FROM (SELECT *, unnest(es) AS x FROM i WHERE len(es) <= 2 AND vertex <> 0)""",
-    "directed_candidates": f"WITH RECURSIVE {MINI5},{candidates(1)} SELECT vertex AS vertex_id, code, CAST(cost AS BIGINT) AS cost FROM c",
-    "fixed_direction_candidates": f"""WITH RECURSIVE {MINI5},{candidates(1)},
-      g AS (SELECT v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY v)
-      SELECT c.vertex AS vertex_id, code FROM c LEFT JOIN g ON c.vertex = g.vertex WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, [])""",
-    "triangle_filter": f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES (1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 1, 4), (5, 4, 5)) t(name, u, v)),{candidates(5)}
+    "directed_candidates": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, vertex AS vertex_id, code, CAST(cost AS BIGINT) AS cost FROM c",
+    "fixed_direction_candidates": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
+      g AS (SELECT graph_id, v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY ALL)
+      SELECT c.graph_id, c.vertex AS vertex_id, code FROM c LEFT JOIN g ON c.vertex = g.vertex AND c.graph_id = g.graph_id WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, [])""",
+    "triangle_filter": f"""WITH RECURSIVE e AS (SELECT 'gadget' AS graph_id, * FROM (VALUES (1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 1, 4), (5, 4, 5)) t(name, u, v)),{CANDIDATES.replace("min(least(u, v)) AS root", "5 AS root")}
       SELECT CAST(vertex AS BIGINT) AS vertex_id, code FROM c WHERE NOT (vertex = 1 AND lab[1] = lab[2])""",
-    "block_join": f"""WITH RECURSIVE {MINI},{candidates(1)},
-      o AS (SELECT *, list_position(es, 4) AS s, [j for j in range(1, 4) if es[j] <> 4] AS js FROM c WHERE vertex IN (2, 3)),
-      j AS (SELECT l.code AS left_code, r.code AS right_code, l.cost + r.cost AS cost,
-        list_sort(list_filter(list_concat(
+    "block_join": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
+      h AS (SELECT c.*, e.name, e.u, e.v, list_position(es, e.name) AS s, [j for j in range(1, len(es) + 1) if es[j] <> e.name] AS js FROM c JOIN e ON c.graph_id = e.graph_id AND (c.vertex = e.u OR c.vertex = e.v)),
+      j AS (SELECT l.graph_id, l.name, len(l.es) + len(r.es) AS size,
+        list_sort(list_concat(
           [[l.es[i] for i in l.js if l.lab[i] = k] for k in range(l.mx + 1) if k <> l.lab[l.s]], [[r.es[i] for i in r.js if r.lab[i] = k] for k in range(r.mx + 1) if k <> r.lab[r.s]],
-          [list_sort(list_concat([l.es[i] for i in l.js if l.lab[i] = l.lab[l.s]], [r.es[i] for i in r.js if r.lab[i] = r.lab[r.s]]))]), lambda b: true)) AS bl,
+          [list_sort(list_concat([l.es[i] for i in l.js if l.lab[i] = l.lab[l.s]], [r.es[i] for i in r.js if r.lab[i] = r.lab[r.s]]))])) AS bl,
         list_sort(list_concat([l.es[i] for i in l.js if (l.mask >> (i - 1)) & 1 = 1], [r.es[i] for i in r.js if (r.mask >> (i - 1)) & 1 = 1])) AS inw
-        FROM o l, o r WHERE l.vertex = 2 AND r.vertex = 3 AND ((l.mask >> (l.s - 1)) & 1) + ((r.mask >> (r.s - 1)) & 1) = 1)
-      SELECT left_code, right_code, array_to_string([array_to_string(b, ',') for b in bl], '|') || ':' || array_to_string(inw, ',') AS joined FROM j WHERE len([b for b in bl if len(b) = 0]) = 0""",
-    "final_pair_min": f"{brute(TWO, [1, 2], 1)} SELECT CAST(min(cost) AS BIGINT) AS best_cost, count(*) AS n_feasible FROM f",
-    "brute_force_min": f"{brute(MINI, [1, 2, 3, 4], 1)} SELECT CAST(min(cost) AS BIGINT) AS best_cost, count(*) AS n_feasible FROM f",
-    "dp_min_cost": f"{brute(MINI5, [1, 2, 3, 4, 5], 1)} SELECT 'solved' AS status, CAST(min(cost) AS BIGINT) AS cost FROM f",
-    "tree_invariants": f"{brute(MINI, [1, 2, 3, 4], 1)} SELECT n + 1 AS n_vertices, n AS n_edges, CAST(1 AS BIGINT) AS n_components FROM (SELECT count(*) AS n FROM e) WHERE (SELECT count(*) FROM f) > 0",
-    "backtrack_total_cost": f"{brute(MINI, [1, 2, 3, 4], 1)} SELECT CAST(min(cost) AS BIGINT) AS cost FROM f",
+        FROM h l JOIN h r ON l.graph_id = r.graph_id AND l.name = r.name WHERE l.vertex = l.u AND r.vertex = r.v AND ((l.mask >> (l.s - 1)) & 1) + ((r.mask >> (r.s - 1)) & 1) = 1),
+      k AS (SELECT graph_id, name, array_to_string([array_to_string(b, ',') for b in bl], '|') || ':' || array_to_string(inw, ',') AS code FROM j WHERE size = 2 OR len([b for b in bl if len(b) = 0]) = 0)
+      SELECT graph_id, name AS edge_name, count(*) AS n_fits, min(code) AS first_code, max(code) AS last_code FROM k GROUP BY ALL""",
+    "final_pair_min": f"{brute(TWO)} SELECT CAST(min(cost) AS BIGINT) AS best_cost, count(*) AS n_feasible FROM f",
+    "brute_force_min": f"{brute(ORDERS)} SELECT rt.graph_id, CAST(min(cost) AS BIGINT) AS best_cost, count(cost) AS n_feasible FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
+    "dp_min_cost": f"{brute(ORDERS)} SELECT rt.graph_id, CASE WHEN count(cost) > 0 THEN 'solved' ELSE 'infeasible' END AS status, CAST(min(cost) AS BIGINT) AS cost FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
+    "tree_invariants": f"{brute(ORDERS)} SELECT graph_id, count(*) + 1 AS n_vertices, count(*) AS n_edges, CAST(1 AS BIGINT) AS n_components FROM e WHERE graph_id IN (SELECT graph_id FROM f) GROUP BY graph_id",
+    "backtrack_total_cost": f"{brute(ORDERS)} SELECT graph_id, CAST(min(cost) AS BIGINT) AS cost FROM f GROUP BY graph_id",
     "merge_priorities": f"""WITH {TRADE}, k AS (SELECT * FROM trade WHERE w * 300 >= (SELECT sum(w) FROM trade)),
-      d AS (SELECT x, count(*) AS d FROM (SELECT u AS x FROM k UNION ALL SELECT v FROM k) GROUP BY x)
-      SELECT u, v, a.d + b.d - 2 AS outdegree, (a.d - 1) * (b.d - 1) AS product, CAST(1 AS BIGINT) AS indegree FROM k JOIN d a ON u = a.x JOIN d b ON v = b.x""",
+      d AS (SELECT x, count(*) AS d FROM (SELECT u AS x FROM k UNION ALL SELECT v FROM k) GROUP BY x),
+      bt AS (SELECT * FROM (VALUES {", ".join(f"({n}, CAST({bell} AS DOUBLE))" for n, bell in enumerate(BELL))}) t(n, b)),
+      m AS (SELECT u, v, a.d + b.d - 2 AS outdegree, (a.d - 1) * (b.d - 1) AS product, CAST(1 AS BIGINT) AS indegree, greatest(a.d, b.d) AS maxdegree, a.d * b.d AS degrees FROM k JOIN d a ON u = a.x JOIN d b ON v = b.x)
+      SELECT m.*, round(degrees - ln(b), 6) AS diff, round(ln(b) - degrees, 6) AS diffinv FROM m JOIN bt ON outdegree = n""",
     "merge_cost": """WITH f AS (SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * CAST(pow(k, n - k) AS BIGINT)) AS BIGINT) AS c FROM range(1, 7) a(n), range(1, 7) b(k) WHERE k <= n GROUP BY n)
       SELECT a.n AS u, b.n AS w, a.c * b.c * (a.n + b.n) AS cost FROM f a, f b""",
-    "greedy_argmin": f"""WITH RECURSIVE {MINI5},{candidates(1)},
-      g AS (SELECT v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY v)
-      SELECT c.vertex AS vertex_id, CAST(min(cost) AS BIGINT) AS cost FROM c LEFT JOIN g ON c.vertex = g.vertex WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, []) GROUP BY c.vertex""",
+    "greedy_argmin": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
+      g AS (SELECT graph_id, v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY ALL)
+      SELECT c.graph_id, c.vertex AS vertex_id, CAST(min(cost) AS BIGINT) AS cost FROM c LEFT JOIN g ON c.vertex = g.vertex AND c.graph_id = g.graph_id WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, []) GROUP BY ALL""",
     "beam_fixed": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) <= 5",
     "beam_percent": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) <= greatest(3, CAST(floor(0.1 * count(*) OVER (PARTITION BY user_id)) AS BIGINT))",
     "beam_probability": """WITH x AS (SELECT user_id, event_id, row_number() OVER w AS r, 1.0 + sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY CAST(round(value * 100) AS BIGINT), event_id ROWS UNBOUNDED PRECEDING) AS s
@@ -166,11 +180,29 @@ SQL: dict[str, str] = {
     "id_map_join": f"WITH {TRADE}, m AS (SELECT x, row_number() OVER (ORDER BY x) AS y FROM (SELECT u AS x FROM trade UNION SELECT v FROM trade)) SELECT x AS vertex_id, y AS new_id FROM m",
     "merge_sequence_sizes": f"WITH {CUSTOMER} SELECT graph_id, count(DISTINCT vertex) - 1 AS n_steps FROM ends GROUP BY graph_id",
     "ply_round_trip": f"WITH {TRADE}, m AS (SELECT x, row_number() OVER (ORDER BY x) AS y FROM (SELECT u AS x FROM trade UNION SELECT v FROM trade)) SELECT CAST(u * 100 + v AS INTEGER) AS edge_name, a.y AS u, b.y AS v, CAST(w AS DOUBLE) AS len FROM trade JOIN m a ON u = a.x JOIN m b ON v = b.x",
-    "cost_text_round_trip": f"WITH RECURSIVE {MINI5},{candidates(1)} SELECT vertex AS vertex_id, code, CAST(cost AS DOUBLE) AS cost FROM c",
-    "candidate_statistics": f"WITH RECURSIVE {MINI5},{candidates(1)} SELECT max(n) AS most, sum(n) AS total FROM (SELECT vertex, count(*) AS n FROM c GROUP BY vertex)".replace("sum(n)", "CAST(sum(n) AS BIGINT)"),
-    "root_cost_zeroing": f"WITH RECURSIVE {MINI5},{candidates(1)} SELECT vertex AS vertex_id, code, CAST(CASE WHEN vertex = 1 OR len(es) <= 2 THEN 0 ELSE cost END AS BIGINT) AS cost FROM c",
+    "cost_text_round_trip": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, vertex AS vertex_id, code, CAST(cost AS DOUBLE) AS cost FROM c",
+    "candidate_statistics": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(sum(ln(n)), 6) AS logs FROM (SELECT graph_id, vertex, count(*) AS n FROM c GROUP BY ALL) GROUP BY graph_id",
+    "root_cost_zeroing": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, vertex AS vertex_id, code, CAST(CASE WHEN vertex = root OR len(es) <= 2 THEN 0 ELSE cost END AS BIGINT) AS cost FROM c",
     "candidate_problems": f"""WITH {CUSTOMER}, i AS (SELECT graph_id, vertex, count(*) AS n FROM ends GROUP BY ALL)
       SELECT graph_id, vertex AS vertex_id, 'no_candidate' AS kind FROM i WHERE n > 2 OR vertex = 0
       UNION ALL SELECT graph_id, NULL, 'no_root' FROM (SELECT DISTINCT graph_id FROM i WHERE n <= 2 AND vertex <> 0)""",
-    "solve_many": f"WITH {CUSTOMER} SELECT graph_id, count(*) + 1 AS n_vertices, count(*) AS n_edges, CAST(1 AS BIGINT) AS n_components FROM ce GROUP BY graph_id",
+    "solve_many": f"{brute(ORDERS)}, n AS (SELECT graph_id, count(*) AS n FROM e GROUP BY graph_id), b AS (SELECT graph_id, min(cost) AS cost FROM f GROUP BY graph_id) SELECT n.graph_id, CASE WHEN b.cost IS NULL THEN 'infeasible' ELSE 'solved' END AS status, CAST(b.cost AS BIGINT) AS cost, CASE WHEN b.cost IS NOT NULL THEN n + 1 END AS n_vertices, CASE WHEN b.cost IS NOT NULL THEN n END AS n_edges FROM n LEFT JOIN b ON n.graph_id = b.graph_id",
+    "candidate_running_max": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, vertex AS vertex_id, max(n) OVER (PARTITION BY graph_id ORDER BY vertex) AS most FROM (SELECT graph_id, vertex, count(*) AS n FROM c GROUP BY ALL)",
+    "recover_trees": f"""{brute(ORDERS)}, q AS (SELECT graph_id, sum(x) AS x FROM (SELECT CAST(l_orderkey AS VARCHAR) AS graph_id, l_linenumber, CAST(max(l_quantity) AS DOUBLE) AS x FROM lineitem GROUP BY ALL) GROUP BY graph_id)
+      SELECT e.graph_id, count(*) + 1 AS n_vertices, any_value(q.x) AS least_x, any_value(q.x) AS most_x, count(*) AS n_edges, CAST(sum(v - u) AS DOUBLE) AS len FROM e JOIN q ON e.graph_id = q.graph_id WHERE e.graph_id IN (SELECT graph_id FROM f) GROUP BY e.graph_id""",
+    "up_converted_candidates": f"""WITH RECURSIVE {ORDERS},{CANDIDATES}
+      SELECT graph_id, vertex AS vertex_id, code, CAST(cost AS BIGINT) AS cost FROM c WHERE vertex = root OR len(es) > 2
+      UNION ALL SELECT graph_id, vertex, array_to_string(es, ',') || ':' || x, 0 FROM (SELECT *, unnest(es) AS x FROM inc WHERE len(es) <= 2 AND vertex <> root)""",
+    "undirected_join": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
+      p AS (SELECT e.graph_id, u, min(v) AS v FROM e JOIN rt ON e.graph_id = rt.graph_id AND u = root GROUP BY ALL),
+      un AS (SELECT graph_id, vertex, es, lab, mx, min(cost) AS cost FROM c GROUP BY ALL),
+      h AS (SELECT un.*, p.u, p.v, p.u * 10 + p.v AS name, list_position(es, p.u * 10 + p.v) AS s, [j for j in range(1, len(es) + 1) if es[j] <> p.u * 10 + p.v] AS js FROM un JOIN p ON un.graph_id = p.graph_id AND (vertex = u OR vertex = v)),
+      j AS (SELECT l.graph_id, l.cost + r.cost AS cost, len(l.es) + len(r.es) AS size,
+        list_sort(list_concat(
+          [[l.es[i] for i in l.js if l.lab[i] = k] for k in range(l.mx + 1) if k <> l.lab[l.s]], [[r.es[i] for i in r.js if r.lab[i] = k] for k in range(r.mx + 1) if k <> r.lab[r.s]],
+          [list_sort(list_concat([l.es[i] for i in l.js if l.lab[i] = l.lab[l.s]], [r.es[i] for i in r.js if r.lab[i] = r.lab[r.s]]))])) AS bl
+        FROM h l JOIN h r ON l.graph_id = r.graph_id WHERE l.vertex = l.u AND r.vertex = r.v)
+      SELECT graph_id, count(DISTINCT CAST(bl AS VARCHAR)) AS n_states, CAST(min(cost) AS BIGINT) AS best_cost FROM j WHERE size = 2 OR len([b for b in bl if len(b) = 0]) = 0 GROUP BY graph_id""",
+    "beam_histogram": """SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS events, round(sum(round(value, 2)), 2) AS total
+      FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) <= 3) GROUP BY user_id""",
 }

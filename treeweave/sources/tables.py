@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeweave.operators.candidates import default_candidates
+
 VERTEX_SCHEMA = "graph_id string, vertex_id long, x double, y double, z double, og_index int, root int"
 EDGE_SCHEMA = "graph_id string, edge_name int, u long, v long, len double, weight smallint"
 
@@ -73,6 +75,21 @@ def to_original_ids(candidates: DataFrame, id_map: DataFrame) -> DataFrame:
     return both.withColumn("vertex_id", F.col("original_id") + 1).drop("original_id")
 
 
+def full_candidates(candidates: DataFrame, id_map: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates of whole graphs from those of their truncated forms.
+
+    ``candidates`` go under their original ids; vertices of ``edges`` (the whole
+    graphs) of degree 2 or less get the free default candidates instead of any
+    of their own. Roots of such a degree keep their own.
+    """
+    default = default_candidates(edges, roots)
+    moved = to_original_ids(candidates, id_map)
+    kept = moved.join(default.select("graph_id", "vertex_id").distinct(), ["graph_id", "vertex_id"], "left_anti")
+    columns = ["graph_id", "vertex_id", "blocks", "incoming", "cost"]
+    kind = candidates.schema["cost"].dataType
+    return kept.select(columns).unionByName(default.withColumn("cost", F.col("cost").cast(kind)).select(columns))
+
+
 def plot_rows(merge_tree: DataFrame) -> DataFrame:
-    """``parent, children``: a merge tree (parent, child) as nested rows."""
-    return merge_tree.groupBy("parent").agg(F.sort_array(F.collect_list("child")).alias("children"))
+    """``graph_id, parent, children, outdegree``: a merge sequence (graph_id, left_id, right_id, new_id) as nested rows, one for each merge."""
+    return merge_tree.select("graph_id", F.col("new_id").alias("parent"), F.sort_array(F.array("left_id", "right_id")).alias("children"), F.lit(2).alias("outdegree"))

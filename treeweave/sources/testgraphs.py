@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeweave.runtime import table
 
-#: Edges of the second small graph beyond those of the first: vertex 5 hangs on vertices 3 and 4.
-MINI5_EXTRA = ((7, 3, 5), (8, 4, 5))
-
-
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``u, v, w``: nations u < v, and the order lines in which a customer of one buys from a supplier of the other."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
@@ -33,24 +30,21 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit("part_supp").alias("graph_id"), F.hash("u", "v").alias("edge_name"), "u", "v")
 
 
-def mini(spark: SparkSession, sf_dir: str, five: bool = False) -> DataFrame:
-    """The complete graph on the four smallest supplier nations, relabelled 1 to 4, edges named 1 to 6 in order; ``five`` adds vertex 5.
+def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One small graph for each order of at least two line numbers: ``(edges, roots)``.
 
-    Four nations and six edges, whatever the scale; ranks are counted by joins.
+    Vertices are the order's line numbers. Each is tied to the next, and to the
+    next but one where both bear the same first return flag and status; edges
+    are named 10 u + v, and the smallest number is the root. So degrees stay at
+    four or less without any line being left out, and graphs have cycles.
     """
-    nations = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("n")).distinct().orderBy("n").limit(4)
-    ranked = nations.agg(F.sort_array(F.collect_list("n")).alias("ns")).select(F.posexplode("ns").alias("i", "n")).select((F.col("i") + 1).cast("long").alias("id"), "n")
-    t = trade(spark, sf_dir)
-    own = t.join(ranked.toDF("a", "u"), "u").join(ranked.toDF("b", "v"), "v")
-    listed = own.agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("es")).select(F.posexplode("es").alias("i", "e"))
-    edges = listed.select((F.col("i") + 1).cast("int").alias("edge_name"), F.col("e.a").alias("u"), F.col("e.b").alias("v"))
-    if five:
-        edges = edges.unionByName(spark.createDataFrame(list(MINI5_EXTRA), "edge_name int, u long, v long"))
-    return edges.select(F.lit("mini5" if five else "mini").alias("graph_id"), "edge_name", "u", "v")
-
-
-def mini_roots(spark: SparkSession, five: bool = False, root: int = 1) -> DataFrame:
-    return spark.createDataFrame([("mini5" if five else "mini", root)], "graph_id string, vertex_id long")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_linenumber").cast("long").alias("u"))
+    lines = lines.agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("f"))
+    along = W.partitionBy("graph_id").orderBy("u")
+    near = lines.select("graph_id", "u", F.array(F.lead("u", 1).over(along), F.when(F.lead("f", 2).over(along) == F.col("f"), F.lead("u", 2).over(along))).alias("vs"))
+    pairs = near.select("graph_id", "u", F.explode("vs").alias("v")).where("v is not null")
+    edges = pairs.select("graph_id", (F.col("u") * 10 + F.col("v")).cast("int").alias("edge_name"), "u", "v")
+    return edges, edges.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))
 
 
 def customer_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,16 +52,15 @@ def customer_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     Vertex 0 is the customer, 1 to 5 the order priorities, 6 to 10 the regions
     of the suppliers; a priority hangs on the customer if an order has it, and a
-    region on a priority if a line of such an order comes from it, as long as
-    region and priority are next to each other in the cycle of five. So degrees
-    stay at five or less and graphs have cycles; their number follows the data.
+    region on a priority if a line of such an order comes from it. Graphs have
+    many cycles; their number follows the data.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("p"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     both = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    seen = both.select(F.col("o_custkey").cast("string").alias("graph_id"), "p", F.col("n_regionkey").cast("long").alias("r")).where("(r - p + 6) % 5 < 2").distinct()
+    seen = both.select(F.col("o_custkey").cast("string").alias("graph_id"), "p", F.col("n_regionkey").cast("long").alias("r")).distinct()
     spokes = seen.select("graph_id", F.col("p").cast("int").alias("edge_name"), F.lit(0).cast("long").alias("u"), F.col("p").alias("v")).distinct()
     rims = seen.select("graph_id", (F.col("p") * 10 + F.col("r")).cast("int").alias("edge_name"), F.col("p").alias("u"), (F.col("r") + 6).alias("v"))
     edges = spokes.unionByName(rims)
