@@ -35,16 +35,15 @@ def test_queries_and_twins():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).collect()[0]["status"] == "solved"
+    assert {r["status"] for r in entry.entry(spark).collect()} == {"solved"}
 
 
 def test_beam_costs_bound_the_exact_ones(spark):
-    beam = dict(map(tuple, catalogue.QUERIES["solve_many_beam"](spark, SF).select("graph_id", "cost").collect()))
-    from treeweave.operators import candidates as C
-    from treeweave.operators import solve
-    from treeweave.sources import testgraphs
-
-    edges, roots = testgraphs.customer_graphs(spark, SF)
-    exact = dict(map(tuple, solve.solve(edges, C.all_candidates(edges, roots)).status.select("graph_id", "cost").collect()))
-    assert beam.keys() == exact.keys()
-    assert all(beam[g] is None or beam[g] >= exact[g] for g in exact)
+    """A beam of three states around the greedy choice: never cheaper than the exact tree, and no dearer than the greedy one where that is a tree."""
+    got = {r["graph_id"]: (r["status"], r["cost"]) for r in catalogue.QUERIES["solve_many_beam"](spark, SF).collect()}
+    exact = {r["graph_id"]: r["cost"] for r in catalogue.QUERIES["dp_min_cost"](spark, SF).collect()}
+    assert got.keys() == exact.keys()
+    assert all(status == "solved" or cost is None for status, cost in got.values())
+    solved = [g for g, (status, _) in got.items() if status == "solved"]
+    assert len(solved) > 0.95 * len(exact) and all(got[g][1] >= exact[g] for g in solved)
+    assert sum(got[g][1] == exact[g] for g in solved) > 0.5 * len(exact)

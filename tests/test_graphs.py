@@ -120,6 +120,8 @@ def test_chains(spark):
     edges = table_of(spark, {"g": [(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 3, 5)], "ring": [(1, 1, 2), (2, 2, 3), (3, 3, 1)]})
     got = {(r["graph_id"], r["chain_id"]): (r["n_edges"], r["a"], r["b"]) for r in G.compact_chains(edges).collect()}
     assert got == {("g", 1): (2, 1, 3), ("g", 3): (1, 3, 4), ("g", 4): (1, 3, 5), ("ring", 1): (3, None, None)}
+    long = {(r["graph_id"], r["chain_id"]): (r["len"], r["names"]) for r in G.compact_chains(edges.withColumn("len", F.col("edge_name") * 10)).collect()}
+    assert long[("g", 1)] == (30, [1, 2]) and long[("ring", 1)] == (60, [1, 2, 3])
 
 
 def test_components_of_a_long_path(spark):
