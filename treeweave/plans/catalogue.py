@@ -50,6 +50,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return edges, roots, materialize(C.all_candidates(edges, roots), "candidates")
 
 
+def _trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the nations of its customer and its supplier."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
 @query
 def degree_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(testgraphs.trade_edges(spark, sf_dir)).select("vertex_id", "degree")
@@ -62,8 +68,7 @@ def degree_part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    both = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    both = _trade_lines(spark, sf_dir)
     raw = both.where("c_nationkey <> s_nationkey").select(F.lit("trade").alias("graph_id"), F.col("c_nationkey").cast("long").alias("u"), F.col("s_nationkey").cast("long").alias("v"))
     return G.pair_multiplicity(raw).select("u", "v", "m")
 
@@ -92,8 +97,11 @@ def edge_filter_out_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("bad", n, u, v) for n, u, v in ((1, 1, 2), (2, 2, 3), (3, 3, 3), (4, 3, 4), (4, 4, 5), (5, 5, 5))]
-    return G.defects(spark.createDataFrame(rows, "graph_id string, edge_name int, u long, v long")).select("kind", "edge_name")
+    """Each order as a graph of nations, one edge a line, named by the supplier's nation: lines within a nation, and nations of several lines."""
+    edges = _trade_lines(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("graph_id"), F.col("s_nationkey").cast("int").alias("edge_name"), F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v")
+    )
+    return G.defects(materialize(edges, "edges")).select("graph_id", "kind", "edge_name")
 
 
 @query
@@ -150,14 +158,18 @@ def hop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def set_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = spark.range(1, 7).select(F.col("id").alias("n"), F.sequence(F.lit(1), F.col("id").cast("int")).alias("edges"))
+    """All partitions of 1 to n for every number n of lines that an order has."""
+    n_lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("n")).select("n").distinct()
+    sizes = n_lines.select("n", F.sequence(F.lit(1), F.col("n").cast("int")).alias("edges"))
     text = F.array_join(F.transform("blocks", lambda b: F.array_join(b.cast("array<string>"), ",")), "|")
     return C.set_partitions(sizes).select("n", text.alias("code"))
 
 
 @query
 def directed_partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 10).select(F.col("id").alias("n"), P.directed_partition_count(F.col("id").cast("int")).alias("cnt"))
+    """The number of candidates of each vertex of the orders' graphs, by its degree alone."""
+    d = G.degrees(testgraphs.order_graphs(spark, sf_dir)[0])
+    return d.select("graph_id", "vertex_id", P.directed_partition_count(F.col("degree").cast("int")).alias("cnt"))
 
 
 @query
@@ -182,10 +194,8 @@ def fixed_direction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def triangle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("gadget", n, u, v) for n, u, v in ((1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 1, 4), (5, 4, 5))]
-    edges = spark.createDataFrame(rows, "graph_id string, edge_name int, u long, v long")
-    roots = spark.createDataFrame([("gadget", 5)], "graph_id string, vertex_id long")
-    return C.without_triangles(C.all_candidates(edges, roots), edges).select("vertex_id", _code())
+    edges, _, cands = _orders(spark, sf_dir)
+    return C.without_triangles(cands, edges).select("graph_id", "vertex_id", _code())
 
 
 @query
@@ -206,9 +216,12 @@ def block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def final_pair_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([("two", 1, 1, 2), ("two", 2, 1, 2)], "graph_id string, edge_name int, u long, v long")
-    cands = C.all_candidates(edges, spark.createDataFrame([("two", 1)], "graph_id string, vertex_id long"))
-    return solve.brute_force(edges, cands).select("best_cost", "n_feasible")
+    """Every order's graph drawn together to two vertices, the root and the rest: the least cost of the last merge and the number of fits."""
+    edges, roots = testgraphs.order_graphs(spark, sf_dir)
+    rest = G.degrees(edges).join(roots, ["graph_id", "vertex_id"], "left_anti").select("graph_id", "vertex_id")
+    rest = rest.withColumn("new_id", F.min("vertex_id").over(W.partitionBy("graph_id")))
+    two = materialize(G.contract(edges, rest), "two")
+    return solve.brute_force(two, C.all_candidates(two, roots)).select("graph_id", "best_cost", "n_feasible")
 
 
 @query
@@ -309,8 +322,11 @@ def merge_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(36).select((F.floor(F.col("id") / 6) + 1).cast("int").alias("a"), (F.col("id") % 6 + 1).cast("int").alias("b"))
-    return pairs.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("w"), P.merge_cost(F.col("a"), F.col("b")).alias("cost"))
+    """For each edge of the orders' graphs, the cost of merging its ends, by their degrees."""
+    edges = testgraphs.order_graphs(spark, sf_dir)[0]
+    for end in ("u", "v"):
+        edges = edges.join(G.degrees(edges).select("graph_id", F.col("vertex_id").alias(end), F.col("degree").cast("int").alias("d" + end)), ["graph_id", end])
+    return edges.select("graph_id", "edge_name", P.merge_cost(F.col("du"), F.col("dv")).alias("cost"))
 
 
 @query

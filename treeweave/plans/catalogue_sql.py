@@ -87,7 +87,14 @@ r AS (
 dist AS (SELECT v AS vertex_id, min(d) AS dist FROM r GROUP BY v)
 """
 
-TWO = "e AS (SELECT 'two' AS graph_id, * FROM (VALUES (1, 1, 2), (2, 1, 2)) t(name, u, v))"
+#: Every order's graph drawn together to its root and its second line.
+TWO = ORDERS.replace("e AS (", "whole_e AS (") + """,
+e AS (SELECT graph_id, name, u, min(v) OVER (PARTITION BY graph_id) AS v FROM whole_e w WHERE u = (SELECT min(u) FROM whole_e o WHERE o.graph_id = w.graph_id))"""
+
+#: ``ways``: the directed partitions of n edges, counted; ``d``: each vertex's degree n.
+WAYS = """ways AS (SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * CAST(pow(k, n - k) AS BIGINT)) AS BIGINT) AS c
+  FROM range(1, 10) a(n), range(1, 10) b(k) WHERE k <= n GROUP BY n)"""
+DEGREE = "d AS (SELECT graph_id, x, count(*) AS n FROM (SELECT graph_id, u AS x FROM e UNION ALL SELECT graph_id, v FROM e) GROUP BY ALL)"
 
 SQL: dict[str, str] = {
     "degree_part_supp": "SELECT vertex_id, count(*) AS degree FROM (SELECT DISTINCT l_partkey AS vertex_id, l_suppkey AS o, 0 AS k FROM lineitem UNION ALL SELECT DISTINCT -l_suppkey - 1, l_partkey, 1 FROM lineitem) GROUP BY vertex_id",
@@ -98,8 +105,9 @@ SQL: dict[str, str] = {
     "edge_filter_out": f"WITH {TRADE} SELECT u, v, w FROM trade WHERE NOT w * 300 > (SELECT sum(w) FROM trade)",
     "edge_filter_out_vertices": f"""WITH {TRADE}, ok AS (SELECT * FROM trade WHERE NOT w * 200 < (SELECT sum(w) FROM trade)), n AS (SELECT u AS x FROM ok UNION SELECT v FROM ok)
       SELECT u, v, w FROM trade WHERE EXISTS (SELECT 1 FROM n WHERE x = u) AND EXISTS (SELECT 1 FROM n WHERE x = v)""",
-    "graph_defects": """WITH r(edge_name, u, v) AS (VALUES (1, 1, 2), (2, 2, 3), (3, 3, 3), (4, 3, 4), (4, 4, 5), (5, 5, 5))
-      SELECT 'self_loop' AS kind, edge_name FROM r WHERE u = v UNION ALL SELECT 'duplicate_name', edge_name FROM r GROUP BY edge_name HAVING count(*) > 1""",
+    "graph_defects": """WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS graph_id, CAST(s_nationkey AS INTEGER) AS edge_name, c_nationkey AS u, s_nationkey AS v
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+      SELECT graph_id, 'self_loop' AS kind, edge_name FROM r WHERE u = v UNION ALL SELECT graph_id, 'duplicate_name', edge_name FROM r GROUP BY graph_id, edge_name HAVING count(*) > 1""",
     "joint_min_max_scale": """WITH m AS (SELECT least(min(p_size), min(p_retailprice)) AS lo, greatest(max(p_size), max(p_retailprice)) AS hi FROM part)
       SELECT p_partkey, (CAST(p_size AS DOUBLE) - lo) / (hi - lo) AS p_size, (p_retailprice - lo) / (hi - lo) AS p_retailprice FROM part, m""",
     "contract_pair": f"""WITH {TRADE}, m AS (SELECT min(u) AS a, min(v) AS b FROM trade),
@@ -124,20 +132,26 @@ SQL: dict[str, str] = {
     "hop_levels": f"""WITH RECURSIVE {TRADE}, k AS (SELECT * FROM trade WHERE w * 300 >= (SELECT sum(w) FROM trade)), b AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
       r AS (SELECT min(u) AS x, CAST(0 AS BIGINT) AS h FROM k UNION SELECT b.v, r.h + 1 FROM r JOIN b ON r.x = b.u WHERE r.h < 24)
       SELECT x AS vertex_id, min(h) AS level FROM r GROUP BY x""",
-    "set_partitions": """WITH RECURSIVE p AS (
-        SELECT n, 0 AS i, CAST([] AS INTEGER[]) AS lab, -1 AS mx FROM range(1, 7) t(n)
-        UNION ALL SELECT n, i + 1, list_append(lab, CAST(l AS INTEGER)), greatest(mx, CAST(l AS INTEGER)) FROM p, range(6) t(l) WHERE i < n AND l <= mx + 1)
+    "set_partitions": """WITH RECURSIVE s AS (SELECT DISTINCT n FROM (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)),
+      p AS (
+        SELECT n, 0 AS i, CAST([] AS INTEGER[]) AS lab, -1 AS mx FROM s
+        UNION ALL SELECT n, i + 1, list_append(lab, CAST(l AS INTEGER)), greatest(mx, CAST(l AS INTEGER)) FROM p, range(12) t(l) WHERE i < n AND l <= mx + 1)
       SELECT n, array_to_string(list_transform(range(mx + 1), lambda k: array_to_string([j for j in range(1, n + 1) if lab[j] = k], ',')), '|') AS code FROM p WHERE i = n""",
-    "directed_partition_count": """SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * CAST(pow(k, n - k) AS BIGINT)) AS BIGINT) AS cnt
-      FROM range(1, 10) a(n), range(1, 10) b(k) WHERE k <= n GROUP BY n""",
+    "directed_partition_count": f"""WITH {ORDERS}, {WAYS}, {DEGREE}
+      SELECT graph_id, x AS vertex_id, c AS cnt FROM d JOIN ways ON d.n = ways.n""",
     "default_candidates": f"""WITH {CUSTOMER}, i AS (SELECT graph_id, vertex, list_sort(list(name)) AS es FROM ends GROUP BY ALL)
       SELECT graph_id, vertex AS vertex_id, array_to_string(es, ',') || ':' || x AS code, CAST(0 AS BIGINT) AS cost FROM (SELECT *, unnest(es) AS x FROM i WHERE len(es) <= 2 AND vertex <> 0)""",
     "directed_candidates": f"WITH RECURSIVE {ORDERS},{CANDIDATES} SELECT graph_id, vertex AS vertex_id, code, CAST(cost AS BIGINT) AS cost FROM c",
     "fixed_direction_candidates": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
       g AS (SELECT graph_id, v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY ALL)
       SELECT c.graph_id, c.vertex AS vertex_id, code FROM c LEFT JOIN g ON c.vertex = g.vertex AND c.graph_id = g.graph_id WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, [])""",
-    "triangle_filter": f"""WITH RECURSIVE e AS (SELECT 'gadget' AS graph_id, * FROM (VALUES (1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 1, 4), (5, 4, 5)) t(name, u, v)),{CANDIDATES.replace("min(least(u, v)) AS root", "5 AS root")}
-      SELECT CAST(vertex AS BIGINT) AS vertex_id, code FROM c WHERE NOT (vertex = 1 AND lab[1] = lab[2])""",
+    "triangle_filter": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
+      two AS (SELECT graph_id, vertex FROM inc WHERE len(es) = 2),
+      way2 AS (SELECT graph_id, name, u AS x, v AS y FROM e UNION ALL SELECT graph_id, name, v, u FROM e),
+      tri AS (SELECT b.graph_id, l.y AS vertex, l.name AS n1, r.name AS n2 FROM e b JOIN two p ON b.graph_id = p.graph_id AND b.u = p.vertex JOIN two q ON b.graph_id = q.graph_id AND b.v = q.vertex
+        JOIN way2 l ON l.graph_id = b.graph_id AND l.x = b.u JOIN way2 r ON r.graph_id = b.graph_id AND r.x = b.v AND r.y = l.y),
+      bad AS (SELECT c.graph_id, c.vertex, c.code FROM c JOIN tri ON c.graph_id = tri.graph_id AND c.vertex = tri.vertex WHERE len(es) > 2 AND lab[list_position(es, n1)] = lab[list_position(es, n2)])
+      SELECT graph_id, vertex AS vertex_id, code FROM c WHERE (graph_id, vertex, code) NOT IN (SELECT (graph_id, vertex, code) FROM bad)""",
     "block_join": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
       h AS (SELECT c.*, e.name, e.u, e.v, list_position(es, e.name) AS s, [j for j in range(1, len(es) + 1) if es[j] <> e.name] AS js FROM c JOIN e ON c.graph_id = e.graph_id AND (c.vertex = e.u OR c.vertex = e.v)),
       j AS (SELECT l.graph_id, l.name, len(l.es) + len(r.es) AS size,
@@ -148,7 +162,7 @@ SQL: dict[str, str] = {
         FROM h l JOIN h r ON l.graph_id = r.graph_id AND l.name = r.name WHERE l.vertex = l.u AND r.vertex = r.v AND ((l.mask >> (l.s - 1)) & 1) + ((r.mask >> (r.s - 1)) & 1) = 1),
       k AS (SELECT graph_id, name, array_to_string([array_to_string(b, ',') for b in bl], '|') || ':' || array_to_string(inw, ',') AS code FROM j WHERE size = 2 OR len([b for b in bl if len(b) = 0]) = 0)
       SELECT graph_id, name AS edge_name, count(*) AS n_fits, min(code) AS first_code, max(code) AS last_code FROM k GROUP BY ALL""",
-    "final_pair_min": f"{brute(TWO)} SELECT CAST(min(cost) AS BIGINT) AS best_cost, count(*) AS n_feasible FROM f",
+    "final_pair_min": f"{brute(TWO)} SELECT rt.graph_id, CAST(min(cost) AS BIGINT) AS best_cost, count(cost) AS n_feasible FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
     "brute_force_min": f"{brute(ORDERS)} SELECT rt.graph_id, CAST(min(cost) AS BIGINT) AS best_cost, count(cost) AS n_feasible FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
     "dp_min_cost": f"{brute(ORDERS)} SELECT rt.graph_id, CASE WHEN count(cost) > 0 THEN 'solved' ELSE 'infeasible' END AS status, CAST(min(cost) AS BIGINT) AS cost FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
     "tree_invariants": f"{brute(ORDERS)} SELECT graph_id, count(*) + 1 AS n_vertices, count(*) AS n_edges, CAST(1 AS BIGINT) AS n_components FROM e WHERE graph_id IN (SELECT graph_id FROM f) GROUP BY graph_id",
@@ -158,8 +172,9 @@ SQL: dict[str, str] = {
       bt AS (SELECT * FROM (VALUES {", ".join(f"({n}, CAST({bell} AS DOUBLE))" for n, bell in enumerate(BELL))}) t(n, b)),
       m AS (SELECT u, v, a.d + b.d - 2 AS outdegree, (a.d - 1) * (b.d - 1) AS product, CAST(1 AS BIGINT) AS indegree, greatest(a.d, b.d) AS maxdegree, a.d * b.d AS degrees FROM k JOIN d a ON u = a.x JOIN d b ON v = b.x)
       SELECT m.*, round(degrees - ln(b), 6) AS diff, round(ln(b) - degrees, 6) AS diffinv FROM m JOIN bt ON outdegree = n""",
-    "merge_cost": """WITH f AS (SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * CAST(pow(k, n - k) AS BIGINT)) AS BIGINT) AS c FROM range(1, 7) a(n), range(1, 7) b(k) WHERE k <= n GROUP BY n)
-      SELECT a.n AS u, b.n AS w, a.c * b.c * (a.n + b.n) AS cost FROM f a, f b""",
+    "merge_cost": f"""WITH {ORDERS}, {WAYS}, {DEGREE}
+      SELECT e.graph_id, e.name AS edge_name, a.c * b.c * (a.n + b.n) AS cost FROM e JOIN d p ON e.graph_id = p.graph_id AND e.u = p.x JOIN d q ON e.graph_id = q.graph_id AND e.v = q.x
+      JOIN ways a ON p.n = a.n JOIN ways b ON q.n = b.n""",
     "greedy_argmin": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
       g AS (SELECT graph_id, v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY ALL)
       SELECT c.graph_id, c.vertex AS vertex_id, CAST(min(cost) AS BIGINT) AS cost FROM c LEFT JOIN g ON c.vertex = g.vertex AND c.graph_id = g.graph_id WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, []) GROUP BY ALL""",
