@@ -1,6 +1,7 @@
 """Main text: pages without telling names, and the path ratios against a plain recount."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,20 @@ def test_deep_and_long_pages():
     deep = "<div>" * 3000 + "<p>One text, deep down.</p>"
     assert H.main_text(deep) == "One text, deep down."
     assert len(H.main_text("<article>" + "<p>word, and more.</p>" * 20_000 + "</article>").split("\n\n")) == 20_000
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + f"<article>{BODY}</article>",
+    "<div class=sidebar>" * 50_000 + BODY,
+    "<ul><li>" * 50_000 + f"</ul><article>{BODY}</article>",
+    "<div>" * 20_000 + "</td></li>" * 20_000 + BODY,
+    f"<article>{BODY}</article>" + "<b x " * 50_000 + '"',
+])
+def test_deep_and_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    assert H.main_text(page) == "\n\n".join(LINES)
+    assert time.process_time() - start < 20
+
+
+def test_a_quotation_mark_without_its_pair():
+    assert H.main_text(f'<article><p>He is 6" tall, they say.</p>{BODY}<p class="x>One.</p></article>') == "\n\n".join(['He is 6" tall, they say.', *LINES, "One."])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,13 +41,15 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？；،؛؟।]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _HEADING = re.compile("h[1-6]")
+#: Elements that no open sibling is sought beyond.
+ENCLOSING = ("ul", "ol", "dl", "table", "body", "article")
 _ENDS: dict[str, re.Pattern[str]] = {}
 #: Width of the Gaussian that smooths path ratios along the page.
 SIGMA = 1.0
@@ -105,6 +107,7 @@ def read_page(page: str) -> Page:
     out = Page([], [-1], [""], [0], [PLAIN], [False])
     known: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int]] = [("", 0)]
+    places: dict[str, list[int]] = {}  # where the open elements of each tag lie in the stack, so that deep pages aren't searched level by level
     parts: list[str] = []
     linked, links, articles = 0, 0, 0
 
@@ -121,9 +124,13 @@ def read_page(page: str) -> Page:
         nonlocal articles
         flush()
         for tag, _ in stack[at:]:
+            places[tag].pop()
             articles -= tag in ("article", "main")
         del stack[at:]
 
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def say(text: str) -> None:
         nonlocal linked
         if text:
@@ -156,10 +163,8 @@ def read_page(page: str) -> Page:
         if tag not in BLOCK:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if opened := last((tag,)):
+                close(opened)
             else:
                 flush()
             links = 0 if tag in ("li", "p", "nav", "div", "ul", "article", "td") else links
@@ -168,16 +173,16 @@ def read_page(page: str) -> Page:
         if stack[-1][0] == "p" or _HEADING.fullmatch(stack[-1][0]) and _HEADING.fullmatch(tag):
             close(len(stack) - 1)
         if ends := SIBLING.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "body", "article"):
-                    break
+            opened = last(ends)
+            if opened > last(ENCLOSING):
+                close(opened)
         above = stack[-1][1]
         attributes = [(k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])] if m[3] else []
         called = tag + "".join("." + w for k, v in attributes if k == "class" for w in v.split()[:2])
         path = known.setdefault((out.path[above], called), len(known) + 1)
+        if tag not in ("table", "tr") and (cell := last(("td", "th"))) > last(("table",)):
+            out.layout[stack[cell][1]] = True
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(out.tag)))
         out.parent.append(above)
         out.tag.append(tag)
@@ -185,12 +190,6 @@ def read_page(page: str) -> Page:
         out.mark.append(_mark(tag, attributes, articles > 0))
         # an unnamed section is part of the text around it; a table cell with block elements in it lays out the page
         out.layout.append(tag not in TEXTUAL and (tag != "section" or bool(attributes)))
-        if tag not in ("table", "tr"):
-            for i in range(len(stack) - 2, 0, -1):
-                if stack[i][0] in ("td", "th"):
-                    out.layout[stack[i][1]] = True
-                if stack[i][0] in ("td", "th", "table"):
-                    break
         articles += tag in ("article", "main")
     flush()
     return out
@@ -268,38 +267,33 @@ def main_text(page: str | None) -> str:
 
 
 def _marked(p: Page, own: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether each element lies in furniture, marks of wrappers set aside."""
+    """Whether each element lies in furniture, marks of wrappers set aside.
+
+    Marked elements that hold most of the text lie in one another. From the
+    outermost on, a mark is set aside while the unmarked text outside is little
+    and no article's.
+    """
     n = len(p.tag)
     under = np.bincount(own, size, n)
     for i in range(n - 1, 0, -1):
         under[p.parent[i]] += under[i]
-
-    def spread(mark: list[int]) -> np.ndarray:
-        out = np.zeros(n, bool)
-        for i in range(1, n):
-            out[i] = out[p.parent[i]] or mark[i] != PLAIN
-        return out
-
-    mark = p.mark
-    for q in [i for i in range(1, n) if mark[i] != PLAIN and under[i] > 0.5 * under[0]]:
-        inner = np.zeros(n, bool)
-        inner[q] = True
-        for i in range(q + 1, n):
-            inner[i] = inner[p.parent[i]]
-        others = spread([PLAIN if i == q else m for i, m in enumerate(mark)])
-        rest = ~inner[own] & ~others[own]
-        outside = any(p.tag[i] == "article" and not inner[i] and not others[i] for i in range(1, n)) or any(r and _in_article(p, i) for i, r in zip(own.tolist(), rest.tolist()))
-        if not outside and size[rest].sum() < 0.1 * under[q]:
-            mark = [PLAIN if i == q else m for i, m in enumerate(mark)]
-    return spread(mark)
-
-
-def _in_article(p: Page, node: int) -> bool:
-    while node > 0:
-        if p.tag[node] in ("article", "h1"):
-            return True
-        node = p.parent[node]
-    return False
+    wrappers = [i for i in range(1, n) if p.mark[i] != PLAIN and under[i] > 0.5 * under[0]]
+    within, article, marked = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)  # wrappers around, in an article, in another mark
+    wraps = set(wrappers)
+    for i in range(1, n):
+        q = p.parent[i]
+        within[i] = within[q] + (i in wraps)
+        article[i] = article[q] or p.tag[i] in ("article", "h1")
+        marked[i] = marked[q] or (p.mark[i] != PLAIN and i not in wraps)
+    free = ~marked[own]
+    outside = np.cumsum(np.bincount(within[own], size * free, len(wrappers) + 1))
+    telling = np.array([not m and t == "article" for m, t in zip(marked.tolist(), p.tag)])
+    telling[own] |= free & article[own]
+    first = within[telling].min() if telling.any() else len(wrappers)
+    aside = 0
+    while aside < min(first, len(wrappers)) and outside[aside] < 0.1 * under[wrappers[aside]]:
+        aside += 1
+    return marked | (within > aside)
 
 
 def _with_context(p: Page, own: np.ndarray, group: np.ndarray, link: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -327,7 +321,11 @@ def _with_context(p: Page, own: np.ndarray, group: np.ndarray, link: np.ndarray,
     above -= boxes
     of_group: dict[int, set[int]] = {}
     lists: dict[int, list[float]] = {}  # text of each outermost text element in a box: in links, in all
-    outer = [_outermost(p, i) for i in nodes]
+    outermost = [0] * n  # the outermost element of running text around an element, within its box
+    for i in range(1, n):
+        q = p.parent[i]
+        outermost[i] = i if p.layout[i] or q == 0 or p.layout[q] else outermost[q]
+    outer = [outermost[i] for i in nodes]
     for g, i, o, k, s in zip(group.tolist(), nodes, outer, link.tolist(), size.tolist()):
         of_group.setdefault(g, set()).add(box[i])
         linked = s * k / (1 - k) if k < 1 else 1.0
@@ -349,13 +347,6 @@ def _with_context(p: Page, own: np.ndarray, group: np.ndarray, link: np.ndarray,
     return keep
 
 
-def _outermost(p: Page, node: int) -> int:
-    """The outermost element of running text around an element, within its box."""
-    while not p.layout[node] and p.parent[node] > 0 and not p.layout[p.parent[node]]:
-        node = p.parent[node]
-    return node
-
-
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing along the page."""
     r = max(1, math.ceil(2 * SIGMA))
@@ -367,11 +358,12 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of ``pages`` but its markup, and ``text`` and ``n_chars`` (code points).
 
-    The whole markup is read, however long; the work grows with its length.
+    The whole markup is read, however long and deeply nested; the work grows with its length.
     Null and empty pages, and pages without content, give an empty text; an
     empty table gives no rows. Each row is read by itself: equal rows give equal
     results. Broken markup is read as browsers do where it matters: paragraphs
-    end at the next block, raw elements at their end tag or the end. Names that
+    end at the next block, raw elements at their end tag or the end, and a
+    quotation mark without its pair is a character like others. Names that
     clash get trailing underscores. Nothing is shuffled, so no host or template
     is a hot group.
     """
