@@ -132,6 +132,8 @@ def test_decontamination_odd_rows(clashing, spark):
     assert got[6]["n_hit_"] > 0 and got[6]["N_HIT"] == "kept" and got[1]["n_words_"] == 0
     pieces = decontaminate.decontaminate(clashing, items, words_at_once=1)
     assert sorted(map(str, pieces.collect())) == sorted(map(str, decontaminate.decontaminate(clashing, items).collect()))
+    named = decontaminate.decontaminate(clashing, items.selectExpr("concat('mmlu-é/', item_id) as item_id", "text")).where("doc_id = 6").first()
+    assert (named["n_items"], named["items_sha256"]) == (1, hashlib.sha256("mmlu-é/1".encode()).hexdigest())
     none = decontaminate.decontaminate(clashing, items.where("false"))
     assert none.where("contaminated").count() == 0 and none.count() == len(ODD)
     assert decontaminate.decontaminate(empty_of(clashing), items).count() == 0

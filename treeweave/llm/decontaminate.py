@@ -45,7 +45,7 @@ class WuManber:
     cut the block short.
     """
 
-    def __init__(self, length: int, sequences: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, length: int, sequences: dict[tuple[bytes, ...], set[str | None]]):
         self.length, self.block = length, min(BLOCK, length)
         self.most = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -57,7 +57,7 @@ class WuManber:
             by_head = self.buckets.setdefault(seq[-self.block :], {})
             by_head.setdefault(seq[: self.block], []).append((seq, frozenset(items)))
 
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, frozenset[int]]]:
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, frozenset[str | None]]]:
         """First word and items of each occurrence, from left to right."""
         shift, buckets, most, block, length = self.shift.get, self.buckets, self.most, self.block, self.length
         at, n = length, len(words)  # ``at`` is one past the window's last word
@@ -74,9 +74,9 @@ class WuManber:
             at += 1
 
 
-def compile_tables(items: Iterable[tuple[int, list[bytes]]], window: int = WINDOW) -> list[WuManber]:
+def compile_tables(items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW) -> list[WuManber]:
     """One search table for each window length among the items: ``window``, and those of shorter items."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
     for item, words in items:
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
@@ -84,7 +84,7 @@ def compile_tables(items: Iterable[tuple[int, list[bytes]]], window: int = WINDO
     return [WuManber(n, found) for n, found in sorted(by_length.items())]
 
 
-def search(tables: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+def search(tables: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Disjoint hit spans of a text's words, in order, and the items that occur in it."""
     spans, items = [], set()
     for t in tables:
@@ -94,11 +94,11 @@ def search(tables: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int,
     return _union(spans), items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_at_once: int) -> Iterator[list[tuple[int | None, bytes]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_at_once: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The test set in blocks of bounded size, one block in the driver at a time."""
-    block: list[tuple[int | None, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     size = 0
-    rows = benchmark.select(col_of(item_col).cast("long").alias("item"), F.encode(col_of(text_col).cast("string"), "UTF-8").alias("text")).where("text is not null")
+    rows = benchmark.select(col_of(item_col).cast("string").alias("item"), F.encode(col_of(text_col).cast("string"), "UTF-8").alias("text")).where("text is not null")
     for item, text in rows.toLocalIterator(prefetchPartitions=False):
         block.append((item, bytes(text)))
         size += len(words_of(bytes(text)))
@@ -113,7 +113,7 @@ def _searcher(sent: Broadcast | None, window: int):
     """A function that searches a text's words with one block's tables; a Python worker compiles a block once and keeps the last."""
     call = uuid.uuid4().hex
 
-    def run(words: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
+    def run(words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         if call not in _compiled:
             _compiled.clear()
             _compiled[call] = compile_tables(((i, words_of(t)) for i, t in sent.value), window) if sent else []
@@ -145,7 +145,7 @@ def decontaminate(
     ``docs`` and: ``n_words``, ``n_hit`` (words inside any occurrence),
     ``n_items``, ``items_sha256`` (of the item ids, sorted as strings and joined
     by commas), ``contaminated`` and ``hit_spans`` (word spans, in order); names
-    that clash get trailing underscores. Null and empty texts have no words; a
+    that clash get trailing underscores. Item ids of any type are read as strings. Null and empty texts have no words; a
     text is searched whole, however long. Rows that repeat an item id count as
     one item; items without an id count for hits, but not among the items;
     items without a text take no part. Without items, nothing is hit. Repeated
@@ -167,7 +167,7 @@ def decontaminate(
     hits = []
     while block:
         sent = spark.sparkContext.broadcast(block)
-        hits.append(materialize(texts.mapInArrow(_hits(_searcher(sent, window)), T.StructType([T.StructField("key", T.StringType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.LongType()))])), "hits"))
+        hits.append(materialize(texts.mapInArrow(_hits(_searcher(sent, window)), T.StructType([T.StructField("key", T.StringType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])), "hits"))
         sent.destroy()
         block, more = more, next(blocks, None)
     found = reduce(DataFrame.unionByName, [h.dropDuplicates(["key"]) for h in hits])
@@ -182,7 +182,7 @@ def _hits(find):
         for b in batches:
             rows = [(k, *find(words_of(t))) for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())]
             rows = [r for r in rows if r[1]]
-            items = pa.array([sorted(x for x in r[2] if x is not None) for r in rows], pa.list_(pa.int64()))
+            items = pa.array([sorted(x for x in r[2] if x is not None) for r in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), _spans([r[1] for r in rows]), items], ["key", "spans", "items"])
 
     return run
@@ -203,7 +203,7 @@ def _marked(docs: DataFrame, text_col: str, find) -> DataFrame:
                 known = zip(b.column(n_columns + 1).to_pylist(), b.column(n_columns + 2).to_pylist())
                 hits = [([(x["lo"], x["hi"]) for x in s or ()], set(i or ())) for s, i in known]
             spans = [_union(s) for s, _ in hits]
-            items = [sorted(str(x) for x in i if x is not None) for _, i in hits]
+            items = [sorted(x for x in i if x is not None) for _, i in hits]
             n_hit = [sum(hi - lo for lo, hi in s) for s in spans]
             new = [
                 pa.array([len(w) for w in words], pa.int64()),
