@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, and SQL twins where SQL can express them."""
+"""The operators as registered queries, and SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeweave.llm import ann, chat, decontaminate, html_text, langid, licenses, mixing, simhash, substring, tokens
+from treeweave.llm import alignment, ann, chat, decontaminate, html_text, langid, licenses, mixing, packing, runs, simhash, substring, tokens
 from treeweave.runtime import table
 
 
@@ -65,6 +65,45 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") + F.col("n_b") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = alignment.link_scores(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, by a hash of the id, go on periodically from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n, g = F.size("w"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), a), cycle), F.lit(1), n), " ")
+    return words.select("doc_id", F.when(F.size("w") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.collapse_runs(_with_planted_runs(docs))
+    # the longest, then the first, then that of the smallest period, is the greatest of these
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = -best["s"], best["length"], -best["p"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_packing": op11_packing,
+    "op12_alignment": op12_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _CONTROL = r"([<\[])(\\*)(\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|</?SYS>>)"
