@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweave.llm.slices import Remembered, byte_slices
+from treeweave.llm.slices import Ids, Remembered, byte_slices, flat_ids, regathered
 from treeweave.runtime import col_of, fresh_name
 
 CAPACITY = 2048
@@ -24,6 +25,8 @@ BIN = 2048
 #: The id that ends every document.
 END = 1
 _SLICE = 2 << 20
+#: Segments and words whose ids a Python worker remembers; beyond, it starts anew.
+REMEMBERED = 800_000
 
 
 def karmarkar_karp(sizes: list[int], ways: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +167,55 @@ class _Packer:
         yield from self.laid([x for x in sequences if x])
 
 
+#: Letters without marks and without odd lower case, then punctuation: the vocabulary splits such a segment between the two, and nowhere else.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: Words that are given to the library as one text.
+_TOGETHER = 256
+
+
+class _Words:
+    """Ids of segments as the public library gives them, with each word, whatever the marks after it, encoded once."""
+
+    def __init__(self, tokenizer, most: int = REMEMBERED):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts = Remembered(self.learn, most=most)
+
+    def alone(self, parts: list[str]) -> Ids:
+        return flat_ids([e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+
+    def learn(self, parts: list[str]) -> Ids:
+        """Words of letters go to the library many at a time, told apart by the ids that end a word; where these are more or fewer than the words, one by one."""
+        letters = np.array([p.isalpha() for p in parts])
+        plain = np.flatnonzero(letters)
+        groups = [plain[lo : lo + _TOGETHER] for lo in range(0, len(plain), _TOGETHER)]
+        flat, counts, order = [], [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([parts[k] for k in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                flat.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+                order.append(group)
+            else:
+                letters[group] = False
+        rest = np.flatnonzero(~letters)
+        ids, count = self.alone([parts[k] for k in rest])
+        return regathered(np.concatenate([*flat, ids]), np.concatenate([*counts, count]), np.argsort(np.concatenate([*order, rest])))
+
+    def encode(self, segments: list[str]) -> Ids:
+        parts = [p for s, m in zip(segments, map(_WORD.fullmatch, segments)) for p in (m.groups() if m else (s, ""))]
+        ids, count = self.parts.gather(self.parts.codes(parts))
+        return ids, count.reshape(-1, 2).sum(axis=1)
+
+
 _memory: dict[int, Remembered] = {}
 
 
 def _segment_ids(model: bytes) -> Remembered:
-    """Ids of text between white spaces, as the public library gives them; code 0 is the end of a document."""
+    """Ids of text between white spaces; code 0 is the end of a document."""
     if hash(model) not in _memory:
         from tokenizers import Tokenizer
 
@@ -177,7 +224,7 @@ def _segment_ids(model: bytes) -> Remembered:
         if "Lowercase" not in str(tokenizer.normalizer) or "behavior=Removed" not in str(tokenizer.pre_tokenizer):
             raise ValueError("a vocabulary whose words depend on the white space between them")
         _memory.clear()
-        _memory[hash(model)] = Remembered(lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)], ((END,),))
+        _memory[hash(model)] = Remembered(_Words(tokenizer).encode, fixed=((END,),), most=REMEMBERED)
     return _memory[hash(model)]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +22,45 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Re
         lo = hi
 
 
+#: Ids of some segments one after another, and the number of each one's ids.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def flat_ids(lists: list[list[int]]) -> Ids:
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum())), count
+
+
+def regathered(ids: np.ndarray, count: np.ndarray, places: np.ndarray) -> Ids:
+    """The ids of the segments at ``places``, in that order."""
+    taken = count[places]
+    at = np.repeat((np.cumsum(count) - count)[places] - (np.cumsum(taken) - taken), taken)
+    at += np.arange(len(at))
+    return ids[at], taken
+
+
 class Remembered:
-    """Ids of text segments, encoded once each: all segments' ids lie in one array.
+    """Ids of text segments by one vocabulary or more, each segment encoded once: all ids of a vocabulary lie in one array.
 
-    ``encode`` takes a list of segments and gives each one's ids. ``fixed`` are
-    ids of further segments that have the codes 0, 1 ... for good. A memory that
-    has grown beyond ``most`` segments or ``most_bytes`` of text starts anew
-    with the next call, so it is bounded whatever the texts hold.
+    ``encoders`` take a list of segments each. ``fixed`` are ids of further
+    segments, the same by every vocabulary, that have the codes 0, 1 ... for
+    good. A memory that has grown beyond ``most`` segments or ``most_bytes``
+    characters starts anew with the next call, so it is bounded whatever the
+    texts hold.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], fixed: tuple[tuple[int, ...], ...] = (), most: int = 400_000, most_bytes: int = 32 << 20):
-        self.encode, self.fixed, self.most, self.most_bytes = encode, fixed, most, most_bytes
+    def __init__(self, *encoders: Callable[[list[str]], Ids], fixed: tuple[tuple[int, ...], ...] = (), most: int = 400_000, most_bytes: int = 32 << 20):
+        self.encoders, self.fixed, self.most, self.most_bytes = encoders, fixed, most, most_bytes
         self._start_anew()
 
     def _start_anew(self) -> None:
         self.code: dict[str, int] = {}
         self.held = 0
-        self.ids = np.array([x for f in self.fixed for x in f], np.int32)
-        self.count = np.array([len(f) for f in self.fixed], np.int64)
-        self.first = np.cumsum(self.count) - self.count
+        self.tables = [flat_ids([list(f) for f in self.fixed]) for _ in self.encoders]
+        self._find_places()
+
+    def _find_places(self) -> None:
+        self.first = [np.cumsum(count) - count for _, count in self.tables]
 
     def codes(self, segments: list[str]) -> np.ndarray:
         """A code for each segment, good until the next call."""
@@ -47,16 +68,17 @@ class Remembered:
             self._start_anew()
         new = list(set(segments).difference(self.code))
         if new:
-            got = self.encode(new)
-            self.code.update(zip(new, range(len(self.count), len(self.count) + len(new))))
+            start = len(self.fixed) + len(self.code)
+            self.code.update(zip(new, range(start, start + len(new))))
             self.held += sum(map(len, new))
-            self.count = np.concatenate([self.count, np.fromiter(map(len, got), np.int64, len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.int32, int(self.count[-len(new) :].sum()))])
-            self.first = np.cumsum(self.count) - self.count
+            self.tables = [tuple(map(np.concatenate, zip(old, encode(new)))) for old, encode in zip(self.tables, self.encoders)]
+            self._find_places()
         return np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
 
-    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of segments one after another, and the number of each one's ids."""
-        count = self.count[codes]
-        at = np.repeat(self.first[codes] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return self.ids[at], count
+    def gather(self, codes: np.ndarray, table: int = 0) -> Ids:
+        """The segments' ids by one of the vocabularies, and the number of each one's ids."""
+        ids, counts = self.tables[table]
+        count = counts[codes]
+        at = np.repeat(self.first[table][codes] - (np.cumsum(count) - count), count)
+        at += np.arange(len(at))
+        return ids[at], count
