@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeweave.llm import alignment, packing, queries, runs
-from treeweave.llm.slices import Remembered
+from treeweave.llm.slices import Remembered, flat_ids
 from treeweave.runtime import table
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -134,7 +134,7 @@ def test_packing_query(spark, sf):
 
 def test_memory_starts_anew():
     made = []
-    memory = Remembered(lambda s: made.append(len(s)) or [[len(x)] * len(x) for x in s], ((7, 8),), most=2)
+    memory = Remembered(lambda s: made.append(len(s)) or flat_ids([[len(x)] * len(x) for x in s]), fixed=((7, 8),), most=2)
     for words in (["a", "bb", "a"], ["ccc", ""], ["a", "dd"]):
         codes = memory.codes(words)
         codes = np.concatenate([codes, [0]])
@@ -143,6 +143,14 @@ def test_memory_starts_anew():
     assert made == [2, 2, 2]
 
 
+def test_words_start_anew(libraries):
+    words = packing._Words(libraries[2], most=3)
+    for segments in (["Some", "words,", "and"], ["and", "Some...", "it's", "new"], ["Some", "words", "", "x1", "..."]) * 2:
+        ids, count = words.encode(segments)
+        assert np.split(ids, np.cumsum(count)[:-1])[0].tolist() == libraries[2].encode(segments[0], add_special_tokens=False).ids
+        assert ids.tolist() == libraries[2].encode(" ".join(segments), add_special_tokens=False).ids
+
+
 # 12: alignment
 
 
@@ -234,7 +242,7 @@ def test_alignment_keeps_columns(spark, clashing):
     assert out.columns == [c for c in clashing.columns if c != "text"] + ["n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
     assert out.where("n_words = 'kept' and `a.b` = 'kept'").count() == len(ODD)
     assert alignment.link_scores(alignment.align_tokens(clashing.limit(0), BYTE, PIECE)).count() == 0
-    assert alignment.align_tokens(clashing.withColumn("N_A", F.lit(1)), BYTE, PIECE).columns[-9:-7] == ["n_a_", "n_b"]
+    assert alignment.align_tokens(clashing.withColumn("N_A", F.lit(1)), BYTE, PIECE).columns[-10:-8] == ["n_a_", "n_b"]
 
 
 # 13: periodic runs
