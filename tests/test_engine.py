@@ -1,6 +1,7 @@
 """Paths, merge order, greedy, assembly and conversion against plain Python on made graphs."""
 
 import heapq
+import itertools
 import math
 import random
 
@@ -16,7 +17,7 @@ from treeweave.operators.voxels import voxelise
 from treeweave.plans.merge_order import merge_rounds, merge_sequence
 from treeweave.plans.recover import recover_files, with_lengths
 from treeweave.runtime import forget, materialize
-from treeweave.sources import costs, ply, tables
+from treeweave.sources import costs, ply, tables, testgraphs
 
 EDGE = "graph_id string, edge_name int, u long, v long, len long"
 
@@ -107,20 +108,63 @@ def test_boundaries_of_the_merge_order(spark, kind, bound):
     assert sum(r.count() for r in rounds) == len({x for p in pairs for x in p}) - 1
 
 
-def test_greedy_takes_the_cheapest_fitting_candidate(small):
-    edges, roots, cands = small
-    dist = paths.shortest_paths(edges, roots)
-    into = {}
-    for r in paths.repair(paths.orient(edges, dist), dist, roots).collect():
-        into.setdefault((r["graph_id"], r["child"]), set()).add(r["edge_name"])
-    fit = {}
-    for r in C.without_triangles(cands, edges).collect():
-        key = r["graph_id"], r["vertex_id"]
-        if key[1] != 1 and set(r["incoming"]) == into.get(key, set()):
-            fit.setdefault(key, []).append(r["cost"])
-    got = {(r["graph_id"], r["vertex_id"]): r for r in greedy(edges, cands, roots).collect()}
-    assert {k: (r["cost"] if r["status"] == "chosen" else None) for k, r in got.items() if k[1] != 1} == {k: min(fit[k]) if k in fit else None for k in got if k[1] != 1}
-    assert all(r["status"] == "chosen" for k, r in got.items() if k[1] == 1)  # a chain from the root to the root may turn one end inward
+def plain_ways(edges, root):
+    """Parent and child of each edge (name: u, v, length), by Dijkstra and the turning of half chains, for one graph."""
+    near, dist, heap = {}, {}, [(0, root)]
+    for n, (u, v, w) in edges.items():
+        near.setdefault(u, []).append((n, v, w))
+        near.setdefault(v, []).append((n, u, w))
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in dist:
+            dist[x] = d
+            for _, y, w in near[x]:
+                heapq.heappush(heap, (d + w, y))
+    ways = {n: tuple(sorted((u, v), key=lambda x: (dist[x], x))) for n, (u, v, _) in edges.items() if u != v}
+    inner = {x for x, es in near.items() if len(es) == 2 and x != root}
+    meets = {x for x in inner if all(ways.get(n, (x, 0))[1] == x for n, *_ in near[x])}
+    flips = set()
+    for m in meets:
+        halves = {}
+        for n, y, _ in near[m]:
+            chain = [n]
+            while y in inner and y not in meets:
+                n, y = next((k, z) for k, z, _ in near[y] if k != n)
+                chain.append(n)
+            halves[min(chain)] = ((dist[y], y) if y not in meets else (-1, -1), min(chain), chain)
+        if len(halves) == 2:
+            flips.update(max(halves.values())[2])
+    return {n: (c, p) if n in flips else (p, c) for n, (p, c) in ways.items()}, near
+
+
+def plain_greedy(edges, cands, root):
+    ways, near = plain_ways(edges, root)
+    got = {}
+    for x in near:
+        given = sorted(n for n, (_, c) in ways.items() if c == x)
+        twins = set()
+        if len(near[x]) > 2:
+            for (n, a, _), (k, b, _) in itertools.combinations(near[x], 2):
+                if a != b and len(near[a]) == len(near[b]) == 2 and any(y == b for _, y, _ in near[a]):
+                    twins.add((n, k))
+        fit = [c for v, blocks, incoming, c in cands if v == x and incoming == given and not any(n in b and k in b for n, k in twins for b in blocks)]
+        got[x] = min(fit, default=None)
+    return got
+
+
+def test_greedy_takes_the_cheapest_fitting_candidate(spark, small):
+    lines = testgraphs.order_graphs(spark, "/root/testdata/sf0.001")[0].withColumn("len", F.col("v") - F.col("u"))
+    many = lines, lines.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))
+    for edges, roots, cands in (small, (*many, C.all_candidates(*many))):
+        graphs, choices, root = {}, {}, dict(map(tuple, roots.select("graph_id", "vertex_id").collect()))
+        for r in edges.collect():
+            graphs.setdefault(r["graph_id"], {})[r["edge_name"]] = r["u"], r["v"], r["len"]
+        for r in cands.collect():
+            choices.setdefault(r["graph_id"], []).append((r["vertex_id"], r["blocks"], sorted(r["incoming"]), r["cost"]))
+        want = {(g, x): c for g, es in graphs.items() for x, c in plain_greedy(es, choices[g], root[g]).items() if x != root[g]}
+        got = {(r["graph_id"], r["vertex_id"]): r for r in greedy(edges, cands, roots).collect()}
+        assert {k: (r["cost"] if r["status"] == "chosen" else None) for k, r in got.items() if k[1] != root[k[0]]} == want
+        assert all(r["status"] == "chosen" for k, r in got.items() if k[1] == root[k[0]])  # a chain from the root to the root may turn one end inward
 
 
 def test_total_cost_counts_branches_only_by_default(small):

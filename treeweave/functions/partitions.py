@@ -7,6 +7,10 @@ point to the vertex. All other edges of the partition point away.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,11 +99,32 @@ def outgoing(blocks: Column, incoming: Column) -> Column:
     return F.sort_array(F.array_except(F.flatten(blocks), incoming))
 
 
+#: Counts up to here have 38 digits at most, as Spark's decimals do.
+_MOST_DIGITS = 10**38
+
+
+def directed_partitions(n: int) -> int:
+    """Number of directed partitions of n edges: sum over k of C(n, k) * k^(n - k); one for no edges."""
+    return sum(math.comb(n, k) * k ** (n - k) for k in range(1, n + 1)) if n > 0 else 1
+
+
+def _up_to(count: Callable[[int], int], bound: float) -> list[int]:
+    found: list[int] = []
+    while (x := count(len(found))) < bound:
+        found.append(x)
+    return found
+
+
+def _looked_up(n: Column, values: list, kind: str, what: str) -> Column:
+    """The n-th of ``values``, the first for negative n, null for null; an error beyond the last."""
+    beyond = F.raise_error(F.concat(F.lit(f"{what} is too great for {kind} at "), n.cast("string"))).cast(kind)
+    table = F.array(*[F.lit(x).cast(kind) for x in values])
+    return F.when(n.isNull(), F.lit(None).cast(kind)).when(n < len(values), F.element_at(table, (F.greatest(n, F.lit(0)) + 1).cast("int"))).otherwise(beyond)
+
+
 def directed_partition_count(n: Column) -> Column:
-    """Number of directed partitions of n edges: sum over k of C(n, k) * k^(n - k); n from 0 to 20, a double beyond exactness."""
-    fact = lambda x: F.factorial(x).cast("double")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: fact(n) / (fact(k) * fact(n - k)) * F.pow(k, n - k))
-    return F.when(n <= 0, F.lit(1).cast("long")).otherwise(F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x)).cast("long"))
+    """Number of directed partitions of n edges, exact, as decimal(38, 0); an error where it has more digits."""
+    return _looked_up(n, [Decimal(x) for x in _up_to(directed_partitions, _MOST_DIGITS)], "decimal(38,0)", "the number of directed partitions")
 
 
 def bell_number(n: int) -> int:
@@ -113,6 +138,41 @@ def bell_number(n: int) -> int:
     return row[0]
 
 
+def log_bell(n: Column) -> Column:
+    """Natural logarithm of the number of set partitions of n elements, for any n.
+
+    By Dobinski's formula the number is the sum over k of k^n / k!, divided by e.
+    Terms are added relative to the greatest, and beyond k = 2 n they are too
+    small to tell; the logarithms of k! are Stirling's series from 10 on.
+    """
+    n = F.greatest(n.cast("long"), F.lit(0))
+    low = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(1, 10)])
+
+    def term(k: Column) -> Column:
+        x = k.cast("double")
+        stirling = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+        return n * F.log(x) - F.when(k < 10, F.element_at(low, F.least(k, F.lit(9)).cast("int"))).otherwise(stirling)
+
+    terms = F.transform(F.sequence(F.lit(1).cast("long"), 2 * n + 20), term)
+    total = lambda t: F.aggregate(t, F.struct(F.array_max(t).alias("m"), F.lit(0.0).alias("s")), lambda a, x: F.struct(a["m"].alias("m"), (a["s"] + F.exp(x - a["m"])).alias("s")), lambda a: a["m"] + F.log(a["s"]) - 1)
+    return F.when(n == 0, F.lit(0.0)).otherwise(total(terms))  # only for none does k = 0 count
+
+
+def region_size(n: Column, measure: str = "outdegree") -> Column:
+    """How much a region with n outgoing edges weighs in costs: n itself, or the number of its set or directed partitions as a double (an error beyond doubles)."""
+    if measure == "outdegree":
+        return n
+    if measure not in ("bell", "directed"):
+        raise ValueError(f"unknown measure {measure}")
+    count = bell_number if measure == "bell" else directed_partitions
+    return _looked_up(n, [float(x) for x in _up_to(count, 1e300)], "double", f"the number of partitions ({measure})")
+
+
+def merge_price(left_out: Column, right_out: Column, measure: str = "outdegree") -> Column:
+    """Cost estimate of merging clusters with so many outgoing edges: f(u) f(w) (u + w)."""
+    return region_size(left_out, measure) * region_size(right_out, measure) * (left_out + right_out)
+
+
 def merge_cost(left_out: Column, right_out: Column) -> Column:
-    """Cost estimate of merging clusters with so many outgoing edges: f(u) f(w) (u + w), f the directed partition count."""
-    return directed_partition_count(left_out) * directed_partition_count(right_out) * (left_out + right_out)
+    """``merge_price`` by directed partitions, a double: exact below 2^53."""
+    return merge_price(left_out, right_out, "directed")

@@ -8,20 +8,14 @@ graphs is one job.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeweave.functions.partitions import bell_number
+from treeweave.functions.partitions import log_bell
 from treeweave.operators.components import connected_components
 from treeweave.runtime import col_of
 
 
-#: Set partitions are counted up to so many edges in the metrics of merges.
-_MOST_BELL = 200
-
-
 def ends(edges: DataFrame) -> DataFrame:
     """``graph_id, vertex_id, edge_name, other``: each edge once for each of its ends, self loops twice."""
     side = F.array(F.struct(F.col("u").alias("vertex_id"), F.col("v").alias("other")), F.struct(F.col("v").alias("vertex_id"), F.col("u").alias("other")))
@@ -93,28 +87,37 @@ def boundaries(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return named.join(counted, ["graph_id", "cluster"], "left").select("graph_id", "cluster", F.coalesce("outdegree", F.lit(0)).cast("long").alias("outdegree"))
 
 
-def merge_priorities(edges: DataFrame) -> DataFrame:
-    """``graph_id, u, v, m, outdegree, product, indegree, maxdegree, degrees, diff, diffinv`` of merging each adjacent pair.
+def merge_priorities(edges: DataFrame, counts: DataFrame | None = None, merged: DataFrame | None = None, merged_cost: int = 1) -> DataFrame:
+    """``graph_id, u, v, m, outdegree, product, indegree, maxdegree, degrees, diff, diffinv, boundary`` of merging each adjacent pair.
 
     outdegree = d(u) + d(v) - 2m: edges of the merged vertex; product = (d(u) -
     m)(d(v) - m); indegree = m, the edges that vanish inside; maxdegree and
     degrees: the greater and the product of d(u) and d(v); diff = degrees less
     the logarithm of the number of set partitions of outdegree edges, and
-    diffinv its negative. Several of them order lexicographically as a struct.
+    diffinv its negative; boundary = outdegree, and ``merged_cost`` more where
+    both or neither of the two are in ``merged`` (graph_id, vertex_id), so that
+    clusters rather take up single vertices. With ``counts`` (graph_id,
+    vertex_id, n: candidates of each vertex), degrees is the product of the two
+    counts and diff takes the sum of their logarithms instead. Several metrics
+    order lexicographically as a struct.
     """
     d = degrees(edges)
     pairs = pair_multiplicity(edges.where("u <> v"))
     for end in ("u", "v"):
         pairs = pairs.join(d.select("graph_id", F.col("vertex_id").alias(end), F.col("degree").alias(f"d{end}")), ["graph_id", end])
-    pairs = pairs.select(
-        "graph_id", "u", "v", "m", (F.col("du") + F.col("dv") - 2 * F.col("m")).alias("outdegree"),
-        ((F.col("du") - F.col("m")) * (F.col("dv") - F.col("m"))).alias("product"), F.col("m").alias("indegree"),
-        F.greatest("du", "dv").alias("maxdegree"), (F.col("du") * F.col("dv")).alias("degrees"),
+        if counts is not None:
+            pairs = pairs.join(counts.select("graph_id", F.col("vertex_id").alias(end), F.col("n").alias(f"n{end}")), ["graph_id", end])
+        if merged is not None:
+            pairs = pairs.join(merged.select("graph_id", F.col("vertex_id").alias(end), F.lit(True).alias(f"m{end}")), ["graph_id", end], "left")
+    weight = F.col("du") * F.col("dv") if counts is None else F.col("nu") * F.col("nv")
+    size = weight if counts is None else F.log("nu") + F.log("nv")
+    alike = F.lit(True) if merged is None else F.col("mu").isNull() == F.col("mv").isNull()
+    pairs = pairs.withColumn("outdegree", F.col("du") + F.col("dv") - 2 * F.col("m")).withColumn("diff", size - log_bell(F.col("outdegree")))
+    return pairs.select(
+        "graph_id", "u", "v", "m", "outdegree", ((F.col("du") - F.col("m")) * (F.col("dv") - F.col("m"))).alias("product"), F.col("m").alias("indegree"),
+        F.greatest("du", "dv").alias("maxdegree"), weight.alias("degrees"), "diff", (-F.col("diff")).alias("diffinv"),
+        (F.col("outdegree") + F.when(alike, F.lit(merged_cost)).otherwise(F.lit(0))).alias("boundary"),
     )
-    # beyond the table the count of set partitions no longer fits a double
-    logs = F.array(*[F.lit(math.log(bell_number(n))) for n in range(_MOST_BELL + 1)])
-    diff = F.col("degrees") - F.element_at(logs, (F.least("outdegree", F.lit(_MOST_BELL)) + 1).cast("int"))
-    return pairs.withColumn("diff", diff).withColumn("diffinv", -diff)
 
 
 def chains(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:

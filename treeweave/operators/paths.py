@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeweave.operators.graph import chains, degrees, ends
 from treeweave.runtime import forget, materialize
 
-#: Relaxation steps between two writes to the shared folder.
-STEPS = 3
+#: Rounds whose distances stay tables of their own before they are made one.
+ROUNDS_APART = 12
 
 
 def _half_edges(edges: DataFrame, length: str) -> DataFrame:
@@ -48,6 +50,10 @@ def compacted_moves(edges: DataFrame, roots: DataFrame, length: str) -> DataFram
     return ways.where("next is null").groupBy("graph_id", "x", "y", "inner").agg(F.min("w").alias("w"))
 
 
+def _nearest(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("graph_id", "vertex_id").agg(F.min("dist").alias("dist"))
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame, length: str = "len", max_rounds: int = 10_000) -> DataFrame:
     """``graph_id, vertex_id, dist``: the least sum of ``length`` from the graph's root.
 
@@ -55,27 +61,32 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, length: str = "len", max_
     null length are no way. Unreached vertices have no row. Chains of degree-2
     vertices are one way each while distances settle, and their vertices are
     filled in at the end. Each round relaxes only the ways of vertices that came
-    nearer in the round before; the rounds end when none did, so they number
-    about the junctions on the longest shortest path over STEPS.
+    nearer in the round before, and writes only those that come nearer now: an
+    anti-join drops the rest, and what is known is neither grouped nor written
+    again but every ROUNDS_APART rounds. The rounds number about the junctions on
+    the longest shortest path.
     """
     ways = materialize(compacted_moves(edges, roots, length), "ways")
     moves = ways.where("not inner").select("graph_id", F.col("x").alias("vertex_id"), F.col("y").alias("other"), "w")
     zero = F.lit(0).cast(ways.schema["w"].dataType)
-    dist = materialize(roots.select("graph_id", "vertex_id", zero.alias("dist"), F.lit(True).alias("fresh")).distinct(), "dist")
+    fresh = materialize(roots.select("graph_id", "vertex_id", zero.alias("dist")).distinct(), "dist")
+    told = [fresh]
     for _ in range(max_rounds):
-        step = dist
-        for _ in range(STEPS):
-            reach = step.where("fresh").join(moves, ["graph_id", "vertex_id"]).select("graph_id", F.col("other").alias("vertex_id"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
-            known = step.select("graph_id", "vertex_id", "dist", F.col("dist").cast("double").alias("old"))
-            best = known.unionByName(reach).groupBy("graph_id", "vertex_id").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
-            step = best.select("graph_id", "vertex_id", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh"))
-        spent, dist = dist, materialize(step, "dist")
-        forget(spent)
-        if dist.where("fresh").isEmpty():
+        reach = fresh.join(moves, ["graph_id", "vertex_id"]).groupBy("graph_id", F.col("other").alias("vertex_id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        known = reduce(DataFrame.unionByName, told).select(F.col("graph_id").alias("__g"), F.col("vertex_id").alias("__v"), F.col("dist").alias("__d"))
+        near = (F.col("graph_id") == F.col("__g")) & (F.col("vertex_id") == F.col("__v")) & (F.col("__d") <= F.col("dist"))
+        fresh = materialize(reach.join(known, near, "left_anti"), "dist")
+        if fresh.isEmpty():
             break
+        told.append(fresh)
+        if len(told) == ROUNDS_APART:
+            whole = materialize(_nearest(told), "dist")
+            forget(*told[:-1])
+            told = [whole, fresh]
     else:
         raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
-    settled = dist.select("graph_id", "vertex_id", "dist")
+    settled = materialize(_nearest(told), "dist")
+    forget(*told, fresh)
     ends_ = settled.select("graph_id", F.col("vertex_id").alias("y"), "dist")
     filled = ways.where("inner").join(ends_, ["graph_id", "y"]).groupBy("graph_id", F.col("x").alias("vertex_id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
     return settled.unionByName(filled)

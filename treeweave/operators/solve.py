@@ -21,6 +21,7 @@ from treeweave.operators.beam import Beam, prune
 from treeweave.operators.candidates import canonicalised
 from treeweave.operators.graph import degrees
 from treeweave.plans.merge_order import merge_rounds, with_origins
+from treeweave.plans.split_tree import planned_merges, rounds_of
 from treeweave.runtime import materialize
 
 
@@ -74,7 +75,7 @@ def min_plus_join(states: DataFrame, pairs: DataFrame, directed: bool = True) ->
     return best.select("graph_id", "cluster", "blocks", "incoming", "b.cost", code(F.col("blocks"), F.col("incoming")).alias("key"), "b.left_key", "right_id", "b.right_key")
 
 
-def solve(edges: DataFrame, candidates: DataFrame, priority: str = "outdegree", beam: Beam | None = None, protected: DataFrame | None = None, max_boundary: int = MAX_BOUNDARY) -> Solution:
+def solve(edges: DataFrame, candidates: DataFrame, priority: str | tuple[str, ...] = "outdegree", beam: Beam | None = None, protected: DataFrame | None = None, max_boundary: int = MAX_BOUNDARY) -> Solution:
     """Choose one candidate for each vertex so that the split graph is one directed tree of least cost.
 
     ``edges``: graph_id, edge_name (unique in its graph), u, v. ``candidates``:
@@ -88,10 +89,11 @@ def solve(edges: DataFrame, candidates: DataFrame, priority: str = "outdegree",
     no tree: infeasible. The states of a cluster grow with its boundary as
     directed partitions do, so without a beam a graph in whose merge order a
     cluster has more than ``max_boundary`` edges is not solved: its status is
-    too_wide, and the others go on.
+    too_wide, and the others go on. ``priority``: one or more of ``PRIORITIES``,
+    or ``split`` for a merge tree from cuts, re-rooted and rotated.
     """
     loops = edges.where("u = v").select("graph_id").distinct().withColumn("loop", F.lit(True))
-    rounds = merge_rounds(edges, priority)
+    rounds = rounds_of(edges, planned_merges(edges)) if priority == "split" else merge_rounds(edges, priority)
     wide = None
     if not beam and rounds:
         planned = reduce(DataFrame.unionByName, [r.select("graph_id", "boundary") for r in rounds])

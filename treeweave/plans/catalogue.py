@@ -12,7 +12,7 @@ from treeweave.functions import partitions as P
 from treeweave.functions.geometry import joint_min_max
 from treeweave.operators import candidates as C
 from treeweave.operators import graph as G
-from treeweave.operators import paths, ranking, solve, tree
+from treeweave.operators import cuts, merge_tree, paths, ranking, solve, spectral, tree
 from treeweave.operators.beam import Beam, histogram, prune
 from treeweave.operators.greedy import cheapest, greedy
 from treeweave.operators.voxels import voxelise as voxel_cells
@@ -169,7 +169,7 @@ def set_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def directed_partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of candidates of each vertex of the orders' graphs, by its degree alone."""
     d = G.degrees(testgraphs.order_graphs(spark, sf_dir)[0])
-    return d.select("graph_id", "vertex_id", P.directed_partition_count(F.col("degree").cast("int")).alias("cnt"))
+    return d.select("graph_id", "vertex_id", P.directed_partition_count(F.col("degree")).cast("long").alias("cnt"))
 
 
 @query
@@ -326,7 +326,7 @@ def merge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = testgraphs.order_graphs(spark, sf_dir)[0]
     for end in ("u", "v"):
         edges = edges.join(G.degrees(edges).select("graph_id", F.col("vertex_id").alias(end), F.col("degree").cast("int").alias("d" + end)), ["graph_id", end])
-    return edges.select("graph_id", "edge_name", P.merge_cost(F.col("du"), F.col("dv")).alias("cost"))
+    return edges.select("graph_id", "edge_name", P.merge_cost(F.col("du"), F.col("dv")).cast("long").alias("cost"))
 
 
 @query
@@ -335,6 +335,92 @@ def merge_sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sequence(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
+def _chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The orders' graphs, and merge trees that take up their lines one by one."""
+    edges = materialize(testgraphs.order_graphs(spark, sf_dir)[0], "edges")
+    return edges, materialize(testgraphs.chain_merges(edges), "merges")
+
+
+@query
+def queue_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities of each pair of neighbours in the orders' graphs by their numbers of candidates, and with the first line of each order as a cluster."""
+    edges, roots, cands = _orders(spark, sf_dir)
+    counts = cands.groupBy("graph_id", "vertex_id").agg(F.count(F.lit(1)).alias("n"))
+    found = G.merge_priorities(edges, counts, roots, 100)
+    return found.select("graph_id", "u", "v", "boundary", F.col("degrees").alias("product"), F.round("diff", 6).alias("diff"), F.round("diffinv", 6).alias("diffinv"))
+
+
+@query
+def region_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outdegree and cost of every region that the lines of an order make, one by one."""
+    edges, merges = _chains(spark, sf_dir)
+    return merge_tree.region_costs(edges, merge_tree.merge_tree(edges, merges))
+
+
+@query
+def sequence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total cost of each order's merge tree by set partitions, and its widest region."""
+    edges, merges = _chains(spark, sf_dir)
+    return merge_tree.sequence_costs(merge_tree.region_costs(edges, merge_tree.merge_tree(edges, merges), "bell"))
+
+
+@query
+def merge_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent, level and reverse breadth-first place of every node of the orders' merge trees."""
+    edges, merges = _chains(spark, sf_dir)
+    return merge_tree.tree_order(merge_tree.merge_tree(edges, merges)).select("graph_id", "node", "parent", "level", "place")
+
+
+@query
+def trigraph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' merge trees without their roots, and directed again from the links that held them, by an Euler tour."""
+    links, held = merge_tree.trigraph(_chains(spark, sf_dir)[1])
+    links, held = materialize(links, "links"), materialize(held, "held")
+    return merge_tree.merges_of(links, held, held.select("graph_id", F.lit(99).cast("long").alias("top")))
+
+
+@query
+def best_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of the orders' merge trees under their best roots."""
+    edges, merges = _chains(spark, sf_dir)
+    best = materialize(merge_tree.rerooted(edges, merge_tree.merge_tree(edges, merges)), "rerooted")
+    return merge_tree.tree_prices(edges, merge_tree.merge_tree(edges, best))
+
+
+@query
+def rotated_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of the orders' merge trees after rotations until none gains."""
+    edges, merges = _chains(spark, sf_dir)
+    best = materialize(merge_tree.rotated(edges, merges), "rotated")
+    return merge_tree.tree_prices(edges, merge_tree.merge_tree(edges, best))
+
+
+@query
+def minimum_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest edges of each order's graph that part its first line from its last."""
+    edges = materialize(testgraphs.order_graphs(spark, sf_dir)[0], "edges")
+    ends = edges.groupBy("graph_id").agg(F.min("u").alias("source"), F.max("v").alias("target"))
+    side = lambda c: F.struct(F.col(c).alias("vertex_id"), F.lit(c).alias("side"))
+    return cuts.minimum_cut(edges, ends.select("graph_id", F.inline(F.array(side("source"), side("target"))))).value
+
+
+@query
+def spectral_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second eigenvalue of the Laplacian of each order's graph, and the vertices at the ends of its spectral order."""
+    edges = materialize(testgraphs.order_graphs(spark, sf_dir)[0], "edges")
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).distinct()
+    order, told = spectral.spectral_order(edges, vertices)
+    spread = order.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.round(F.max("x") - F.min("x"), 6).alias("spread"))
+    return told.join(spread, "graph_id").select("graph_id", F.round("value", 6).alias("value"), "n_vertices", "spread")
+
+
+@query
+def split_order_min_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact least cost of every order's graph, merged in the order of a split tree from spectral orders and minimum cuts."""
+    edges, _, cands = _orders(spark, sf_dir)
+    return solve.solve(edges, cands, "split").status
+
+
 @query
 def greedy_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _, cands = _orders(spark, sf_dir)

@@ -21,6 +21,12 @@ ORDERS = """ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS graph_id, CAST(l_linenu
 rk AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n) AS r FROM ln),
 e AS (SELECT a.graph_id, CAST(a.n * 10 + b.n AS INTEGER) AS name, a.n AS u, b.n AS v FROM rk a JOIN rk b ON a.graph_id = b.graph_id AND (b.r = a.r + 1 OR (b.r = a.r + 2 AND a.f = b.f)))"""
 
+#: ``ch``: each line of the graphs ``e`` with its degree d, its rank k of m, and p, the edges between the lines up to it and the later ones.
+CHAIN = """ch AS (
+  SELECT t.*, (SELECT count(*) FROM e WHERE e.graph_id = t.graph_id AND (e.u <= t.n) <> (e.v <= t.n)) AS p
+  FROM (SELECT graph_id, n, count(*) AS d, row_number() OVER (PARTITION BY graph_id ORDER BY n) AS k, count(*) OVER (PARTITION BY graph_id) AS m
+        FROM (SELECT graph_id, u AS n FROM e UNION ALL SELECT graph_id, v FROM e) GROUP BY graph_id, n) t)"""
+
 CUSTOMER = """seen AS (
   SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS graph_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS p, CAST(n_regionkey AS BIGINT) AS r
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
@@ -175,6 +181,36 @@ SQL: dict[str, str] = {
     "merge_cost": f"""WITH {ORDERS}, {WAYS}, {DEGREE}
       SELECT e.graph_id, e.name AS edge_name, a.c * b.c * (a.n + b.n) AS cost FROM e JOIN d p ON e.graph_id = p.graph_id AND e.u = p.x JOIN d q ON e.graph_id = q.graph_id AND e.v = q.x
       JOIN ways a ON p.n = a.n JOIN ways b ON q.n = b.n""",
+    "queue_priorities": f"""WITH RECURSIVE {ORDERS},{CANDIDATES}, k AS (SELECT graph_id, vertex, root, count(*) AS n, any_value(len(es)) AS d FROM c GROUP BY ALL),
+      bt AS (SELECT * FROM (VALUES {", ".join(f"({n}, CAST({bell} AS DOUBLE))" for n, bell in enumerate(BELL[:20]))}) t(o, b)),
+      m AS (SELECT e.graph_id, e.u, e.v, a.d + b.d - 2 AS o, a.n * b.n AS product, ln(a.n) + ln(b.n) AS size, CASE WHEN a.root IN (e.u, e.v) THEN 0 ELSE 100 END AS alike
+            FROM e JOIN k a ON e.graph_id = a.graph_id AND e.u = a.vertex JOIN k b ON e.graph_id = b.graph_id AND e.v = b.vertex)
+      SELECT graph_id, u, v, m.o + alike AS boundary, product, round(size - ln(b), 6) AS diff, round(ln(b) - size, 6) AS diffinv FROM m JOIN bt ON m.o = bt.o""",
+    "region_costs": f"""WITH {ORDERS}, {CHAIN}
+      SELECT graph_id, n AS node, d AS outdegree, d AS cost FROM ch
+      UNION ALL SELECT b.graph_id, 10 + b.k, b.p, a.p * b.d FROM ch a JOIN ch b ON a.graph_id = b.graph_id AND b.k = a.k + 1""",
+    "sequence_costs": f"""WITH {ORDERS}, {CHAIN}, bt AS (SELECT * FROM (VALUES {", ".join(f"({n}, CAST({bell} AS DOUBLE))" for n, bell in enumerate(BELL[:20]))}) t(o, b)),
+      r AS (SELECT graph_id, b AS cost, d AS wide FROM ch JOIN bt ON d = o
+            UNION ALL SELECT y.graph_id, f.b * g.b, y.p FROM ch x JOIN ch y ON x.graph_id = y.graph_id AND y.k = x.k + 1 JOIN bt f ON x.p = f.o JOIN bt g ON y.d = g.o)
+      SELECT graph_id, sum(cost) AS cost, max(wide) AS widest FROM r GROUP BY graph_id""",
+    "merge_tree_order": f"""WITH {ORDERS}, {CHAIN}
+      SELECT graph_id, n AS node, 10 + greatest(k, 2) AS parent, m - greatest(k, 2) + 1 AS level, 2 * m - 2 * (m - greatest(k, 2) + 1) - CASE WHEN k > 1 THEN 1 ELSE 0 END AS place FROM ch
+      UNION ALL SELECT graph_id, 10 + k, CASE WHEN k < m THEN 11 + k END, m - k, 2 * k - CASE WHEN k < m THEN 0 ELSE 1 END FROM ch WHERE k > 1""",
+    "trigraph_round_trip": f"""WITH {ORDERS}, {CHAIN}
+      SELECT b.graph_id, least(CASE WHEN a.k = 1 THEN a.n ELSE 10 + a.k END, b.n) AS left_id, greatest(CASE WHEN a.k = 1 THEN a.n ELSE 10 + a.k END, b.n) AS right_id, CASE WHEN b.k = b.m THEN 100 ELSE 10 + b.k END AS new_id
+      FROM ch a JOIN ch b ON a.graph_id = b.graph_id AND b.k = a.k + 1""",
+    "best_roots": f"""WITH {ORDERS}, {CHAIN},
+      s AS (SELECT b.graph_id, b.k, b.m, a.p AS l, b.d AS d, CASE WHEN b.k = b.m - 1 THEN z.d ELSE b.p END AS r FROM ch a JOIN ch b ON a.graph_id = b.graph_id AND b.k = a.k + 1 JOIN ch z ON z.graph_id = b.graph_id AND z.k = z.m WHERE b.k < b.m),
+      spine AS (SELECT graph_id, 2 * k AS at, k, m, p AS c FROM ch WHERE k < m UNION ALL SELECT graph_id, 2 * k + 1, k, m, d FROM ch WHERE k > 1 AND k < m),
+      t AS (SELECT x.graph_id, x.at, any_value(2 * x.c * x.c * x.c) + coalesce(sum(CASE WHEN 2 * s.k + 1 = x.at THEN s.l * s.r * (s.l + s.r) WHEN 2 * s.k <= x.at THEN s.l * s.d * (s.l + s.d) ELSE s.d * s.r * (s.d + s.r) END), 0) AS price
+            FROM spine x LEFT JOIN s ON s.graph_id = x.graph_id GROUP BY x.graph_id, x.at)
+      SELECT graph_id, CAST(min(price) AS BIGINT) AS price FROM t GROUP BY graph_id""",
+    "minimum_cuts": f"""WITH {ORDERS}, {CHAIN}, mk AS (SELECT DISTINCT graph_id, m FROM ch),
+      w AS (SELECT graph_id, m, unnest(range(1 << (m - 2))) * 2 + 1 AS mask FROM mk)
+      SELECT graph_id, min(cut) AS cut FROM (
+        SELECT w.graph_id, w.mask, count(*) FILTER (((w.mask >> (a.k - 1)) & 1) <> ((w.mask >> (b.k - 1)) & 1)) AS cut
+        FROM w JOIN e ON e.graph_id = w.graph_id JOIN ch a ON a.graph_id = e.graph_id AND a.n = e.u JOIN ch b ON b.graph_id = e.graph_id AND b.n = e.v GROUP BY ALL) GROUP BY graph_id""",
+    "split_order_min_cost": f"{brute(ORDERS)} SELECT rt.graph_id, CASE WHEN count(cost) > 0 THEN 'solved' ELSE 'infeasible' END AS status, CAST(min(cost) AS BIGINT) AS cost FROM rt LEFT JOIN f ON rt.graph_id = f.graph_id GROUP BY rt.graph_id",
     "greedy_argmin": f"""WITH RECURSIVE {ORDERS},{CANDIDATES},
       g AS (SELECT graph_id, v AS vertex, list_sort(list(name)) AS given FROM e GROUP BY ALL)
       SELECT c.graph_id, c.vertex AS vertex_id, CAST(min(cost) AS BIGINT) AS cost FROM c LEFT JOIN g ON c.vertex = g.vertex AND c.graph_id = g.graph_id WHERE [es[j] for j in range(1, len(es) + 1) if (mask >> (j - 1)) & 1 = 1] = coalesce(given, []) GROUP BY ALL""",

@@ -19,22 +19,25 @@ from pyspark.sql import functions as F
 from treeweave.operators.graph import contract, merge_priorities
 from treeweave.runtime import forget, materialize
 
-PRIORITIES = ("outdegree", "product", "indegree", "maxdegree", "degrees", "diff", "diffinv", "random")
+PRIORITIES = ("outdegree", "product", "indegree", "maxdegree", "degrees", "diff", "diffinv", "boundary", "random")
 
 
-def merge_round(edges: DataFrame, priority: str = "outdegree", salt: int = 0) -> DataFrame:
+def merge_round(edges: DataFrame, priority: str | tuple[str, ...] = "outdegree", salt: int = 0, merged: DataFrame | None = None) -> DataFrame:
     """``graph_id, left_id, right_id, shared, boundary``: pairs that are each other's cheapest merge, left < right, the sorted names of the edges between them and the number of edges that leave both.
 
     Ties fall by a hash of the pair, so that a path of equal priorities pairs up
     all along and not from one end. Each graph with an edge between two vertices
     gives a pair at least: of the pairs of its least boundary, or free ones, the
-    cheapest of all is mutual.
+    cheapest of all is mutual. A tuple of priorities orders lexicographically;
+    ``merged`` (graph_id, vertex_id) are the clusters that ``boundary`` tells
+    from single vertices.
     """
-    if priority not in PRIORITIES:
+    named = (priority,) if isinstance(priority, str) else tuple(priority)
+    if not named or not set(named) <= set(PRIORITIES):
         raise ValueError(f"unknown priority {priority}")
-    rank = F.lit(0).cast("long") if priority == "random" else F.col(priority)
-    pairs = merge_priorities(edges)
-    if priority != "random":
+    rank = F.struct(*[(F.lit(0).cast("long") if p == "random" else F.col(p)).alias(f"p{i}") for i, p in enumerate(named)])
+    pairs = merge_priorities(edges, merged=merged if "boundary" in named else None)
+    if named[0] != "random":
         least = pairs.groupBy("graph_id").agg(F.min("outdegree").alias("least"))
         pairs = pairs.join(least, "graph_id").where("outdegree <= maxdegree or outdegree = least")
     pairs = pairs.withColumn("rank", F.struct(rank.alias("p"), F.xxhash64("graph_id", "u", "v", F.lit(salt)).alias("h"), "u", "v", "outdegree"))
@@ -47,7 +50,7 @@ def merge_round(edges: DataFrame, priority: str = "outdegree", salt: int = 0) ->
     return named.agg(F.sort_array(F.collect_set("edge_name")).alias("shared")).select("graph_id", "left_id", "right_id", "shared", "boundary")
 
 
-def merge_rounds(edges: DataFrame, priority: str = "outdegree", max_rounds: int = 10_000) -> list[DataFrame]:
+def merge_rounds(edges: DataFrame, priority: str | tuple[str, ...] = "outdegree", max_rounds: int = 10_000) -> list[DataFrame]:
     """The rounds' pairs, each a written table; a merged pair goes on under the smaller id.
 
     Self loops take no part. Ends when no edge joins two clusters, so a connected
@@ -58,7 +61,10 @@ def merge_rounds(edges: DataFrame, priority: str = "outdegree", max_rounds: int
     while not left.isEmpty():
         if len(rounds) == max_rounds:
             raise RuntimeError(f"merging took more than {max_rounds} rounds")
-        pairs = materialize(merge_round(left, priority, len(rounds)), "pairs")
+        merged = None
+        if rounds and "boundary" in priority:
+            merged = reduce(DataFrame.unionByName, [r.select("graph_id", F.col("left_id").alias("vertex_id")) for r in rounds]).distinct()
+        pairs = materialize(merge_round(left, priority, len(rounds), merged), "pairs")
         rounds.append(pairs)
         mapping = pairs.select("graph_id", F.col("right_id").alias("vertex_id"), F.col("left_id").alias("new_id"))
         spent, left = left, materialize(contract(left, mapping).select("graph_id", "edge_name", "u", "v"), "edges")
@@ -80,7 +86,7 @@ def with_origins(rounds: list[DataFrame]) -> DataFrame:
     return flat.join(sides, ["graph_id", "round", "left_id"])
 
 
-def merge_sequence(edges: DataFrame, priority: str = "outdegree") -> DataFrame:
+def merge_sequence(edges: DataFrame, priority: str | tuple[str, ...] = "outdegree") -> DataFrame:
     """``graph_id, step, left_id, right_id, new_id``: the rounds as one sequence in which each merge makes a new vertex.
 
     New vertices are numbered from the graph's greatest vertex id on, in order

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from treeweave.functions.geometry import distance
 from treeweave.operators.beam import Beam
 from treeweave.operators.greedy import greedy
-from treeweave.operators.solve import solve
+from treeweave.operators.solve import MAX_BOUNDARY, solve
 from treeweave.operators.tree import split_graph
 from treeweave.runtime import materialize
 from treeweave.sources import costs, ply
@@ -37,7 +37,7 @@ def with_lengths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.withColumn("len", F.coalesce("len", apart)).drop("__u", "__v")
 
 
-def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam: Beam | None = None, priority: str = "outdegree") -> Recovered:
+def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam: Beam | None = None, priority: str | tuple[str, ...] = "outdegree", max_boundary: int = MAX_BOUNDARY) -> Recovered:
     """Solve the graphs, split them by their choices, and carry the attributes over.
 
     With a ``beam``, the greedy choice is kept in it, for which lengths that are
@@ -50,18 +50,18 @@ def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam:
     if beam:
         chosen = materialize(greedy(with_lengths(vertices, edges), candidates, costs.root_of(candidates)), "greedy")
         protected = chosen.where("status = 'chosen'")
-    found = solve(edges, candidates, priority, beam, protected)
+    found = solve(edges, candidates, priority, beam, protected, max_boundary)
     tree_vertices, tree_edges = split_graph(vertices, edges, materialize(found.choices, "choices"))
     return Recovered(found.status, tree_vertices, tree_edges)
 
 
-def recover_files(spark: SparkSession, graphs: str, candidates: str, out: str, beam: Beam | None = None) -> DataFrame:
+def recover_files(spark: SparkSession, graphs: str, candidates: str, out: str, beam: Beam | None = None, max_boundary: int = MAX_BOUNDARY) -> DataFrame:
     """Read PLY graphs and candidate texts of the same names, and write each solved graph's tree as PLY under ``out``; returns the status of each graph.
 
     A graph's tree is the text in ``out/graph_id=<name>_tree``.
     """
     vertices, edges = ply.read_ply(spark, graphs)
-    found = recover(vertices.drop("attributes"), edges.drop("attributes"), costs.parse_candidates(ply.graph_files(spark, candidates)), beam)
+    found = recover(vertices.drop("attributes"), edges.drop("attributes"), costs.parse_candidates(ply.graph_files(spark, candidates)), beam, max_boundary=max_boundary)
     called = F.concat("graph_id", F.lit("_tree")).alias("graph_id")
     rest = lambda df: [c for c in df.columns if c != "graph_id"]
     ply.write_ply(found.vertices.select(called, *rest(found.vertices)), found.edges.select(called, *rest(found.edges)), out)

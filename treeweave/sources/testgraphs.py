@@ -47,6 +47,14 @@ def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return edges, edges.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))
 
 
+def chain_merges(edges: DataFrame) -> DataFrame:
+    """A merge tree (graph_id, left_id, right_id, new_id) for each orders' graph: lines join one by one in order of number, and the k-th makes cluster 10 + k."""
+    lines = edges.select("graph_id", F.explode(F.array("u", "v")).alias("n")).distinct()
+    along = W.partitionBy("graph_id").orderBy("n")
+    ranked = lines.select("graph_id", F.col("n").alias("right_id"), F.row_number().over(along).cast("long").alias("k"), F.lag("n").over(along).alias("before")).where("k > 1")
+    return ranked.select("graph_id", F.when(F.col("k") == 2, F.col("before")).otherwise(F.col("k") + 9).alias("left_id"), "right_id", (F.col("k") + 10).alias("new_id"))
+
+
 def customer_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Many small graphs, one a customer: ``(edges, roots)``.
 
