@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeweave.functions import partitions as P
 from treeweave.operators import candidates as C
-from treeweave.operators import cuts, merge_tree, solve, spectral
+from treeweave.operators import core, cuts, merge_tree, solve, spectral
 from treeweave.operators import graph as G
 from treeweave.plans import catalogue, split_tree
 from treeweave.plans.merge_order import merge_rounds
@@ -353,6 +353,57 @@ def test_solved_by_several_priorities(spark):
         merge_rounds(edges, ("boundary", "sideways"))
 
 
+def plain_core(edges, root):
+    """The vertices that stay, and the edges that lie in the core: leaves go until none is left, then vertices of degree 2."""
+    left = {n: (u, v) for n, u, v in edges if u != v}
+    vertices = {x for _, u, v in edges for x in (u, v)}
+    while True:
+        degree = collections.Counter(x for e in left.values() for x in e)
+        tips = {x for x, d in degree.items() if d == 1 and x != root}
+        if not tips:
+            break
+        gone = {n for n, (u, v) in left.items() if u in tips or v in tips}
+        left = {n: e for n, e in left.items() if n not in gone}
+    return vertices, left, {x for x, d in collections.Counter(x for e in left.values() for x in e).items() if d != 2 or x == root}
+
+
+def test_core_graphs(spark, tables):
+    lengths = {(g, n): (7 * n + len(g)) % 11 + 1 for g, es in GRAPHS.items() for n, *_ in es}
+    ring = [("ring", i, i, i % 6 + 1) for i in range(1, 7)]
+    rows = [(g, *e) for g, es in GRAPHS.items() for e in es] + ring
+    lengths |= {("ring", i): i for i in range(1, 7)}
+    edges = spark.createDataFrame([(g, n, u, v, lengths[g, n]) for g, n, u, v in rows], "graph_id string, edge_name int, u long, v long, len long")
+    rooted = {"g2": 4, "g5": 1, "g6": 12}
+    core_ = core.core_graph(edges, spark.createDataFrame(list(rooted.items()), "graph_id string, vertex_id long"))
+    found, owners = collections.defaultdict(list), collections.defaultdict(dict)
+    for r in core_.edges.collect():
+        found[r["graph_id"]].append(r)
+    for r in core_.owners.collect():
+        owners[r["graph_id"]][r["vertex_id"]] = r["owner"]
+    for g in [*GRAPHS, "ring"]:
+        own = [(n, u, v) for h, n, u, v in rows if h == g]
+        vertices, left, junctions = plain_core(own, rooted.get(g))
+        ends = {n: (u, v) for n, u, v in own}
+        assert sorted(n for r in found[g] for n in r["path"]) == sorted(left)
+        for r in found[g]:
+            at = r["u"]
+            for n in r["path"]:
+                at = sum(ends[n]) - at
+            assert at == r["v"] and r["len"] == sum(lengths[g, n] for n in r["path"]) and r["edge_name"] == min(r["path"])
+        stay = {x for r in found[g] for x in (r["u"], r["v"])}
+        assert junctions <= stay and all(x in junctions or all(y == x for y in (r["u"], r["v"])) for x in stay for r in found[g] if x in (r["u"], r["v"]))
+        assert owners[g].keys() == vertices and all(owners[g][o] == o for o in owners[g].values()) and (stay <= set(owners[g].values()))
+        assert rooted.get(g, None) is None or owners[g][rooted[g]] == rooted[g]
+    before = core.pre_merges(core_.owners)
+    for g in found:
+        assert len({o for o in owners[g].values()}) + before.where(F.col("graph_id") == g).count() == len(owners[g])
+    after = spark.createDataFrame([("ring", 1, 1, 99), ("g5", 1, 1, 2), ("nowhere", 1, 5, 6)], "graph_id string, step long, left_id long, right_id long")
+    whole = collections.defaultdict(list)
+    for r in core.spliced(before, after, core_.owners).orderBy("step").collect():
+        whole[r["graph_id"]].append((r["step"], r["left_id"]))
+    assert [x for x, _ in whole["ring"]] == [1, 2, 3, 4, 5, 6] and whole["ring"][-1] == (6, 1) and "nowhere" not in whole
+
+
 def test_counts_of_any_degree(spark):
     rows = spark.range(-1, 38).select("id", P.directed_partition_count(F.col("id")).alias("n"), P.merge_cost(F.col("id"), F.lit(3)).alias("cost"), P.region_size(F.col("id"), "bell").alias("bell")).collect()
     three = sum(math.comb(3, k) * k ** (3 - k) for k in range(1, 4))

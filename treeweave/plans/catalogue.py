@@ -12,7 +12,7 @@ from treeweave.functions import partitions as P
 from treeweave.functions.geometry import joint_min_max
 from treeweave.operators import candidates as C
 from treeweave.operators import graph as G
-from treeweave.operators import cuts, merge_tree, paths, ranking, solve, spectral, tree
+from treeweave.operators import core, cuts, merge_tree, paths, ranking, solve, spectral, tree
 from treeweave.operators.beam import Beam, histogram, prune
 from treeweave.operators.greedy import cheapest, greedy
 from treeweave.operators.voxels import voxelise as voxel_cells
@@ -404,6 +404,14 @@ def minimum_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.minimum_cut(edges, ends.select("graph_id", F.inline(F.array(side("source"), side("target"))))).value
 
 
+@query
+def core_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' graphs without dead ends, chains as edges: the edges that the core's edges stand for, and their lengths."""
+    edges, roots = testgraphs.order_graphs(spark, sf_dir)
+    found = core.core_graph(edges.withColumn("len", F.col("v") - F.col("u")), roots).edges
+    return found.groupBy("graph_id").agg(F.sum(F.size("path")).alias("n_edges"), F.sum("len").alias("len"))
+
+
 @query
 def spectral_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second eigenvalue of the Laplacian of each order's graph, and the vertices at the ends of its spectral order."""

@@ -205,6 +205,8 @@ SQL: dict[str, str] = {
       t AS (SELECT x.graph_id, x.at, any_value(2 * x.c * x.c * x.c) + coalesce(sum(CASE WHEN 2 * s.k + 1 = x.at THEN s.l * s.r * (s.l + s.r) WHEN 2 * s.k <= x.at THEN s.l * s.d * (s.l + s.d) ELSE s.d * s.r * (s.d + s.r) END), 0) AS price
             FROM spine x LEFT JOIN s ON s.graph_id = x.graph_id GROUP BY x.graph_id, x.at)
       SELECT graph_id, CAST(min(price) AS BIGINT) AS price FROM t GROUP BY graph_id""",
+    "core_graphs": f"""WITH {ORDERS}, top AS (SELECT e.graph_id, max(e.v) AS hi FROM e JOIN rk a ON a.graph_id = e.graph_id AND a.n = e.u JOIN rk b ON b.graph_id = e.graph_id AND b.n = e.v WHERE b.r = a.r + 2 GROUP BY e.graph_id)
+      SELECT e.graph_id, count(*) AS n_edges, CAST(sum(v - u) AS BIGINT) AS len FROM e JOIN top ON e.graph_id = top.graph_id WHERE e.v <= top.hi GROUP BY e.graph_id""",
     "minimum_cuts": f"""WITH {ORDERS}, {CHAIN}, mk AS (SELECT DISTINCT graph_id, m FROM ch),
       w AS (SELECT graph_id, m, unnest(range(1 << (m - 2))) * 2 + 1 AS mask FROM mk)
       SELECT graph_id, min(cut) AS cut FROM (
