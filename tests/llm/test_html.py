@@ -115,3 +115,23 @@ def test_deep_and_broken_pages_take_linear_time(page):
 
 def test_a_quotation_mark_without_its_pair():
     assert H.main_text(f'<article><p>He is 6" tall, they say.</p>{BODY}<p class="x>One.</p></article>') == "\n\n".join(['He is 6" tall, they say.', *LINES, "One."])
+
+
+LONG_TEXT = "A paragraph of the article, with words, and marks; it goes on and on, for a good while, as others do."
+
+
+@pytest.mark.parametrize("inside, want", [
+    ('<h2 id="comments">Comments on the report</h2>', ["Comments on the report"]),
+    ('<h2 id="related">Related work</h2>', ["Related work"]),
+    ('<h3 class="share">On sharing</h3>', ["On sharing"]),
+    ('<section id="sharing"><h2>Sharing memory</h2><p>Two tasks can share it, too, as shown below.</p></section>', ["Sharing memory", "Two tasks can share it, too, as shown below."]),
+    ("<p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be one, as before, in what follows.</p>", ["Let x be one, as before, in what follows."]),
+    ('<section id="comments"><h2>3 replies</h2><p>Great, I like it, thanks a lot, really.</p></section>', None),
+    ('<div class="advert"><h2>Buy now</h2><p>Cheap, and good, and yours.</p></div>', []),
+])
+def test_headings_and_sections_of_an_article_stay(inside, want):
+    page = f"<body><article><h1>Title of it</h1><p>{LONG_TEXT}</p>{inside}<p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></article></body>"
+    got = H.main_text(page).split("\n\n")
+    if want is None:  # the comments go; their heading goes with them
+        want = []
+    assert got == ["Title of it", LONG_TEXT, *want, LONG_TEXT, LONG_TEXT]

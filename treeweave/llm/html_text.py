@@ -18,7 +18,7 @@ from treeweave.runtime import col_of, fresh_name
 
 # Elements of the HTML standard by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml object canvas select title xmp noembed noframes".split())
 BLOCK = frozenset(
     "html body article aside header footer nav main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption form fieldset legend address details summary hgroup center dialog menu head button".split()
@@ -35,6 +35,7 @@ BESIDE = frozenset(
     "site page main top bottom left right inner outer box block wrapper wrap container area section list item items bar unit slot text body title header "
     "link links button buttons icon icons post posts article articles user reader form group row col primary secondary global the".split()
 )
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: Elements that belong to running text: they stand in a box, and are none themselves.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hgroup details summary center header address".split())
 #: Start tags that end an open element of the same kind.
@@ -88,7 +89,18 @@ def _is_cue(token: str) -> bool:
     return any(w in CUES for w in words) and all(w in CUES or w in BESIDE for w in words)
 
 
-def _mark(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> int:
+def _names_furniture(tag: str, name: str, value: str, within: bool) -> bool:
+    """Whether a class or id marks an element. Heading generators make ids of any words: no heading is marked, and within an article no section by its id, unless that names reader comments."""
+    if tag in ("html", "body", "article", "main") or _HEADING.fullmatch(tag):
+        return False
+    cues = [t for t in value.split() if _is_cue(t)]
+    if name == "id" and tag == "section" and within:
+        return any(w.lower() in COMMENTS for t in cues for w in _WORD.findall(t))
+    return bool(cues)
+
+
+def _mark(tag: str, attributes: list[tuple[str, str]], in_article: bool, within: bool) -> int:
+    """``in_article``: an article or main part has begun; ``within``: an article is open."""
     if tag in FURNITURE or (tag == "header" and not in_article):
         return FIXED
     mark = PLAIN
@@ -97,7 +109,7 @@ def _mark(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> int:
             return FIXED
         if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return FIXED
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_is_cue, value.split())):
+        if name in ("class", "id") and _names_furniture(tag, name, value, within):
             mark = CUED
     return mark
 
@@ -187,7 +199,7 @@ def read_page(page: str) -> Page:
         out.parent.append(above)
         out.tag.append(tag)
         out.path.append(path)
-        out.mark.append(_mark(tag, attributes, articles > 0))
+        out.mark.append(_mark(tag, attributes, articles > 0, last(("article",)) > 0))
         # an unnamed section is part of the text around it; a table cell with block elements in it lays out the page
         out.layout.append(tag not in TEXTUAL and (tag != "section" or bool(attributes)))
         articles += tag in ("article", "main")
