@@ -254,7 +254,7 @@ def greatest_flow(g, sources, targets):
         flow += 1
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_minimum_cuts(spark, tables, seed):
     r = random.Random(seed)
     ends = {}
