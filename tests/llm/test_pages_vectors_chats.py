@@ -81,6 +81,24 @@ def brute_neighbours(ids, x, queries, k=10):
     return out
 
 
+def test_sample_is_thinned_before_it_meets(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    classes = spark.range(20_000).select(F.array(F.col("id").cast("double"), F.rand(1)).alias("v"))
+    taken = ann._sample(classes, 20_000, 2)
+    want = sorted(((r["h"], r["v"]) for r in classes.select(F.xxhash64("v").alias("h"), "v").collect()))[:300]
+    assert sorted(r["v"] for r in taken.collect()) == sorted(v for _, v in want)
+    assert 300 <= classes.where(F.xxhash64("v") < int(((1.2 * 300 + 100) / 20_000 - 0.5) * 2**64)).count() < 700
+    assert "xxhash64" in taken._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 16 * 50)
+    assert ann._sample(classes, 20_000, 2).count() == 50 and ann._sample(classes.limit(7), 7, 2).count() == 7
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [5.0, 6.0]), (2, [5.0, 6.0]), (3, [9.0, 9.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v == 0, k=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1.0)]  # its other vector takes a place
+
+
 def test_recall_and_distances(spark):
     sf = "/root/testdata/sf0.1"
     e = table(spark, sf, "embeddings")

@@ -17,6 +17,8 @@ from treeweave.runtime import col_of, materialize, shuffle_partitions
 
 #: Bound of the sample that centroids and codebooks are fitted on; every vector is indexed.
 SAMPLE = 32_768
+#: Bytes of the sample, which the driver holds.
+SAMPLE_BYTES = 128 << 20
 #: Coarse cells: about the square root of the number of vectors, as far as the sample has this many vectors for each.
 VECTORS_A_CELL = 4
 #: Bytes of a code, and values of each.
@@ -143,13 +145,23 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+def _sample(classes: DataFrame, n: int, dim: int) -> DataFrame:
+    """The vectors of the smallest hashes, SAMPLE and SAMPLE_BYTES at most. A bound on the hash, a fifth above what is needed, thins the rows first, so that what meets in one task doesn't grow with n."""
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    h = F.xxhash64("v")
+    rows = classes.select("v")
+    if (share := (1.2 * most + 100) / n) < 1:
+        rows = rows.where(h < F.lit(int((share - 0.5) * 2**64)))
+    return rows.orderBy(h, "v").limit(most)
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query row the k nearest others found, by Euclidean distance, ties to the smaller id.
 
     is_query: a condition on ``vec_id``. Equal vectors are one entry of the
     index with their first k + 1 ids, so copies are neither compared nor lost.
-    Centroids and codebooks are fitted on a sample of at most SAMPLE vectors;
-    all vectors are indexed. A query looks into the nearest cells, as many as
+    Centroids and codebooks are fitted on a sample of at most SAMPLE vectors and
+    SAMPLE_BYTES; all vectors are indexed. A query looks into the nearest cells, as many as
     the sample shows to be needed and more where they hold few vectors;
     asymmetric distance tables rank the cells' codes, and all that can be among
     the best by their quantisation errors are ranked again by exact
@@ -157,7 +169,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
 
     Bins of the index hold a bounded number of vectors and meet a bounded number
     of queries at once. Null, zero and non-finite vectors, rows without an id and vectors of another
-    length than most take no part; equal rows count once. Where fewer than k others
+    length than most take no part; equal rows count once. Ids are
+    taken to be of one vector; where one has several, the least is its query, and
+    each other of them among a query's k + 1 nearest entries leaves it one short.
+    Where fewer than k others
     exist, all are returned. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -171,8 +186,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     first = rows.withColumn("r", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = materialize(first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "classes")
     n = classes.count()
-    taken = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
-    sample = np.stack(taken.to_list()).astype(np.float64)
+    sample = np.stack(_sample(classes, n, dim).toPandas()["v"].to_list()).astype(np.float64)
     index = Index.fit(sample, max(1, min(round(math.sqrt(n)), len(sample) // VECTORS_A_CELL)))
     tasks = shuffle_partitions(spark)
     shard = min(SHARD, max(LEAST_SHARD, n // (4 * tasks)))
@@ -211,7 +225,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
                 cells += asked.values()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bins, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "bin", "cells"])
 
-    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v")
+    queries = rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     queries = materialize(queries, "queries")
     asked = materialize(queries.mapInArrow(probe, "query_id long, bin long, cells array<int>"), "asked")
     # A bin's entries are sent once for each block of the queries that ask it, which number by the asks of that bin; a row for each bin.
