@@ -25,6 +25,8 @@ BLOCK = frozenset(
 )
 #: Elements that are furniture by the standard; ``header`` is too, outside an article.
 FURNITURE = frozenset("nav footer aside form head menu dialog button fieldset".split())
+#: Inline elements of forms, whose text is no part of an article.
+UNSHOWN = frozenset(("label", "option", "output"))
 # Words that name page furniture in class and id attributes, and words that may stand beside them.
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -36,6 +38,9 @@ BESIDE = frozenset(
     "link links button buttons icon icons post posts article articles user reader form group row col primary secondary global the".split()
 )
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: The words that tell furniture from a part of the text within an article, on elements other than running text.
+STRONG = COMMENTS | ADVERTS | frozenset("newsletter subscribe share sharing social related recommended recommendations nav navbar breadcrumb breadcrumbs sidebar cookie cookies consent".split())
 #: Elements that belong to running text: they stand in a box, and are none themselves.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hgroup details summary center header address".split())
 #: Start tags that end an open element of the same kind.
@@ -54,8 +59,10 @@ ENCLOSING = ("ul", "ol", "dl", "table", "body", "article")
 _ENDS: dict[str, re.Pattern[str]] = {}
 #: Width of the Gaussian that smooths path ratios along the page.
 SIGMA = 1.0
-#: Share of the text-weighted greatest path score that a content path reaches.
-THRESHOLD = 0.5
+#: Share of the page's greatest score that a content block's reaches.
+THRESHOLD = 0.35
+#: What an article, a main part or a box with a heading of first rank multiplies a score by.
+RAISED = 8.0
 
 
 @dataclass
@@ -90,23 +97,37 @@ def _is_cue(token: str) -> bool:
 
 
 def _names_furniture(tag: str, name: str, value: str, within: bool) -> bool:
-    """Whether a class or id marks an element. Heading generators make ids of any words: no heading is marked, and within an article no section by its id, unless that names reader comments."""
+    """Whether a class or id marks an element.
+
+    Heading generators make ids of any words: no heading is marked. Within an
+    article fewer words count: for a section's id those of reader comments, for
+    running text those of adverts, else STRONG.
+    """
     if tag in ("html", "body", "article", "main") or _HEADING.fullmatch(tag):
         return False
     cues = [t for t in value.split() if _is_cue(t)]
-    if name == "id" and tag == "section" and within:
-        return any(w.lower() in COMMENTS for t in cues for w in _WORD.findall(t))
-    return bool(cues)
+    if not within:
+        return bool(cues)
+    telling = COMMENTS if name == "id" and tag == "section" else ADVERTS if tag in TEXTUAL else STRONG
+    return any(w.lower() in telling for t in cues for w in _WORD.findall(t))
+
+
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)]
+
+
+def _hides(attributes: list[tuple[str, str]]) -> bool:
+    return any(k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and _HIDDEN.search(v.lower())) for k, v in attributes)
 
 
 def _mark(tag: str, attributes: list[tuple[str, str]], in_article: bool, within: bool) -> int:
     """``in_article``: an article or main part has begun; ``within``: an article is open."""
     if tag in FURNITURE or (tag == "header" and not in_article):
         return FIXED
+    if _hides(attributes):
+        return FIXED
     mark = PLAIN
     for name, value in attributes:
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value.lower())):
-            return FIXED
         if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return FIXED
         if name in ("class", "id") and _names_furniture(tag, name, value, within):
@@ -122,6 +143,7 @@ def read_page(page: str) -> Page:
     places: dict[str, list[int]] = {}  # where the open elements of each tag lie in the stack, so that deep pages aren't searched level by level
     parts: list[str] = []
     linked, links, articles = 0, 0, 0
+    mute, muted = "", 0  # the inline element whose text isn't shown, and how many of its kind are open since
 
     def flush() -> None:
         nonlocal linked
@@ -145,7 +167,7 @@ def read_page(page: str) -> Page:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not muted:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -173,7 +195,12 @@ def read_page(page: str) -> Page:
         if tag == "br" or tag == "hr":
             parts.append(" ")
         if tag not in BLOCK:
+            if muted:
+                muted += (-1 if closing else 1) if tag == mute else 0
+            elif not closing and tag not in VOID and not m[3].endswith("/") and (tag in UNSHOWN or (m[3] and _hides(_attributes(m[3])))):
+                mute, muted = tag, 1
             continue
+        muted = 0
         if closing:
             if opened := last((tag,)):
                 close(opened)
@@ -189,7 +216,7 @@ def read_page(page: str) -> Page:
             if opened > last(ENCLOSING):
                 close(opened)
         above = stack[-1][1]
-        attributes = [(k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])] if m[3] else []
+        attributes = _attributes(m[3]) if m[3] else []
         called = tag + "".join("." + w for k, v in attributes if k == "class" for w in v.split()[:2])
         path = known.setdefault((out.path[above], called), len(known) + 1)
         if tag not in ("table", "tr") and (cell := last(("td", "th"))) > last(("table",)):
@@ -207,8 +234,8 @@ def read_page(page: str) -> Page:
     return out
 
 
-def path_scores(group: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The score of each block's tag path.
+def path_scores(group: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.ndarray, marks: np.ndarray, raised: np.ndarray | None = None) -> np.ndarray:
+    """The score of each block: its tag path's, times RAISED where ``raised`` says so.
 
     group: each block's path; node and parent: its element and that element's
     parent; size and marks: its characters and punctuation outside links, in
@@ -227,15 +254,13 @@ def path_scores(group: np.ndarray, node: np.ndarray, parent: np.ndarray, size: n
     mark_ratio = np.bincount(group, marks, n) / np.maximum(elements, 1)
     own = ratio[group]
     fused = np.sqrt(own * _smooth(own)) * (1.0 + _smooth(mark_ratio[group]))
-    return (np.bincount(group, fused, n) / np.maximum(np.bincount(group, minlength=n), 1))[group]
+    score = (np.bincount(group, fused, n) / np.maximum(np.bincount(group, minlength=n), 1))[group]
+    return score if raised is None else np.where(raised, RAISED, 1.0) * score
 
 
-def chosen_paths(score: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks whose path reaches THRESHOLD of the text-weighted mean score, so that one odd block sets no bar, and of the best path's at most."""
-    if not score.any():
-        return np.zeros(len(score), bool)
-    bar = THRESHOLD * min(score.max(), (score * size).sum() / max(size.sum(), 1e-9))
-    return (score >= bar) & (score > 0)
+def chosen_blocks(score: np.ndarray) -> np.ndarray:
+    """Blocks whose score reaches THRESHOLD of the page's greatest."""
+    return (score >= THRESHOLD * score.max(initial=0.0)) & (score > 0)
 
 
 def main_text(page: str | None) -> str:
@@ -245,11 +270,10 @@ def main_text(page: str | None) -> str:
     standard, and those whose class or id names it. A mark counts for nothing on
     an element that holds most of the page's text, unless there is an article
     outside it. Of the other blocks, the tag paths whose scores reach the
-    threshold are content. With them come the blocks of running text in the same
-    boxes (elements that aren't part of running text) and, in an article that
-    holds content, text elements in other boxes that stand alone and all between
-    the article and the content; and headings of first rank above the content.
-    Lists of links go where they lie outside articles and content paths.
+    threshold are content; an article, a main part and a box with a heading of first rank around a
+    block raise its score (RAISED), and choose nothing themselves. What the
+    chosen blocks frame comes with them (``_with_context``), but no block longer
+    than all chosen text: a wrong choice does not pull in the article around it.
     """
     if not page:
         return ""
@@ -269,15 +293,72 @@ def main_text(page: str | None) -> str:
         if not free.any():
             return ""
     at = np.flatnonzero(free)
-    own, link, size = own[at], link[at], size[at]
+    own, length, link, size = own[at], length[at], link[at], size[at]
+    box, article, main = _places(p)
+    if not size.any():  # an article of nothing but links is an article
+        size = np.where(article[own] > 0, length, 0)
     path, parent = np.array(p.path)[own], np.array(p.parent)[own]
     _, group = np.unique(path, return_inverse=True)
     marks = np.array([len(_PUNCTUATION.findall(p.blocks[i].text)) for i in at.tolist()], float) * (1 - link)
-    chosen = chosen_paths(path_scores(group, own, parent, size, marks), size)
-    keep = _with_context(p, own, group, link, size, chosen)
+    titled = {int(box[i]) for i in own.tolist() if p.tag[i] == "h1"}
+    raised = (article[own] > 0) | main[own] | np.array([b in titled for b in box[own].tolist()])
+    chosen = chosen_blocks(path_scores(group, own, parent, size, marks, raised))
+    keep = _with_context([p.tag[i] for i in own], box[own], article[own], _link_lists(p, own, length, link), length, size, chosen)
     return "\n\n".join(p.blocks[i].text for i, k in zip(at.tolist(), keep) if k)
 
 
+def _places(p: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each element: its box (itself or the nearest element around it that isn't running text), its article (0: none), and whether it lies in a main part."""
+    n = len(p.tag)
+    box, article, main = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(1, n):
+        q = p.parent[i]
+        box[i] = i if p.layout[i] else box[q]
+        article[i] = i if p.tag[i] == "article" else article[q]
+        main[i] = main[q] or p.tag[i] == "main"
+    return box, article, main
+
+
+def _link_lists(p: Page, own: np.ndarray, length: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Whether each block's outermost element of running text, within its box, is at least half links."""
+    n = len(p.tag)
+    outermost = np.zeros(n, np.int64)
+    for i in range(1, n):
+        q = p.parent[i]
+        outermost[i] = i if p.layout[i] or q == 0 or p.layout[q] else outermost[q]
+    outer = outermost[own]
+    return (np.bincount(outer, length * link, n) >= 0.5 * np.bincount(outer, length, n))[outer]
+
+
+def _with_context(tags: list[str], box: np.ndarray, article: np.ndarray, links: np.ndarray, length: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen blocks, and those that they frame and that are no longer than all chosen text.
+
+    Where articles hold at least half of the chosen text, content lies in them:
+    the rest of these articles is framed, and the last heading of first rank
+    before the first chosen block. Elsewhere the boxes of chosen blocks are framed
+    (lists of links only behind the first chosen block), and so is what lies from that heading to
+    the first chosen block and, in elements of running text, on to the last,
+    but for lists of links.
+    """
+    if not chosen.any():
+        return chosen
+    held = np.bincount(article, size * chosen)
+    within = held[1:].sum() >= 0.5 * held.sum() and held[1:].any()
+    if within:
+        chosen = chosen & (held[article] > 0) & (article > 0)
+    place = np.arange(len(tags))
+    first, last = np.flatnonzero(chosen)[[0, -1]]
+    heads = [j for j in range(first + 1) if tags[j] == "h1" and not links[j]]
+    head = heads[-1] if heads else first
+    if within:
+        framed = ((article > 0) & (held[article] > 0)) | (place == head)
+    else:
+        textual = np.array([t in TEXTUAL for t in tags])
+        framed = np.isin(box, box[chosen]) & (~links | (place > first))
+        framed |= (place >= head) & (place <= last) & ~links & (textual | (place < first))
+    return chosen | (framed & (length <= (length * chosen).sum()))
+
+
 def _marked(p: Page, own: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether each element lies in furniture, marks of wrappers set aside.
 
@@ -308,57 +389,6 @@ def _marked(p: Page, own: np.ndarray, length: np.ndarray, size: np.ndarray) -> n
     return marked | (within > aside)
 
 
-def _with_context(p: Page, own: np.ndarray, group: np.ndarray, link: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The chosen blocks, and the blocks that belong to the same text."""
-    n = len(p.tag)
-    box, article = [0] * n, [0] * n
-    for i in range(1, n):
-        box[i] = i if p.layout[i] else box[p.parent[i]]
-        article[i] = i if p.tag[i] == "article" else article[p.parent[i]]
-    nodes = own.tolist()
-    held: dict[int, float] = {}
-    for i, s in zip(nodes, np.where(chosen, size, 0).tolist()):
-        held[article[i]] = held.get(article[i], 0.0) + s
-    articles = {a for a, s in held.items() if a and s > 0}
-    if sum(held[a] for a in articles) >= 0.5 * sum(held.values()):  # where articles hold most of the content, content is in articles
-        chosen = chosen & np.array([article[i] in articles for i in nodes])
-    boxes, above = set(), set()
-    for i, c in zip(nodes, chosen.tolist()):
-        if c and box[i] not in boxes:
-            q = box[i]
-            boxes.add(q)
-            while q and q not in above:
-                q = p.parent[q]
-                above.add(q)
-    above -= boxes
-    of_group: dict[int, set[int]] = {}
-    lists: dict[int, list[float]] = {}  # text of each outermost text element in a box: in links, in all
-    outermost = [0] * n  # the outermost element of running text around an element, within its box
-    for i in range(1, n):
-        q = p.parent[i]
-        outermost[i] = i if p.layout[i] or q == 0 or p.layout[q] else outermost[q]
-    outer = [outermost[i] for i in nodes]
-    for g, i, o, k, s in zip(group.tolist(), nodes, outer, link.tolist(), size.tolist()):
-        of_group.setdefault(g, set()).add(box[i])
-        linked = s * k / (1 - k) if k < 1 else 1.0
-        pair = lists.setdefault(o, [0.0, 0.0])
-        pair[0] += linked
-        pair[1] += s + linked
-    keep = chosen.copy()
-    for j, (i, g, o) in enumerate(zip(nodes, group.tolist(), outer)):
-        if keep[j]:
-            continue
-        few_links = lists[o][0] < 0.5 * lists[o][1]
-        if article[i] in articles:
-            alone = p.tag[i] in TEXTUAL and len(of_group[g]) == 1
-            keep[j] = box[i] in boxes or box[i] in above or alone
-        elif not articles:
-            keep[j] = few_links and (box[i] in boxes or (p.tag[i] == "h1" and box[i] in above))
-        else:
-            keep[j] = few_links and p.tag[i] == "h1" and (box[i] in above or box[i] in boxes)
-    return keep
-
-
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing along the page."""
     r = max(1, math.ceil(2 * SIGMA))
