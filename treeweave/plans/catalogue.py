@@ -20,7 +20,7 @@ from treeweave.plans.catalogue_sql import SQL
 from treeweave.plans.merge_order import merge_sequence
 from treeweave.plans.recover import recover
 from treeweave.runtime import materialize, table
-from treeweave.sources import costs, ply, tables, testgraphs
+from treeweave.sources import costs, planar, ply, tables, testgraphs
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "dp_min_cost"
@@ -412,6 +412,19 @@ def core_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("graph_id").agg(F.sum(F.size("path")).alias("n_edges"), F.sum("len").alias("len"))
 
 
+@query
+def planar_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Delaunay triangles of each customer's orders, as points of date and price."""
+    return planar.triangulate(testgraphs.order_points(spark, sf_dir))
+
+
+@query
+def planar_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dual graphs of these triangles: a vertex a triangle, an edge a shared side."""
+    points = testgraphs.order_points(spark, sf_dir)
+    return planar.dual(points, planar.triangulate(points))[1]
+
+
 @query
 def spectral_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second eigenvalue of the Laplacian of each order's graph, and the vertices at the ends of its spectral order."""

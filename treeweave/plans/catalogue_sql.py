@@ -102,6 +102,15 @@ WAYS = """ways AS (SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factoria
   FROM range(1, 10) a(n), range(1, 10) b(k) WHERE k <= n GROUP BY n)"""
 DEGREE = "d AS (SELECT graph_id, x, count(*) AS n FROM (SELECT graph_id, u AS x FROM e UNION ALL SELECT graph_id, v FROM e) GROUP BY ALL)"
 
+#: Triangles of a customer's orders with no order inside their circle, by trying all, in whole numbers.
+TRIANGLES = """o AS (SELECT CAST(o_custkey AS VARCHAR) AS g, o_orderkey AS id, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 10000 AS HUGEINT) AS x, CAST(round(o_totalprice * 100) AS HUGEINT) AS y FROM orders),
+  abc AS (SELECT a.g, a.id AS p, b.id AS q, c.id AS r, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS area
+    FROM o a JOIN o b ON a.g = b.g AND a.id < b.id JOIN o c ON a.g = c.g AND b.id < c.id),
+  tri AS (SELECT g AS graph_id, p, q, r FROM abc WHERE area <> 0 AND NOT EXISTS (SELECT 1 FROM o d WHERE d.g = abc.g AND sign(area) * (
+      ((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((bx - d.x) * (cy - d.y) - (by_ - d.y) * (cx - d.x))
+    - ((bx - d.x) * (bx - d.x) + (by_ - d.y) * (by_ - d.y)) * ((ax - d.x) * (cy - d.y) - (ay - d.y) * (cx - d.x))
+    + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (by_ - d.y) - (ay - d.y) * (bx - d.x))) > 0))"""
+
 SQL: dict[str, str] = {
     "degree_part_supp": "SELECT vertex_id, count(*) AS degree FROM (SELECT DISTINCT l_partkey AS vertex_id, l_suppkey AS o, 0 AS k FROM lineitem UNION ALL SELECT DISTINCT -l_suppkey - 1, l_partkey, 1 FROM lineitem) GROUP BY vertex_id",
     "degree_trade": f"WITH {TRADE} SELECT vertex_id, count(*) AS degree FROM (SELECT u AS vertex_id FROM trade UNION ALL SELECT v FROM trade) GROUP BY vertex_id",
@@ -258,4 +267,9 @@ SQL: dict[str, str] = {
       SELECT graph_id, count(DISTINCT CAST(bl AS VARCHAR)) AS n_states, CAST(min(cost) AS BIGINT) AS best_cost FROM j WHERE size = 2 OR len([b for b in bl if len(b) = 0]) = 0 GROUP BY graph_id""",
     "beam_histogram": """SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS events, round(sum(round(value, 2)), 2) AS total
       FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) <= 3) GROUP BY user_id""",
+    "planar_triangles": f"WITH {TRIANGLES} SELECT * FROM tri",
+    "planar_dual": f"""WITH {TRIANGLES}, n AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY p, q, r) AS k FROM tri),
+      s AS (SELECT graph_id, k, p AS s, q AS t FROM n UNION ALL SELECT graph_id, k, p, r FROM n UNION ALL SELECT graph_id, k, q, r FROM n),
+      e AS (SELECT graph_id, min(k) AS u, max(k) AS v FROM s GROUP BY graph_id, s, t HAVING count(*) = 2)
+      SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY u, v) AS INTEGER) AS edge_name, u, v FROM e""",
 }

@@ -73,3 +73,10 @@ def customer_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     rims = seen.select("graph_id", (F.col("p") * 10 + F.col("r")).cast("int").alias("edge_name"), F.col("p").alias("u"), (F.col("r") + 6).alias("v"))
     edges = spokes.unionByName(rims)
     return edges, edges.select("graph_id", F.lit(0).cast("long").alias("vertex_id")).distinct()
+
+
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of points for each customer, one an order: days since 1992 times 10,000, and cents; whole numbers, so that sides of lines are told exactly."""
+    orders = table(spark, sf_dir, "orders")
+    x = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 10000.0
+    return orders.select(F.col("o_custkey").cast("string").alias("graph_id"), F.col("o_orderkey").cast("long").alias("point_id"), x.alias("x"), F.round(F.col("o_totalprice") * 100).cast("double").alias("y"))
