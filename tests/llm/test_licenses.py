@@ -96,6 +96,18 @@ CASES = {
     "Attribution-ShareAlike 4.0 International\n\n=======": "CC-BY-SA-4.0",
     "Creative words under no licence at all. The permission was not granted.": "",
     "Version 3, 29 June 2007": "",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "Distributed under the terms of the MIT License": "MIT",
+    "Use of this source code is governed by the MIT license": "MIT",
+    "This project is dual-licensed under MIT and Apache-2.0.": "Apache-2.0,MIT",
+    "Licensed under either of Apache License, Version 2.0 or MIT license.": "Apache-2.0,MIT",
+    "Licensed under MIT or Apache-2.0 or BSD-3-Clause": "Apache-2.0,BSD-3-Clause,MIT",
+    "This work is licensed under CC BY-SA 3.0": "CC-BY-SA-3.0",
+    "The code is GPL v2 licensed": "GPL-2.0",
+    "This software is released under the terms and conditions of the GPL, version 3 or later.": "GPL-3.0-or-later",
+    "We talked under the terms of the MIT faculty, and governed by its rules.": "",
+    "Licensed under MIT or some other licence": "",
+    "It was released under pressure, or later, by MIT.": "",
 }
 
 

@@ -139,8 +139,14 @@ NAMES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("the Unlicense", "Unlicense"),
     "Zlib": ("the zlib License", "Zlib"),
 }
+for _v in "23":
+    _whole = (f"the GNU General Public License, version {_v}", f"the GNU GPL v{_v}", f"the GNU GPLv{_v}", f"the GPL, version {_v}", f"the GPL v{_v}", f"GPL v{_v}", f"GPLv{_v}")
+    NAMES[f"GPL-{_v}.0"] = tuple(dict.fromkeys((*NAMES[f"GPL-{_v}.0"], *_whole)))
+    NAMES[f"GPL-{_v}.0-or-later"] = tuple(f"{c} {end}" for c in _whole for end in ("or later", "or any later version", "or (at your option) any later version")) + (f"GPL-{_v}.0-or-later",)
+for _k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    NAMES[f"CC-{_k}-3.0"] = (f"CC {_k} 3.0", f"CC-{_k}-3.0")
 # Openings of a one-line declaration.
-SUBJECTS = ("", "This work is ", "This file is ", "This project is ", "This software is ", "This program is ", "This code is ", "This document is ", "It is ", "The code is ", "All content is ")
+SUBJECTS = ("", "This work is ", "This file is ", "This project is ", "This software is ", "This program is ", "This code is ", "This document is ", "It is ", "The code is ", "All content is ", "Use of this source code is ")
 VERBS = ("licensed under ", "released under ", "distributed under ", "published under ", "available under ", "made available under ")
 # Ids of SPDX tags besides those of NAMES; the GNU families take endings.
 SPDX = (
@@ -208,13 +214,31 @@ WRAPPED_END = (
     r"[.!?;:]+(?:[ \t\r\n]+|\z)|(?:\A|[\r\n])" + _LEAD + r"(?:copyright[ \t]+|\(c\)[ \t]*)(?:\(c\)|©|[0-9]{4}|by )[^\r\n]*|(?:\A|[\r\n])" + _LEAD + r"all rights reserved[.]?[ \t]*"
     r"|\r?\n" + _LEAD + r"\r?\n|[\r\n]" + _LEAD + r"\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 )
-#: Before sentences are cut, in order: the holders' names of a clause that forbids endorsement go, a field named license has no colon, and the v of a version no stop.
 _GAP = "[^a-z0-9]+"
+#: Names as they stand in running text, the longest first.
+_NAMED = "|".join(
+    sorted({re.sub("[^a-z0-9]+", lambda m: "[ .-]" if "." in m[0] else "[ \\t\\r\\n,(-]+", re.sub("^the ", "", c.lower()).rstrip(")")) for some in NAMES.values() for c in some}, key=lambda x: (-len(x), x))
+)
+_SEP = r"[ \t\r\n]+"
+#: A declaration's grammar, reduced step by step to ``licensed under`` and one name: the terms of, dual, governed by, either of, a name before its verb, and names in lists of up to three.
+_LISTED = (r"\b((?:licensed|released|distributed|published|available) under (?:the )?(?:" + _NAMED + r")\)?(?: licen[cs]e)?),? (?:and/or|and|or) (?:the )?(" + _NAMED + r")\b", "$1. licensed under $2")
+DECLARED = (
+    (r"\b(under|by|of)" + _SEP + "(?:the|all)" + _SEP + "terms" + _SEP + "(?:and" + _SEP + "conditions" + _SEP + ")?of" + _SEP, "$1 "),
+    (r"\b(?:dual|multi|double)[ \t-]+licen[cs]ed\b", "licensed"),
+    (r"\b(?:governed|covered)" + _SEP + "by" + _SEP, "licensed under "),
+    (r"\bunder" + _SEP + "(?:either" + _SEP + "(?:of" + _SEP + ")?)", "under "),
+    (r"\bunder" + _SEP + "a" + _SEP + "(creative)" + r"\b", "under the $1"),
+    (r"\bis (" + _NAMED + r")[ -]licensed\b", "is licensed under $1"),
+    _LISTED,
+    _LISTED,
+)
+#: Before sentences are cut, in order: the holders' names of a clause that forbids endorsement go, a field named license has no colon, and the v of a version no stop. Then declarations are reduced.
 BEFORE = (
     (r"(?s)neither" + _GAP + "the" + _GAP + "names?" + _GAP + "of" + r"[^a-z0-9].{1,200}?[^a-z0-9]may" + _GAP + "be" + _GAP + "used" + _GAP + "to" + _GAP + "endorse", "neither the name of holder may be used to endorse"),
     (r"(?s)the" + _GAP + "names?" + _GAP + "of" + r"[^a-z0-9][^.;:]{1,200}?[^a-z0-9]may" + _GAP + "not" + _GAP + "be" + _GAP + "used" + _GAP + "to" + _GAP + "endorse", "neither the name of holder may be used to endorse"),
     (r"(licen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?", "$1 "),
     (r"\bv[.][ \t\r\n]+([0-9])", "v $1"),
+    *DECLARED,
 )
 #: The expression of an SPDX tag, and what parts its ids.
 SPDX_TAG = r"spdx-license-identifier[ \t]*[: ][ \t]*([a-z0-9.+() \t-]*)"
