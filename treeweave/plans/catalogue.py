@@ -156,6 +156,26 @@ def hop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.hop_levels(edges, edges.groupBy("graph_id").agg(F.min("u").alias("vertex_id"))).select("vertex_id", "level")
 
 
+def _order_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, roots = testgraphs.order_graphs(spark, sf_dir)
+    edges = materialize(edges.withColumn("len", (F.col("edge_name") % 7 + 1).cast("long")), "edges")
+    return edges, roots, materialize(paths.shortest_paths(edges, roots), "dist")
+
+
+@query
+def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances and hops from the root in every order's graph; edges are 1 to 7 long, by name."""
+    edges, roots, dist = _order_paths(spark, sf_dir)
+    return dist.join(paths.hop_levels(edges, roots), ["graph_id", "vertex_id"]).select("graph_id", "vertex_id", F.col("dist").cast("long").alias("dist"), F.col("level").cast("long").alias("level"))
+
+
+@query
+def order_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction of every edge of these graphs, away from the root."""
+    edges, _, dist = _order_paths(spark, sf_dir)
+    return paths.orient(edges, dist).select("graph_id", "edge_name", "parent", "child")
+
+
 @query
 def set_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All partitions of 1 to n for every number n of lines that an order has."""

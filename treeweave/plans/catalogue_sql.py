@@ -102,6 +102,12 @@ WAYS = """ways AS (SELECT n, CAST(sum(factorial(CAST(n AS INTEGER)) // (factoria
   FROM range(1, 10) a(n), range(1, 10) b(k) WHERE k <= n GROUP BY n)"""
 DEGREE = "d AS (SELECT graph_id, x, count(*) AS n FROM (SELECT graph_id, u AS x FROM e UNION ALL SELECT graph_id, v FROM e) GROUP BY ALL)"
 
+#: ``dist``: least distance and hops from the root of each order's graph, by walks of up to six steps (orders have at most seven lines).
+ORDER_DIST = f"""WITH RECURSIVE {ORDERS}, h AS (SELECT graph_id, u AS x, v AS y, name % 7 + 1 AS w FROM e UNION ALL SELECT graph_id, v, u, name % 7 + 1 FROM e),
+  s AS (SELECT graph_id, min(u) AS vertex_id, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS hop FROM e GROUP BY graph_id
+    UNION SELECT s.graph_id, y, d + w, hop + 1 FROM s JOIN h ON s.graph_id = h.graph_id AND x = vertex_id WHERE hop < 6),
+  dist AS (SELECT graph_id, vertex_id, min(d) AS dist, min(hop) AS level FROM s GROUP BY graph_id, vertex_id)"""
+
 #: Triangles of a customer's orders with no order inside their circle, by trying all, in whole numbers.
 TRIANGLES = """o AS (SELECT CAST(o_custkey AS VARCHAR) AS g, o_orderkey AS id, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 10000 AS HUGEINT) AS x, CAST(round(o_totalprice * 100) AS HUGEINT) AS y FROM orders),
   abc AS (SELECT a.g, a.id AS p, b.id AS q, c.id AS r, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS area
@@ -272,4 +278,7 @@ SQL: dict[str, str] = {
       s AS (SELECT graph_id, k, p AS s, q AS t FROM n UNION ALL SELECT graph_id, k, p, r FROM n UNION ALL SELECT graph_id, k, q, r FROM n),
       e AS (SELECT graph_id, min(k) AS u, max(k) AS v FROM s GROUP BY graph_id, s, t HAVING count(*) = 2)
       SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY u, v) AS INTEGER) AS edge_name, u, v FROM e""",
+    "order_paths": f"{ORDER_DIST} SELECT * FROM dist",
+    "order_directions": f"""{ORDER_DIST} SELECT e.graph_id, name AS edge_name, CASE WHEN (a.dist, u) < (b.dist, v) THEN u ELSE v END AS parent, CASE WHEN (a.dist, u) < (b.dist, v) THEN v ELSE u END AS child
+      FROM e JOIN dist a ON e.graph_id = a.graph_id AND u = a.vertex_id JOIN dist b ON e.graph_id = b.graph_id AND v = b.vertex_id""",
 }
