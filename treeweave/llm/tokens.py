@@ -161,8 +161,10 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
 
     ``model_path`` names a piece model on the driver; its bytes, half a megabyte
     or so, go to the executors. Counts equal the public library's for whole
-    texts. Null counts as empty: no bytes, no tokens. Names that clash with a
-    column of ``docs`` get trailing underscores. Nothing is shuffled.
+    texts. Null counts as empty: no bytes, no tokens. A very long text is counted
+    whole in one task; repeated rows are counted each and alike; an empty table
+    gives no rows. Names that clash with a column of ``docs`` get trailing
+    underscores. Nothing is shuffled.
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
