@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -151,6 +152,46 @@ def test_words_start_anew(libraries):
         assert ids.tolist() == libraries[2].encode(" ".join(segments), add_special_tokens=False).ids
 
 
+class Counting:
+    """A library that counts the words that it is given."""
+
+    def __init__(self, library):
+        self.library, self.given = library, []
+
+    def get_vocab(self):
+        return self.library.get_vocab()
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += [w for t in texts for w in t.split()]
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_words_of_any_case_are_encoded_once(libraries):
+    words = packing._Words(counting := Counting(libraries[2]))
+    segments = ["Été,", "été", "ÉTÉ...", "Straße", "STRAßE", "words", "Words;", "WORDS", "it's", "IT'S", "ª", "μ"]
+    for _ in range(2):
+        assert words.encode(segments)[0].tolist() == libraries[2].encode(" ".join(segments), add_special_tokens=False).ids
+    assert sorted(counting.given) == sorted(["été", "straße", "words", ",", "...", ";", "it's", "IT'S", "ª", "μ"])
+
+
+def test_texts_look_segments_up_once(libraries, monkeypatch):
+    words, asked = packing._Words(libraries[2]), []
+    monkeypatch.setattr(words.parts, "codes", lambda parts, f=words.parts.codes: asked.append(len(parts)) or f(parts))
+    rows = [*(r[1] for r in ODD), *STRANGE, None, "", " ", "so \n so", "and so, and so, " * 500, "<|endoftext|> it's\u2003THE end\t\r"]
+    ids, count = words.encode_texts(pa.array(["left out", *rows])[1:])
+    parts = np.split(ids, np.cumsum(count)[:-1])
+    assert [p.tolist() for p in parts] == [[*libraries[2].encode(t or "", add_special_tokens=False).ids, packing.END] for t in rows]
+    assert words.encode_texts(pa.array([], pa.string()))[1].tolist() == []
+    words.encode_texts(pa.array(["and so, and so, " * 500]))
+    assert asked[-1] == 5  # and, so and nothing; the comma and nothing
+
+
+def test_differencing_of_many_equal_sizes():
+    sizes = [512] * 90 + [random.Random(1).randint(1, 512) for _ in range(60)]
+    window, sums = packing.karmarkar_karp(sizes, 33)
+    assert sorted((int(s), [i for i, x in enumerate(window) if x == w]) for w, s in enumerate(sums)) == differenced(sizes, 33)
+
+
 # 12: alignment
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ BIN = 2048
 #: The id that ends every document.
 END = 1
 _SLICE = 2 << 20
-#: Segments and words whose ids a Python worker remembers; beyond, it starts anew.
+#: Words whose ids a Python worker remembers; beyond, it starts anew.
 REMEMBERED = 800_000
 
 
@@ -36,36 +36,36 @@ def karmarkar_karp(sizes: list[int], ways: int) -> tuple[np.ndarray, np.ndarray]
     the largest differences between their windows merge, the fullest windows of
     one with the emptiest of the other, until one partition is left. Ties fall
     to the earlier partition. A window is known by one of its sizes while sizes
-    merge, so a merge is a few operations on arrays of ``ways`` sums.
+    merge. Partitions hold their windows in use only, as negative sums from the
+    fullest on and names, so that a merge takes a few operations on short arrays.
     """
     into = np.arange(len(sizes))
-    heap: list = [(-int(s), i, None) for i, s in enumerate(sizes)]
+    least, alone = -np.asarray(sizes, np.int64), np.arange(len(sizes))
+    heap: list = [(k, i, least[i : i + 1], alone[i : i + 1]) for i, k in enumerate(least.tolist())]
     heapq.heapify(heap)
-
-    def windows(part) -> tuple[np.ndarray, np.ndarray]:
-        if part[2] is not None:
-            return part[2]
-        sums, names = np.zeros(ways, np.int64), np.full(ways, -1)
-        sums[0], names[0] = -part[0], part[1]
-        return sums, names
-
     made = len(sizes)
     while len(heap) > 1:
-        sums, names = windows(heapq.heappop(heap))
-        others, other_names = (x[::-1] for x in windows(heapq.heappop(heap)))
-        meet = (names >= 0) & (other_names >= 0)
-        into[other_names[meet]] = names[meet]
-        sums, names = sums + others, np.where(names >= 0, names, other_names)
-        order = np.argsort(-sums, kind="stable")
+        _, _, sums, names = heapq.heappop(heap)
+        _, _, others, other_names = heapq.heappop(heap)
+        others, other_names = others[::-1], other_names[::-1]
+        if (meet := len(sums) + len(others) - ways) > 0:
+            own, met = len(sums), other_names[:meet]
+            into[met] = names[own - meet :]
+            sums, names = np.concatenate((sums, others[meet:])), np.concatenate((names, other_names[meet:]))
+            sums[own - meet : own] += others[:meet]
+        else:
+            sums, names = np.concatenate((sums, others)), np.concatenate((names, other_names))
+        order = sums.argsort(kind="stable")
         sums, names = sums[order], names[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), made, (sums, names)))
+        heapq.heappush(heap, (int(sums[0] - (sums[-1] if len(sums) == ways else 0)), made, sums, names))
         made += 1
-    sums, names = windows(heap[0]) if heap else (np.zeros(ways, np.int64), np.full(ways, -1))
     while (into[into] != into).any():
         into = into[into]
-    place = np.full(len(sizes) + 1, -1)
-    place[names[names >= 0]] = np.flatnonzero(names >= 0)
-    return place[into], sums
+    place, full = np.full(len(sizes), -1), np.zeros(ways, np.int64)
+    for _, _, sums, names in heap:
+        place[names] = np.arange(len(names))
+        full[: len(sums)] = -sums
+    return place[into], full
 
 
 def near_equal_windows(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -167,14 +167,15 @@ class _Packer:
         yield from self.laid([x for x in sequences if x])
 
 
-#: Letters without marks and without odd lower case, then punctuation: the vocabulary splits such a segment between the two, and nowhere else.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: Letters without marks and without odd lower case, and punctuation: the vocabulary splits a segment of the one and then the other between the two, and nowhere else.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Words that are given to the library as one text.
 _TOGETHER = 256
 
 
 class _Words:
-    """Ids of segments as the public library gives them, with each word, whatever the marks after it, encoded once."""
+    """Ids of segments as the public library gives them, with each word, whatever its case and the marks after it, encoded once."""
 
     def __init__(self, tokenizer, most: int = REMEMBERED):
         self.tokenizer = tokenizer
@@ -205,17 +206,33 @@ class _Words:
         ids, count = self.alone([parts[k] for k in rest])
         return regathered(np.concatenate([*flat, ids]), np.concatenate([*counts, count]), np.argsort(np.concatenate([*order, rest])))
 
-    def encode(self, segments: list[str]) -> Ids:
-        parts = [p for s, m in zip(segments, map(_WORD.fullmatch, segments)) for p in (m.groups() if m else (s, ""))]
-        ids, count = self.parts.gather(self.parts.codes(parts))
+    def encode(self, segments: list[str] | pa.Array) -> Ids:
+        """Words of letters are told from the marks behind them, and lower-cased as the vocabulary does, for all segments at once."""
+        given = (segments if isinstance(segments, pa.Array) else pa.array(segments, pa.string())).cast(pa.large_string())
+        marks = pa.compute.utf8_ltrim(given, characters=_LETTERS)
+        plain = pa.compute.equal(pa.compute.utf8_rtrim(marks, characters=_MARKS), "")
+        words = pa.compute.if_else(plain, pa.compute.utf8_lower(pa.compute.utf8_rtrim(given, characters=_MARKS)), given)
+        found = [x.dictionary_encode() for x in (words, pa.compute.if_else(plain, marks, ""))]
+        codes = self.parts.codes([p for x in found for p in x.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        own, behind = (x.indices.to_numpy() for x in found)
+        ids, count = self.parts.gather(np.stack([codes[own], codes[behind + len(found[0].dictionary)]], axis=1).ravel())
         return ids, count.reshape(-1, 2).sum(axis=1)
 
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, each with the end id behind it, and each text's number of ids; texts are cut at white space, and each segment among them is looked up once."""
+        cut = pa.compute.split_pattern(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), "\n", " "), " ")
+        found = cut.flatten().dictionary_encode()
+        ids, count = self.encode(found.dictionary)
+        ids, count = np.append(ids, np.int32(END)), np.append(count, 1)
+        upto = np.cumsum(pa.compute.list_value_length(cut).to_numpy())
+        ids, count = regathered(ids, count, np.insert(found.indices.to_numpy(), upto, len(count) - 1))
+        return ids, np.diff(np.cumsum(count)[upto + np.arange(len(upto))], prepend=0)
+
 
-_memory: dict[int, Remembered] = {}
+_memory: dict[int, _Words] = {}
 
 
-def _segment_ids(model: bytes) -> Remembered:
-    """Ids of text between white spaces; code 0 is the end of a document."""
+def _words(model: bytes) -> _Words:
     if hash(model) not in _memory:
         from tokenizers import Tokenizer
 
@@ -224,7 +241,7 @@ def _segment_ids(model: bytes) -> Remembered:
         if "Lowercase" not in str(tokenizer.normalizer) or "behavior=Removed" not in str(tokenizer.pre_tokenizer):
             raise ValueError("a vocabulary whose words depend on the white space between them")
         _memory.clear()
-        _memory[hash(model)] = Remembered(_Words(tokenizer).encode, fixed=((END,),), most=REMEMBERED)
+        _memory[hash(model)] = _Words(tokenizer)
     return _memory[hash(model)]
 
 
@@ -260,7 +277,7 @@ def pack_sequences(docs: DataFrame, model_path: str, text_col: str = "text", cap
     names = [fresh_name(docs, x) for x in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _segment_ids(sent.value)
+        words = _words(sent.value)
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity, bin_pieces)
         held: dict[int, tuple[pa.RecordBatch, np.ndarray]] = {}
         number = -1
@@ -279,17 +296,8 @@ def pack_sequences(docs: DataFrame, model_path: str, text_col: str = "text", cap
 
         for batch in batches:
             for b in byte_slices(batch, n, _SLICE):
-                segments: list[str] = []
-                ends = []
-                for t in b.column(n).to_pylist():
-                    segments += (t or "").replace("\n", " ").split(" ")
-                    ends.append(len(segments))
-                    segments.append("")
-                codes = memory.codes(segments)
-                codes[ends] = 0
-                ids, count = memory.gather(codes)
-                upto = np.cumsum(count)[ends]
-                sizes = np.diff(upto, prepend=0)
+                ids, sizes = words.encode_texts(b.column(n))
+                upto = np.cumsum(sizes)
                 number += 1
                 # the text is done with; a column that numbers rows keeps tables of no other column in shape
                 held[number] = (pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), pa.array(np.arange(b.num_rows))], [*(f"c{k}" for k in range(n)), "row"]), sizes)
