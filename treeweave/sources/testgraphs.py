@@ -30,16 +30,18 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit("part_supp").alias("graph_id"), F.hash("u", "v").alias("edge_name"), "u", "v")
 
 
-def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def order_graphs(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One small graph for each order of at least two line numbers: ``(edges, roots)``.
 
     Vertices are the order's line numbers. Each is tied to the next, and to the
     next but one where both bear the same first return flag and status; edges
     are named 10 u + v, and the smallest number is the root. So degrees stay at
     four or less without any line being left out, and graphs have cycles.
+    ``among`` (graph_id) names the graphs that are asked for, if not all.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_linenumber").cast("long").alias("u"))
-    lines = lines.agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("f"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_linenumber").cast("long").alias("u"), F.concat("l_returnflag", "l_linestatus").alias("f"))
+    lines = lines if among is None else lines.join(among, "graph_id", "left_semi")
+    lines = lines.repartition("graph_id").groupBy("graph_id", "u").agg(F.min("f").alias("f"))  # one shuffle serves the groups and what follows by graph
     along = W.partitionBy("graph_id").orderBy("u")
     near = lines.select("graph_id", "u", F.array(F.lead("u", 1).over(along), F.when(F.lead("f", 2).over(along) == F.col("f"), F.lead("u", 2).over(along))).alias("vs"))
     pairs = near.select("graph_id", "u", F.explode("vs").alias("v")).where("v is not null")
