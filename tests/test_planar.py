@@ -1,5 +1,7 @@
 """Triangles of points against their definition: Euler's count, empty circles, whole hulls."""
 
+import collections
+import itertools
 import math
 import random
 
@@ -72,3 +74,47 @@ def test_no_points(spark):
     triangles = planar.triangulate(empty)
     assert triangles.collect() == [] and triangles.columns == ["graph_id", "p", "q", "r"]
     assert planar.dual(empty, triangles)[1].collect() == []
+
+
+def test_small_sets_are_told_by_definition(spark):
+    """Sets with many points on one line and on one circle, in whole numbers: every three points with none inside their circle, in one task and without a written step a round."""
+    rng = random.Random(5)
+    sets = {f"s{k}": list(dict.fromkeys((rng.randrange(5), rng.randrange(5)) for _ in range(9))) for k in range(30)}
+    rows = [(g, i, float(x), float(y)) for g, points in sets.items() for i, (x, y) in enumerate(points)]
+    given = spark.createDataFrame(rows, SCHEMA)
+    want, edges = set(), set()
+    for g, points in sets.items():
+        own = []
+        for t in itertools.combinations(range(len(points)), 3):
+            (ax, ay), (bx, by), (cx, cy) = (points[i] for i in t)
+            area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+            inside = 0
+            for x, y in points:
+                a, b, c = ((px - x, py - y) for px, py in ((ax, ay), (bx, by), (cx, cy)))
+                size = lambda v: v[0] ** 2 + v[1] ** 2
+                turn = lambda v, w: v[0] * w[1] - w[0] * v[1]
+                inside += area * (size(a) * turn(b, c) - size(b) * turn(a, c) + size(c) * turn(a, b)) > 0
+            if area and not inside:
+                own.append(t)
+        want |= {(g, *t) for t in own}
+        sides = collections.defaultdict(list)
+        for k, t in enumerate(sorted(own), 1):
+            for side in itertools.combinations(t, 2):
+                sides[side].append(k)
+        edges |= {(g, i, *uv) for i, uv in enumerate(sorted(tuple(s) for s in sides.values() if len(s) == 2), 1)}
+    found = planar.triangulate(given)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert {tuple(r) for r in planar.dual_edges(given).collect()} == edges
+    assert {tuple(r) for r in planar.dual(given, found)[1].collect()} == edges
+
+
+def test_greater_sets_go_by_waves(spark, monkeypatch):
+    """Points in general position: either way gives the same triangles and duals."""
+    rng = random.Random(8)
+    rows = [(g, i, rng.random(), rng.random()) for g, n in (("few", 20), ("many", planar.WHOLE + 2)) for i in range(n)]
+    given = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(map(tuple, planar.triangulate(given).collect()))
+    dual = planar.dual(given, spark.createDataFrame(found, "graph_id string, p long, q long, r long"))[1].collect()
+    monkeypatch.setattr(planar, "WHOLE", 100)
+    assert found == sorted(map(tuple, planar.triangulate(given).collect())) and {g for g, *_ in found} == {"few", "many"}
+    assert sorted(map(tuple, planar.dual_edges(given).collect())) == sorted(map(tuple, dual))
