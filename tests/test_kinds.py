@@ -36,6 +36,7 @@ ONCE = [
     ("brute_force_min", solve, "brute_force", 0),
     ("core_graphs", core, "core_graph", 0),
     ("sequence_costs", merge_tree, "merge_tree", 0),
+    ("recover_trees", catalogue, "recover", 1),
 ]
 
 

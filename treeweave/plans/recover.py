@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from treeweave.functions.geometry import distance
 from treeweave.operators.beam import Beam
 from treeweave.operators.greedy import greedy
+from treeweave.operators.kinds import of_members
 from treeweave.operators.solve import MAX_BOUNDARY, solve
 from treeweave.operators.tree import split_graph
-from treeweave.runtime import materialize
+from treeweave.runtime import col_of, materialize
 from treeweave.sources import costs, ply
 
 
@@ -37,13 +38,17 @@ def with_lengths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.withColumn("len", F.coalesce("len", apart)).drop("__u", "__v")
 
 
-def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam: Beam | None = None, priority: str | tuple[str, ...] = "outdegree", max_boundary: int = MAX_BOUNDARY) -> Recovered:
+def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam: Beam | None = None, priority: str | tuple[str, ...] = "outdegree", max_boundary: int = MAX_BOUNDARY, members: DataFrame | None = None) -> Recovered:
     """Solve the graphs, split them by their choices, and carry the attributes over.
 
     With a ``beam``, the greedy choice is kept in it, for which lengths that are
     missing come from the coordinates. Roots are the vertices with an
-    all-outgoing candidate.
+    all-outgoing candidate. With ``members`` (graph_id, kind; no beam), edges and
+    candidates are those of the kinds of ``graph_kinds``: each kind is solved and
+    split once, and every graph's tree bears its own vertices' attributes.
     """
+    if beam and members is not None:
+        raise ValueError("a beam takes lengths from each graph's own vertices")
     edges = materialize(edges, "edges")
     candidates = materialize(candidates, "candidates")
     protected = None
@@ -51,8 +56,14 @@ def recover(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, beam:
         chosen = materialize(greedy(with_lengths(vertices, edges), candidates, costs.root_of(candidates)), "greedy")
         protected = chosen.where("status = 'chosen'")
     found = solve(edges, candidates, priority, beam, protected, max_boundary)
-    tree_vertices, tree_edges = split_graph(vertices, edges, materialize(found.choices, "choices"))
-    return Recovered(found.status, tree_vertices, tree_edges)
+    choices = materialize(found.choices, "choices")
+    if members is None:
+        return Recovered(found.status, *split_graph(vertices, edges, choices))
+    bare = edges.select("graph_id", F.explode(F.array("u", "v")).alias("vertex_id")).distinct()
+    kind_vertices, kind_edges = (materialize(t, "trees") for t in split_graph(bare, edges, choices))
+    own = vertices.select("graph_id", F.col("vertex_id").alias("og_vertex"), *[col_of(c) for c in vertices.columns if c not in ("graph_id", "vertex_id", "og_vertex", "copy")])
+    tree_vertices = of_members(kind_vertices, members).join(own, ["graph_id", "og_vertex"], "left").select(*kind_vertices.columns, *[col_of(c) for c in own.columns[2:]])
+    return Recovered(of_members(found.status, members), tree_vertices, of_members(kind_edges, members))
 
 
 def recover_files(spark: SparkSession, graphs: str, candidates: str, out: str, beam: Beam | None = None, max_boundary: int = MAX_BOUNDARY) -> DataFrame:

@@ -68,20 +68,24 @@ def roots_of(vertices: DataFrame) -> DataFrame:
 _PLY_TYPE = {"int": "int", "bigint": "int", "smallint": "int", "double": "double", "float": "double"}
 
 
-def to_ply(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def to_ply(vertices: DataFrame, edges: DataFrame, dense: bool = False) -> DataFrame:
     """``graph_id, text``: each graph as a PLY text.
 
     Vertices go in order of vertex_id and are renumbered from 0, edges in order
     of edge_name (``vertex1``, ``vertex2``, ``name`` first). All other columns of
-    whole-number or double type are properties; nulls are written as 0.
+    whole-number or double type are properties; nulls are written as 0. ``dense``
+    says that each graph's ids are 1, 2, 3 and so on, as ``split_graph`` gives
+    them: then places need no join.
     """
     kinds = {f.name: _PLY_TYPE.get(f.dataType.simpleString()) for f in [*vertices.schema, *edges.schema]}
     vcols = [c for c in vertices.columns if c not in ("graph_id", "vertex_id") and kinds[c]]
     ecols = [c for c in edges.columns if c not in ("graph_id", "edge_name", "u", "v") and kinds[c]]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
     ids = vertices.groupBy("graph_id").agg(F.sort_array(F.collect_list("vertex_id")).alias("ids"), F.sort_array(F.collect_list(F.struct("vertex_id", F.array_join(F.array(*map(text, vcols)), " ").alias("line")))).alias("vl"))
+    if dense:
+        edges = edges.withColumns({"__u": F.col("u") - 1, "__v": F.col("v") - 1})
     place = ids.select("graph_id", F.posexplode("ids").alias("place", "vertex_id"))
-    for end in ("u", "v"):
+    for end in () if dense else ("u", "v"):
         edges = edges.join(place.select("graph_id", F.col("vertex_id").alias(end), F.col("place").alias(f"__{end}")), ["graph_id", end])
     line = F.array_join(F.array(F.col("__u").cast("string"), F.col("__v").cast("string"), text("edge_name"), *map(text, ecols)), " ")
     el = edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_name", line.alias("line")))).alias("el"))
