@@ -39,6 +39,7 @@ ONCE = [
     ("recover_trees", catalogue, "recover", 1),
     ("split_order_min_cost", solve, "solve", 0),
     ("solve_many", solve, "solve", 0),
+    ("rotated_trees", merge_tree, "rotated", 0),
 ]
 
 
